@@ -1,6 +1,7 @@
 """The operators' queries, by name."""
 
 from .mixing import op9_mix_sources
+from .packing import op2_pack_sequences
 
-QUERIES = {"op9_mix_sources": op9_mix_sources}
+QUERIES = {"op2_pack_sequences": op2_pack_sequences, "op9_mix_sources": op9_mix_sources}
 ORACLE_SQL: dict[str, str] = {}
