@@ -1,7 +1,10 @@
 """The operators' queries, by name."""
 
 from .mixing import op9_mix_sources
+from .neardup import op5_near_duplicates
 from .packing import op2_pack_sequences
+from .quality import op3_quality
 
-QUERIES = {"op2_pack_sequences": op2_pack_sequences, "op9_mix_sources": op9_mix_sources}
+QUERIES = {f.__name__: f for f in (op2_pack_sequences, op3_quality, op5_near_duplicates, op9_mix_sources)}
+#: Trained, tokenised, hashed and sampled results have no SQL form; those operators are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
