@@ -1,12 +1,13 @@
 """The operators' queries, by name."""
 
 from .fingerprints import op1_fingerprints
+from .licenses import op4_licenses
 from .mixing import op9_mix_sources
 from .neardup import op5_near_duplicates
 from .packing import op2_pack_sequences
 from .quality import op3_quality
 from .secrets import op7_secrets
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pack_sequences, op3_quality, op5_near_duplicates, op7_secrets, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pack_sequences, op3_quality, op4_licenses, op5_near_duplicates, op7_secrets, op9_mix_sources)}
 #: Trained, tokenised, hashed and sampled results have no SQL form; those operators are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
