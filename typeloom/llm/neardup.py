@@ -7,8 +7,8 @@
 3. Classes that share a band are candidates. First each is paired with its band's smallest class (a star, linear in
    the group). Pairs whose sketches are far too different go; the others are confirmed on their full sets.
 4. Confirmed links are joined into components. Only members of a band that are then still in different components
-   are compared with each other, under the same sketch bound, and confirmed. Every pair that shares a band is thus
-   either tested or already connected, without all pairs of a group being made.
+   are compared with each other, once a pair, by a finer odd sketch of many more samples, and confirmed. Every pair
+   that shares a band is thus tested, ruled out or already connected, without all pairs of a group being made.
 5. Components by alternating large-star and small-star steps, all in DataFrames.
 
 Defined cases: a null text, or one without words, has n_shingles 0, is its own component and is kept; a text with
@@ -32,6 +32,9 @@ BANDS, ROWS = 28, 4
 SKETCH = 8
 #: Likeness that the sketch must give at least, for a threshold of 0.8: some five standard deviations below it.
 MARGIN = 0.22
+#: Samples, 64-bit words and margin of the fine sketch, which only documents get that are compared within a band.
+FINE_SAMPLES, FINE, FINE_MARGIN = 1600, 64, 0.06
+_FINE_SEEDS = mixed(np.arange(1001, 1001 + FINE_SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -47,28 +50,28 @@ def shingles(texts: list[bytes], width: int):
         yield np.unique(whole)
 
 
-def samples(found: np.ndarray) -> np.ndarray:
+def samples(found: np.ndarray, seeds: np.ndarray = _SEEDS) -> np.ndarray:
     """MinHash samples of a set of hashes, in blocks so that memory stays bounded."""
-    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max)
-    for i in range(0, len(found), 4096):
-        block = found[i : i + 4096]
-        values = (block ^ (block >> np.uint64(32)))[None, :] * _SEEDS[:, None]
+    least, step = np.full(len(seeds), np.iinfo(np.uint64).max), max(1, 500_000 // len(seeds))
+    for i in range(0, len(found), step):
+        block = found[i : i + step]
+        values = (block ^ (block >> np.uint64(32)))[None, :] * seeds[:, None]
         values ^= values >> np.uint64(29)
         values *= np.uint64(0xBF58476D1CE4E5B9)
         np.minimum(least, values.min(1), out=least)
     return least
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
+def odd_sketch(sample: np.ndarray, words: int = SKETCH) -> np.ndarray:
     """The samples, folded into a bitmap: a bit is on if an odd number of samples fall on it."""
-    places = mixed(sample + np.arange(len(sample), dtype=np.uint64)) % np.uint64(64 * SKETCH)
-    odd = (np.bincount(places.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
+    places = mixed(sample + np.arange(len(sample), dtype=np.uint64)) % np.uint64(64 * words)
+    odd = (np.bincount(places.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def most_differing(threshold: float) -> int:
+def most_differing(threshold: float, n: int = BANDS * ROWS, words: int = SKETCH, margin: float = MARGIN) -> int:
     """XOR bits that a pair may differ in, by the expected count at the threshold less the margin."""
-    differing, bits = 2 * len(_SEEDS) * (1 - threshold + MARGIN), 64 * SKETCH
+    differing, bits = 2 * n * (1 - threshold + margin), 64 * words
     return int(bits / 2 * (1 - (1 - 2 / bits) ** differing))
 
 
@@ -154,8 +157,8 @@ def classes(docs: DataFrame, width: int = 2, threshold: float = 0.8) -> DataFram
         return saved(confirmed(saved(pairs), docs, width, threshold))
 
     stars = members.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(traits.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a").join(
-        traits.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b"
+    stars = stars.join(traits.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a").join(
+        traits.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b"
     )
     links = alike(_close_pairs(stars, threshold, most))
     linked = saved(components(links))
@@ -163,12 +166,17 @@ def classes(docs: DataFrame, width: int = 2, threshold: float = 0.8) -> DataFram
     # what is still apart within a band: members outside their band's main component, against all of another component
     placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     home = linked.select(F.col("node").alias("center"), F.col("component").alias("main"))
-    placed = saved(placed.join(home, "center", "left").withColumn("main", F.coalesce("main", "center")).join(traits, "id"))
-    apart = placed.filter("component <> main")
-    open_groups = apart.select("band", "key").distinct()
-    p = apart.select("band", "key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "main", "n")], F.col("sketch").alias("s_a"))
-    q = placed.join(open_groups, ["band", "key"], "left_semi").select("band", "key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "main", "n")], F.col("sketch").alias("s_b"))
-    rest = p.join(q, (p["band"] == q["band"]) & (p["key"] == q["key"]) & (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))) & _near(threshold, most))
+    placed = saved(placed.join(home, "center", "left").withColumn("main", F.coalesce("main", "center")).drop("center"))
+    open_groups = placed.filter("component <> main").select("band", "key").distinct()
+    placed = saved(placed.join(open_groups, ["band", "key"], "left_semi"))
+    fine = saved(fine_sketches(docs, placed.select("id").distinct(), width))
+    placed = placed.join(reps.select("id", "n", "sketch", "bands"), "id").join(fine, "id")
+    side = lambda rows, x: rows.select("band", "key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "main", "n", "sketch", "bands", "fine")])
+    p, q = side(placed.filter("component <> main"), "a"), side(placed, "b")
+    cross = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b")))
+    # of the bands that a pair shares only the first compares it
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    rest = p.join(q, ["band", "key"]).filter(cross & _near(threshold, most) & _differ("fine", FINE, most_differing(threshold, FINE_SAMPLES, FINE, FINE_MARGIN)) & first)
     rest = rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     more = alike(rest)
     joined = saved(components(links.unionByName(more))) if not more.isEmpty() else linked
@@ -180,12 +188,27 @@ def classes(docs: DataFrame, width: int = 2, threshold: float = 0.8) -> DataFram
 
 
 def _near(threshold: float, most: int) -> Column:
-    """n_a, n_b, s_a and s_b allow the threshold: by the sizes of the sets, and by the sketches."""
-    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(threshold * 100)
-    differing = F.bit_count(F.col("s_a")[0].bitwiseXOR(F.col("s_b")[0]))
-    for k in range(1, SKETCH):
-        differing = differing + F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k]))
-    return sized & (differing <= most)
+    """n_a, n_b, sketch_a and sketch_b allow the threshold: by the sizes of the sets, and by the sketches."""
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(threshold * 100)) & _differ("sketch", SKETCH, most)
+
+
+def _differ(name: str, words: int, most: int) -> Column:
+    """The two sketches of a pair differ in at most so many bits."""
+    return F.expr(" + ".join(f"bit_count({name}_a[{k}] ^ {name}_b[{k}])" for k in range(words))) <= most
+
+
+def fine_sketches(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, fine): a larger odd sketch of many more samples, only for the documents that ``ids`` names."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            raw = [(t or "").encode().lower() for t in b["text"]]
+            made = [odd_sketch(samples(x, _FINE_SEEDS), FINE) for first, end in pieces(raw) for x in shingles(raw[first:end], width)]
+            yield pd.DataFrame({"id": b["id"], "fine": made})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return texts.mapInPandas(run, f"id {kind}, fine array<long>")
 
 
 def _close_pairs(pairs: DataFrame, threshold: float, most: int) -> DataFrame:
