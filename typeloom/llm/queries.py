@@ -1,6 +1,7 @@
 """The operators' queries, by name."""
 
 from .fingerprints import op1_fingerprints
+from .hnsw import op6_nearest
 from .licenses import op4_licenses
 from .mixing import op9_mix_sources
 from .neardup import op5_near_duplicates
@@ -9,6 +10,6 @@ from .quality import op3_quality
 from .secrets import op7_secrets
 from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pack_sequences, op3_quality, op4_licenses, op5_near_duplicates, op7_secrets, op9_mix_sources, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pack_sequences, op3_quality, op4_licenses, op5_near_duplicates, op6_nearest, op7_secrets, op9_mix_sources, op10_warc)}
 #: Trained, tokenised, hashed and sampled results have no SQL form; those operators are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
