@@ -71,10 +71,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all white-space-delimited words of the texts, and each text's first index (one more at the end).
 
-    One pass over the joined bytes: a word's hash is a polynomial in its bytes, finalised.
+    One pass over the joined bytes: a word's hash is a polynomial in its bytes, finalised. ``beginnings`` asks for
+    further arrays with the hashes of the words' first so many bytes.
     """
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     inside = ~_SPACE[joined]
@@ -83,7 +84,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     firsts = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
     if not len(starts):
-        return np.zeros(0, np.uint64), firsts
+        return np.zeros(0, np.uint64), firsts, *(np.zeros(0, np.uint64) for _ in beginnings)
     powers = np.ones(int((ends - starts).max()), np.uint64)
     powers[1:] = _BASE
     powers = np.multiply.accumulate(powers)
@@ -91,7 +92,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first_in = np.concatenate(([0], np.cumsum(ends - starts)[:-1]))
     place = np.arange(len(where)) - np.repeat(first_in, ends - starts)
     terms = (joined[where].astype(np.uint64) + np.uint64(1)) * powers[place]
-    return mixed(np.add.reduceat(terms, first_in)), firsts
+    begun = (mixed(np.add.reduceat(np.where(place < n, terms, np.uint64(0)), first_in) + np.uint64(n << 32)) for n in beginnings)
+    return mixed(np.add.reduceat(terms, first_in)), firsts, *begun
 
 
 def pieces(texts: list[bytes], most: int = 4_000_000):
