@@ -163,6 +163,10 @@ def is_pattern_text(text: str) -> bool:
     return len(text) <= MAX_LENGTH and bool(py(ID).match(text) or py(PATTERN).match(text))
 
 
+def is_legacy_text(text: str) -> bool:
+    return len(text) <= MAX_LENGTH and bool(re.match(LEGACY_ID.replace(r"\z", r"\Z"), text))
+
+
 def matches(c: Column, pattern: str) -> Column:
     """Segment-wise match of identifiers by a literal pattern; ``X~*`` also matches ``X~`` itself."""
     return F.coalesce(Pattern(pattern).matches(c), F.lit(False))
@@ -180,13 +184,12 @@ def covers(a: Column, b: Column) -> Column:
     ``a`` is cut to what it fixes: a final wildcard fixes the text before it, a type fixes itself and selects all
     below it; a missing minor version stands for any.
     """
-    def fixed(c: Column) -> Column:
-        return F.regexp_replace(c, r"\*\z", "")
+    fixed = lambda c: F.regexp_replace(c, r"\*\z", "")
 
-    flexible = F.regexp_replace(F.regexp_replace(fixed(a), r"([.])", r"\\\\."), r"(\\\\\.v[0-9]+)(~|\z)", r"$1(?:\\\\.[0-9]+)?$2")
+    quoted = F.regexp_replace(fixed(a), r"\.", r"\\.")
+    flexible = F.regexp_replace(quoted, r"(\\\.v[0-9]+)(~|\z)", r"$1(?:\\.[0-9]+)?$2")
     open_end = a.endswith("*") | is_type(a)
     exact = ~open_end
     reached = F.regexp_like(fixed(b), F.concat(F.lit("^"), flexible, F.when(exact, F.lit(r"\z")).otherwise(F.lit(""))))
-    # a wildcard with a part of a version fixes digits: the other must continue at the same place or give it whole
     selects_many = b.endswith("*") | is_type(b)
     return F.coalesce(is_pattern(a) & is_pattern(b) & reached & (open_end | ~selects_many), F.lit(False))
