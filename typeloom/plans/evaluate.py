@@ -198,8 +198,11 @@ class _Compiler:
             at = jsons.member(v, name)
             out += [(at.isNotNull() & test, message) for test, message in self.checks(sub, at, f"{path}.{name}", root, home, via, inner)]
         members = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+        def breaks(pattern: str, sub):
+            return lambda e: self.search(e["key"], pattern, True) & self.failed(self.checks(sub, e["value"], path, root, home, via, True))
+
         for pattern, sub in named.items():
-            out.append((is_object & F.exists(members, lambda e, p=pattern, q=sub: self.search(e["key"], p, True) & self.failed(self.checks(q, e["value"], path, root, home, via, True))), f"{path}: patternProperties {pattern}"))
+            out.append((is_object & F.exists(members, breaks(pattern, sub)), f"{path}: patternProperties {pattern}"))
 
         def extra(key: Column) -> Column:
             free = ~key.isin(*known) if known else F.lit(True)
