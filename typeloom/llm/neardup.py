@@ -36,6 +36,8 @@ MARGIN = 0.22
 FINE_SAMPLES, FINE, FINE_MARGIN = 1600, 64, 0.06
 _FINE_SEEDS = mixed(np.arange(1001, 1001 + FINE_SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Ids that may be sent to all executors at once: some 100 MB as a hash table.
+SENT_IDS = 4_000_000
 
 
 def shingles(texts: list[bytes], width: int):
@@ -98,10 +100,20 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
+def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id and text of the documents that ``named`` (doc_id) names, a row each.
+
+    So that texts nobody asks for aren't shuffled, up to ``SENT_IDS`` ids are counted and then sent to all executors;
+    more of them are joined by shuffle.
+    """
+    named = saved(named)
+    named = F.broadcast(named) if named.count() <= SENT_IDS else named
+    return docs.select("doc_id", "text").join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough. Texts travel only for the ids that pairs name."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     least = round(threshold * 100)
 
     def run(batches):
@@ -156,11 +168,19 @@ def classes(docs: DataFrame, width: int = 2, threshold: float = 0.8) -> DataFram
     def alike(pairs: DataFrame) -> DataFrame:
         return saved(confirmed(saved(pairs), docs, width, threshold))
 
-    stars = members.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(traits.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a").join(
-        traits.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b"
-    )
-    links = alike(_close_pairs(stars, threshold, most))
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(traits.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a").join(
+            traits.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b"
+        )
+        return alike(_close_pairs(both, threshold, most))
+
+    # each member with the smallest centre of its bands; then, where that leaves it apart from a centre, with that one too
+    stars = members.filter("id <> center")
+    nearest = compared(stars.groupBy("id").agg(F.min("center").alias("a")).select("a", F.col("id").alias("b")))
+    near = saved(components(nearest))
+    side_of = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    apart = stars.join(side_of("id"), "id", "left").join(side_of("center"), "center", "left").filter(F.coalesce("id_in", "id") != F.coalesce("center_in", "center"))
+    links = nearest.unionByName(compared(apart.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()))
     linked = saved(components(links))
 
     # what is still apart within a band: members outside their band's main component, against all of another component
@@ -199,7 +219,7 @@ def _differ(name: str, words: int, most: int) -> Column:
 
 def fine_sketches(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, fine): a larger odd sketch of many more samples, only for the documents that ``ids`` names."""
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = texts_of(docs, ids.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
 
     def run(batches):
         for b in batches:
