@@ -36,8 +36,10 @@ MARGIN = 0.22
 FINE_SAMPLES, FINE, FINE_MARGIN = 1600, 64, 0.06
 _FINE_SEEDS = mixed(np.arange(1001, 1001 + FINE_SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Ids that may be sent to all executors at once: some 100 MB as a hash table.
-SENT_IDS = 4_000_000
+#: Rows of ids that may be sent to all executors at once: some 150 MB as a hash table.
+SENT_IDS = 2_000_000
+#: Pairs of one document that are confirmed together.
+GROUP = 256
 
 
 def shingles(texts: list[bytes], width: int):
@@ -100,34 +102,45 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
-def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """doc_id and text of the documents that ``named`` (doc_id) names, a row each.
-
-    So that texts nobody asks for aren't shuffled, up to ``SENT_IDS`` ids are counted and then sent to all executors;
-    more of them are joined by shuffle.
-    """
+def sent(named: DataFrame) -> DataFrame:
+    """``named``, saved, and to be sent to all executors if it is counted to be small, so that the texts it is joined with stay where they are."""
     named = saved(named)
-    named = F.broadcast(named) if named.count() <= SENT_IDS else named
-    return docs.select("doc_id", "text").join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return F.broadcast(named) if named.count() <= SENT_IDS else named
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. Texts travel only for the ids that pairs name."""
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    """The pairs (a, b) whose full sets are alike enough.
+
+    A pair's second text travels once, the first one once for every ``GROUP`` pairs of its document: rows are dealt by
+    the first document and a part of its pairs, and a task holds one first set while it reads the second texts.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    heads = dealt.select("a", F.col("a").alias("b"), "part").distinct().withColumn("head", F.lit(True))
+    asked = sent(dealt.withColumn("head", F.lit(False)).unionByName(heads).withColumn("doc_id", F.col("b")))
+    rows = docs.select("doc_id", "text").join(asked, "doc_id").select("a", "b", "part", "head", "text")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("head"))
     least = round(threshold * 100)
 
+    def alike(p: np.ndarray, q: np.ndarray) -> bool:
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return 100 * both >= least * (len(p) + len(q) - both) > 0
+
     def run(batches):
+        here, firsts = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = shingles([(x or "").encode().lower(), (y or "").encode().lower()], width)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= least * (len(p) + len(q) - both) > 0)
+            raw, keep = [(t or "").encode().lower() for t in batch["text"]], []
+            sets = (found for first, end in pieces(raw) for found in shingles(raw[first:end], width))
+            for a, part, head, found in zip(batch["a"], batch["part"], batch["head"], sets, strict=True):
+                if (a, part) != here:
+                    here, firsts = (a, part), []
+                if head and not any(np.array_equal(found, f) for f in firsts):
+                    firsts.append(found)
+                keep.append(not head and any(alike(f, found) for f in firsts))
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, f"a {kind}, b {kind}")
+    return rows.mapInPandas(run, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -153,6 +166,13 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(roots).withColumnRenamed("u", "node")
 
 
+def joined_by(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found``, joined by further links (a, b)."""
+    if links.isEmpty():
+        return found
+    return saved(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+
+
 def classes(docs: DataFrame, width: int = 2, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     signed = saved(signatures(docs, width))
@@ -180,8 +200,7 @@ def classes(docs: DataFrame, width: int = 2, threshold: float = 0.8) -> DataFram
     near = saved(components(nearest))
     side_of = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     apart = stars.join(side_of("id"), "id", "left").join(side_of("center"), "center", "left").filter(F.coalesce("id_in", "id") != F.coalesce("center_in", "center"))
-    links = nearest.unionByName(compared(apart.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()))
-    linked = saved(components(links))
+    linked = joined_by(near, compared(apart.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()))
 
     # what is still apart within a band: members outside their band's main component, against all of another component
     placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -198,8 +217,7 @@ def classes(docs: DataFrame, width: int = 2, threshold: float = 0.8) -> DataFram
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
     rest = p.join(q, ["band", "key"]).filter(cross & _near(threshold, most) & _differ("fine", FINE, most_differing(threshold, FINE_SAMPLES, FINE, FINE_MARGIN)) & first)
     rest = rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = alike(rest)
-    joined = saved(components(links.unionByName(more))) if not more.isEmpty() else linked
+    joined = joined_by(linked, alike(rest))
 
     of_class = reps.select("digest", "id").join(joined, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
@@ -219,7 +237,7 @@ def _differ(name: str, words: int, most: int) -> Column:
 
 def fine_sketches(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, fine): a larger odd sketch of many more samples, only for the documents that ``ids`` names."""
-    texts = texts_of(docs, ids.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sent(ids.select("id")), "id", "left_semi")
 
     def run(batches):
         for b in batches:
@@ -228,7 +246,7 @@ def fine_sketches(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "fine": made})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.mapInPandas(run, f"id {kind}, fine array<long>")
+    return texts.mapInPandas(run, f"id {kind}, fine array<long>").distinct()
 
 
 def _close_pairs(pairs: DataFrame, threshold: float, most: int) -> DataFrame:
