@@ -90,6 +90,22 @@ def test_packing_odd(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "x  <|endoftext|>\n y", "<|endoftext|", "w <|endoftext|> " * 1500]
+    pieces = defaultdict(list)
+    for r in packing.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        pieces[r.doc_id].append(r)
+    for i, text in enumerate(texts):
+        ids = np.array(tokens.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        rows = sorted(pieces[i], key=lambda r: r.piece)
+        assert sum(r.length for r in rows) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows)
+
+
 @pytest.mark.parametrize("name, label, fold", [("op3_quality", "quality", (4, 2)), ("op8_toxicity", "toxic", (5, 0))])
 def test_classifiers(spark, name, label, fold):
     # the toxic held-out fold has six positive rows on sf0.01, 97 on sf0.1
