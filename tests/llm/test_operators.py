@@ -225,6 +225,24 @@ def test_secrets(spark, odd):
     assert secrets.redacted(odd).count() == len(ODD) and secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_random_tokens(spark):
+    """Recall by encoding and length, and ordinary words run together as what must not be found."""
+    import random
+    import string
+
+    upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
+    symbols = {"hex": digits + "ABCDEF", "base32": upper + "234567", "lower base32": lower + "234567", "base36": lower + digits, "upper base36": upper + digits, "base62": upper + lower + digits, "base64": upper + lower + digits + "+/"}
+    rng = random.Random(7)
+    rows = [(f"{name} {n}", f"see {''.join(rng.choices(signs, k=n))} here") for name, signs in symbols.items() for n in (48, 64, 80, 100, 128) for _ in range(40)]
+    words = [w for _, text in texts_of() for w in re.findall("[a-z]{3,}", text or "")]
+    rows += [(f"words {n}", f"see {''.join(rng.choices(words, k=n))[:n - 1]}{rng.choice(digits)} here") for n in (48, 64, 80, 100, 128) for _ in range(40)]
+    found = secrets.scan(spark.createDataFrame(rows, "name string, text string")).groupBy("name").agg(F.avg((F.size("found") > 0).cast("double")).alias("share"))
+    shares = {r.name: r.share for r in found.collect()}
+    print(sorted(shares.items()))
+    assert len(shares) == 40
+    assert all(share <= 0.05 if name.startswith("words") else share >= 0.9 for name, share in shares.items()), shares
+
+
 def test_mixing(spark, odd):
     rows = QUERIES["op9_mix_sources"](spark, DIR).collect()
     size = {i: len(words_of(t)) for i, t in texts_of()}

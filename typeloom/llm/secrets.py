@@ -1,7 +1,8 @@
 """Operator 7: secret scans by fixed patterns and a randomness test battery, with SQL functions only.
 
 Base spans are the matches of three patterns. The battery adds tokens that look random: each candidate token of
-letters, digits and code signs gets an encoding (hex, base32, base64) by its characters, and three statistics:
+letters, digits and code signs gets the narrowest encoding that has all its characters (hex, base32 and base36 of one
+case, base62, base64), and three statistics:
 
 * chi-squared of its characters against a uniform alphabet, which stays near its degrees of freedom for random
   tokens and grows with the length for words;
@@ -35,6 +36,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGNED = 6
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: Number of symbols and pattern of the encodings, narrowest first; any other token is judged as base64.
+ENCODINGS = [(16.0, "^([0-9a-f]+|[0-9A-F]+)$"), (32.0, "^([a-z2-7]+|[A-Z2-7]+)$"), (36.0, "^([a-z0-9]+|[A-Z0-9]+)$"), (62.0, "^[A-Za-z0-9]+$")]
 #: False-discovery level; rejection bound of the runs and serial tests, in standard deviations.
 LEVEL, STEADY = 0.02, 3.5
 #: Collision rate of characters in words, and its spread times the square root of the length.
@@ -69,7 +72,9 @@ def battery(token: Column) -> Column:
     chars = F.split(token, "")
     size = lambda c: n - F.length(F.replace(token, c, F.lit("")))
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + size(c) * size(c))
-    alphabet = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16.0).when(token.rlike("^[A-Z2-7]+$"), 32.0).otherwise(64.0)
+    alphabet = F.lit(64.0)
+    for symbols, pattern in reversed(ENCODINGS):
+        alphabet = F.when(token.rlike(pattern), F.lit(symbols)).otherwise(alphabet)
     collisions = (squares - n) / (n * (n - 1))
     chi = alphabet / n * squares - n
     uniform = (chi - (alphabet - 1)) / F.sqrt(2 * (alphabet - 1))
