@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import ident, jsons
 from ..plans.lineage import cut
 
+#: After so many steps what a search has found is checkpointed as a whole.
+STEPS = 16
+
 
 def edges(entities: DataFrame) -> DataFrame:
     """source_id, source_is_schema, id, source_path: every identifier or pattern in a document, its own id included."""
@@ -44,27 +47,39 @@ def is_consistent(entities: DataFrame) -> bool:
     return broken(entities).isEmpty()
 
 
-def reachable(entities: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """root, id, distance: what each root (a column ``id``) leads to by references, nearest first.
+def bindings(entities: DataFrame) -> DataFrame:
+    """source_id, source_is_schema, id, source_path: from each entity to its type by its schema id."""
+    bound = entities.filter(F.col("schema_id").isNotNull() & (F.col("schema_id") != "") & ~F.col("schema_id").rlike("^https?://json-schema[.]org"))
+    return bound.select(F.col("entity_key").alias("source_id"), F.col("is_schema").alias("source_is_schema"), F.col("schema_id").alias("id"), F.lit("(type binding)").alias("source_path"))
+
+
+def reachable(entities: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, id, distance: what each root (a column ``id``) leads to by references and schema ids, nearest first.
 
     A breadth-first search over all roots at once; each step joins the new front with the edges. The search ends
-    when nothing new is found, or at ``depth``. Fronts are checkpointed, so plans don't grow with the distance.
+    when nothing new is found. Fronts are checkpointed, so plans don't grow with the distance.
     """
-    own = cut(edges(entities).filter(F.col("source_id") != F.col("id")).select("source_id", F.col("id").alias("to")).distinct())
+    every = edges(entities).select("source_id", "id").unionByName(bindings(entities).select("source_id", "id"))
+    own = cut(every.filter(F.col("source_id") != F.col("id")).select("source_id", F.col("id").alias("to")).distinct())
     seen = front = cut(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("distance")).distinct())
-    for step in range(1, depth + 1):
+    step = 0
+    while not front.isEmpty():
+        step += 1
         found = front.join(own, front.id == own.source_id).select("root", F.col("to").alias("id"), F.lit(step).alias("distance")).distinct()
         front = cut(found.join(seen, ["root", "id"], "left_anti").select("root", "id", "distance"))
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
+        seen = seen if step % STEPS else cut(seen)
     return seen
 
 
-def graph(entities: DataFrame, root: str) -> DataFrame:
-    """The edges of what one identifier leads to, with whether each end is stored: source_id, source_path, id, missing."""
+def graph(entities: DataFrame, root: str, bound: bool = False) -> DataFrame:
+    """The references of what one identifier leads to, with whether each end is stored: source_id, source_path, id, missing.
+
+    Types named by schema ids alone are followed as well; ``bound`` also gives these edges as rows.
+    """
     spark = entities.sparkSession
     nodes = reachable(entities, spark.createDataFrame([(root,)], "id string")).select(F.col("id").alias("source_id")).distinct()
     keys = entities.select(F.col("entity_key").alias("id"), F.lit(True).alias("stored")).distinct()
-    mine = edges(entities).join(nodes, "source_id", "left_semi").filter((F.col("id") != F.col("source_id")) & ~F.col("id").contains("json-schema.org"))
+    every = edges(entities).unionByName(bindings(entities)) if bound else edges(entities)
+    mine = every.join(nodes, "source_id", "left_semi").filter((F.col("id") != F.col("source_id")) & ~F.col("id").contains("json-schema.org"))
     return mine.join(keys, "id", "left").select("source_id", "source_path", "id", F.col("stored").isNull().alias("missing"))

@@ -24,6 +24,8 @@ UPPER = ("maximum", "exclusiveMaximum", "maxLength", "maxItems", "maxProperties"
 REF_KEYWORDS = ("x-gts-type-ref", "x-gts-instance-ref", "x-gts-pattern-ref")
 TOP_KEYWORDS = ("x-gts-traits-schema", "x-gts-traits", "x-gts-abstract", "x-gts-final")
 MAX_NODES = 100_000
+#: After so many steps the positions put in place are checkpointed as a whole.
+STEPS = 16
 
 _NAMES = ArrayType(StringType())
 NODE = StructType()
@@ -102,15 +104,16 @@ def positions(schemas: DataFrame, column: str = "content") -> DataFrame:
     return schemas.select(F.col("entity_key").alias("type_id"), F.explode(_position_rows(F.col(column))).alias("n")).select("type_id", "n.*")
 
 
-def resolved(rows: DataFrame, depth: int = 32) -> DataFrame:
-    """Positions with those of referenced types put in place, step by step: a step joins open references with the
-    positions of what they name. References that come back to a type on their way, or to none, become error rows."""
+def resolved(rows: DataFrame) -> DataFrame:
+    """Positions with those of referenced types put in place, step by step until no reference is open: a step joins
+    open references with the positions of what they name. References that come back to a type on their way, or to
+    none, become error rows, so that a chain is at most as long as there are types."""
     rows = cut(rows.withColumn("via", F.array("type_id")))
     target = rows.select(F.col("type_id").alias("target"), *[F.col(c).alias(f"t_{c}") for c in rows.columns if c not in ("type_id", "via")])
     done, front = rows, rows.filter("ref IS NOT NULL")
-    for _ in range(depth):
-        if front.isEmpty():
-            break
+    step = 0
+    while not front.isEmpty():
+        step += 1
         known = target.select("target").distinct().withColumn("found", F.lit(True))
         opened = front.join(known, front.ref == F.col("target"), "left").drop("target")
         lost = F.when(F.array_contains("via", F.col("ref")), F.concat(F.lit("cyclic $ref: "), "ref")).when(F.col("found").isNull(), F.concat(F.lit("missing type: "), "ref"))
@@ -123,6 +126,7 @@ def resolved(rows: DataFrame, depth: int = 32) -> DataFrame:
             F.concat("via", F.array("ref")).alias("via"),
         ))
         done = done.unionByName(moved).unionByName(bad.select(*done.columns))
+        done = done if step % STEPS else cut(done)
         front = moved.filter("ref IS NOT NULL")
     return done.drop("via")
 
