@@ -142,6 +142,42 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(odd.limit(0)).count() == 0
 
 
+def written_forms(pattern):
+    """Texts that a pattern of a rule matches: every alternative, options all left out or all taken."""
+    def forms(tree, full):
+        out = [""]
+        for kind, x in tree:
+            name = str(kind)
+            if name == "LITERAL":
+                some = [chr(x)]
+            elif name == "IN":
+                some = [chr(c) for _, c in x]
+            elif name == "BRANCH":
+                some = [t for part in x[1] for t in forms(part, full)]
+            elif name == "SUBPATTERN":
+                some = forms(x[-1], full)
+            else:
+                assert name == "MAX_REPEAT" and tuple(x[:2]) == (0, 1)
+                some = forms(x[2], full) if full else [""]
+            out = [a + b for a in out for b in some]
+        return out
+
+    parse = re._parser.parse
+    return {t for full in (False, True) for t in forms(parse(pattern), full)}
+
+
+def test_license_rules(spark):
+    samples = {}
+    for name, (_, pattern) in licenses.NAMES.items():
+        label = name.removesuffix("-long")
+        for form in written_forms(pattern):
+            for text in [f"spdx license identifier {form}", f"this file is licensed under the {form} license", f"licensed under {form}", f"subject to the {form}", f"license {form}", f"{form} license"] + [form] * (name not in licenses.PLAIN):
+                samples[text] = label
+    samples |= {"licensed under the FreeBSD license": "bsd-2-clause", "Released under GPLv2": "gpl-2", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3", "under LGPLv3": "lgpl-3", "GNU General Public License v3.0": "gpl-3", "LGPL-2.1-only": "lgpl-2.1", "MPL-2.0": "mpl-2"}
+    rows = licenses.scan(spark.createDataFrame(list(samples.items()), "text string, label string")).select("text", "label", F.expr("transform(found, f -> f.label)").alias("labels")).collect()
+    assert not [tuple(r) for r in rows if r.label not in r.labels]
+
+
 def brute_components(rows, width, least=80):
     sets = {}
     for i, text in rows:

@@ -1,8 +1,8 @@
 """Operator 4: license scans by ordered signature rules, with SQL functions only.
 
 A text is reduced to its words (A-Z lower-cased), joined by single spaces. Rules are regular expressions over that
-form, some hundreds of them made from hand-written sentence patterns and license names. Rules are gated by a keyword:
-most texts hold none and are done after one look; in the others only the rules whose keyword occurs are run.
+form, some hundreds of them made from hand-written sentence patterns and license names. Rules are gated by
+keywords: most texts hold none and are done after one look; in the others only the rules with a keyword there are run.
 A detection has the rule's priority. One that lies within another of higher priority, or within a longer one of equal
 priority, is suppressed; the base phrases are detected apart from this and always stay.
 
@@ -24,35 +24,38 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Fixed base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label -> (keyword, pattern of its name in words). A name's keyword must occur in any text that the name matches.
+#: What may stand between the name of a GNU license and its version.
+BY = "(?: as published by the free software foundation)?(?: either)?"
+#: label -> (keywords, pattern of its name in words: full, short and SPDX forms). One of a name's keywords, as a whole
+#: word, must occur in any text that the name matches (tested on samples of every rule).
 NAMES = {
     "mit": ("mit", "mit"),
     "x11": ("x11", "x11"),
     "isc": ("isc", "isc"),
     "zlib": ("zlib", "zlib(?: libpng)?"),
-    "bsd-2-clause": ("bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"),
+    "bsd-2-clause": ("bsd freebsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"),
     "bsd-3-clause": ("bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"),
     "bsd-4-clause": ("bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
     "bsd": ("bsd", "bsd"),
-    "apache-1": ("apache", "apache(?: software)?(?: license)?(?: version)? 1(?: [01])?"),
-    "apache-2": ("apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    "gpl-2": ("general", "(?:gnu )?general public license(?: gpl)? (?:version|v) 2(?: 0)?"),
-    "gpl-3": ("general", "(?:gnu )?general public license(?: gpl)? (?:version|v) 3(?: 0)?"),
-    "lgpl-2.1": ("lesser", "(?:gnu )?lesser general public license(?: lgpl)? (?:version|v) 2 1"),
-    "lgpl-3": ("lesser", "(?:gnu )?lesser general public license(?: lgpl)? (?:version|v) 3(?: 0)?"),
-    "agpl-3": ("affero", "(?:gnu )?affero general public license(?: agpl)?(?: (?:version|v) 3(?: 0)?)?"),
+    "apache-1": ("apache apachev1", "(?:apache(?: software)?(?: license)? (?:version |v ?)?1|apachev1)(?: [01])?"),
+    "apache-2": ("apache apachev2 apache2", "(?:apache(?: software)?(?: license)? (?:version |v ?)?2|apachev2|apache2)(?: 0)?"),
+    "gpl-2": ("general gpl gplv2 gpl2", f"(?:gnu )?(?:general public license(?: gpl)?{BY} (?:version |v ?)2|gpl(?: license)? (?:version |v ?)?2|gplv2|gpl2)(?: 0)?"),
+    "gpl-3": ("general gpl gplv3 gpl3", f"(?:gnu )?(?:general public license(?: gpl)?{BY} (?:version |v ?)3|gpl(?: license)? (?:version |v ?)?3|gplv3|gpl3)(?: 0)?"),
+    "lgpl-2.1": ("lesser lgpl lgplv2", f"(?:gnu )?(?:lesser general public license(?: lgpl)?{BY} (?:version |v ?)2|lgpl(?: license)? (?:version |v ?)?2|lgplv2) 1"),
+    "lgpl-3": ("lesser lgpl lgplv3 lgpl3", f"(?:gnu )?(?:lesser general public license(?: lgpl)?{BY} (?:version |v ?)3|lgpl(?: license)? (?:version |v ?)?3|lgplv3|lgpl3)(?: 0)?"),
+    "agpl-3": ("affero agpl agplv3 agpl3", f"(?:gnu )?(?:affero general public license(?: agpl)?(?:{BY} (?:version |v ?)3)?|agpl(?: license)? (?:version |v ?)?3|agplv3|agpl3)(?: 0)?"),
     "gpl": ("gpl", "(?:gnu )?gpl"),
     "lgpl": ("lgpl", "(?:gnu )?lgpl"),
     "agpl": ("agpl", "(?:gnu )?agpl"),
-    "gfdl": ("documentation", "(?:gnu )?free documentation license"),
-    "mpl-1.1": ("mozilla", "mozilla public license(?: mpl)? (?:version|v) 1 1"),
-    "mpl-2": ("mozilla", "mozilla public license(?: mpl)?(?: (?:version|v) 2(?: 0)?)?"),
-    "epl-1": ("eclipse", "eclipse public license(?: epl)? (?:version|v)? ?1(?: 0)?"),
-    "epl-2": ("eclipse", "eclipse public license(?: epl)? (?:version|v)? ?2(?: 0)?"),
-    "cddl": ("distribution", "common development and distribution license"),
-    "cpl": ("common", "common public license"),
-    "artistic": ("artistic", "(?:perl )?artistic license"),
-    "boost": ("boost", "boost software license"),
+    "gfdl": ("documentation gfdl", "(?:(?:gnu )?free documentation license|gfdl)"),
+    "mpl-1.1": ("mozilla mpl mplv1", "(?:mozilla public license(?: mpl)? (?:version |v ?)?1|mpl (?:version |v ?)?1|mplv1) 1"),
+    "mpl-2": ("mozilla mpl mplv2", "(?:mozilla public license(?: mpl)?(?: (?:version |v ?)?2)?|mpl (?:version |v ?)?2|mplv2)(?: 0)?"),
+    "epl-1": ("eclipse epl", "(?:eclipse public license(?: epl)?|epl) (?:version |v ?)?1(?: 0)?"),
+    "epl-2": ("eclipse epl", "(?:eclipse public license(?: epl)?|epl) (?:version |v ?)?2(?: 0)?"),
+    "cddl": ("distribution cddl", "(?:common development and distribution license|cddl)"),
+    "cpl": ("common cpl", "(?:common public license|cpl 1 0)"),
+    "artistic": ("artistic", "(?:(?:perl )?artistic license|artistic [12] 0)"),
+    "boost": ("boost bsl", "(?:boost software license|bsl 1 0)"),
     "unlicense": ("unlicense", "(?:the )?unlicense"),
     "wtfpl": ("wtfpl", "wtfpl"),
     "cc0": ("cc0", "(?:creative commons )?cc0(?: 1 0)?"),
@@ -67,22 +70,22 @@ NAMES = {
     "cc-by-nc-long": ("creative", "creative commons attribution non ?commercial"),
     "cc-by-nc-sa-long": ("creative", "creative commons attribution non ?commercial share ?alike"),
     "cc-by-nc-nd-long": ("creative", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?"),
-    "odbl": ("database", "open database license"),
-    "ofl": ("font", "(?:sil )?open font license"),
-    "eupl": ("european", "european union public license"),
-    "ms-pl": ("microsoft", "microsoft public license"),
+    "odbl": ("database odbl", "(?:open database license|odbl)"),
+    "ofl": ("font ofl", "(?:(?:sil )?open font license|ofl 1 [01])"),
+    "eupl": ("european eupl", "(?:european union public license|eupl)"),
+    "ms-pl": ("microsoft ms", "(?:microsoft public license|ms pl)"),
     "openssl": ("openssl", "openssl"),
     "postgresql": ("postgresql", "postgresql"),
-    "python": ("python", "python(?: software foundation)?"),
+    "python": ("python psf", "(?:python(?: software foundation)?|psf 2 0)"),
     "php": ("php", "php"),
     "ruby": ("ruby", "ruby"),
     "vim": ("vim", "vim"),
     "json": ("json", "json"),
     "ncsa": ("ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
     "proprietary": ("proprietary", "proprietary"),
-    "elastic-2": ("elastic", "elastic license"),
-    "sspl": ("server", "server side public license"),
-    "bsl-1.1": ("business", "business source license(?: 1 1)?"),
+    "elastic-2": ("elastic", "elastic (?:license|2 0)"),
+    "sspl": ("server sspl", "(?:server side public license|sspl)"),
+    "bsl-1.1": ("business busl", "(?:business source license|busl)(?: 1 1)?"),
 }
 #: (priority, confidence, sentence pattern; {} is the name). Higher priority is more specific.
 SENTENCES = [
@@ -98,14 +101,14 @@ ALONE = (30, 0.6)
 PLAIN = {"mit", "x11", "isc", "bsd", "proprietary", "python", "php", "ruby", "vim", "json", "openssl", "postgresql", "boost"}
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, pattern, label, priority, confidence) of every rule, in order of priority."""
+def rules() -> list[tuple[list[str], str, str, int, float]]:
+    """(keywords, pattern, label, priority, confidence) of every rule, in order of priority."""
     made = []
-    for name, (keyword, pattern) in NAMES.items():
-        label = name.removesuffix("-long")
-        made += [(keyword, s.replace("{}", pattern), label, priority, sure) for priority, sure, s in SENTENCES]
+    for name, (listed, pattern) in NAMES.items():
+        label, keywords = name.removesuffix("-long"), listed.split()
+        made += [(keywords, s.replace("{}", pattern), label, priority, sure) for priority, sure, s in SENTENCES]
         if name not in PLAIN:
-            made.append((keyword, pattern, label, *ALONE))
+            made.append((keywords, pattern, label, *ALONE))
     return sorted(made, key=lambda r: (-r[3], r[2], r[1]))
 
 
@@ -113,8 +116,8 @@ def _rule_table() -> Column:
     """The rules as one constant array, read from a JSON text so that the plan stays small."""
     import json
 
-    listed = [{"keyword": f" {k} ", "pattern": f"(?<= ){p}(?= )", "label": label, "priority": priority, "sure": sure} for k, p, label, priority, sure in rules()]
-    return F.from_json(F.lit(json.dumps(listed)), "array<struct<keyword:string,pattern:string,label:string,priority:int,sure:double>>")
+    listed = [{"keywords": [f" {w} " for w in k], "pattern": f"(?<= ){p}(?= )", "label": label, "priority": priority, "sure": sure} for k, p, label, priority, sure in rules()]
+    return F.from_json(F.lit(json.dumps(listed)), "array<struct<keywords:array<string>,pattern:string,label:string,priority:int,sure:double>>")
 
 
 _FOUND = "array<struct<first:int,last:int>>"
@@ -141,7 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(lower, F.lit(WORDS), F.lit(0))
     own = [c for c in docs.columns if c not in ("n_words", "base", "found", "_words", "_joined", "_rules")]
     out = docs.withColumn("_words", words).select(*own, F.size("_words").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_joined"))
-    keywords = sorted({r[0] for r in rules()})
+    keywords = sorted({k for r in rules() for k in r[0]})
     gate = F.col("_joined").rlike(f" (?:{'|'.join(keywords)}) ")
     kind = "array<struct<first:int,last:int,label:string,priority:int,sure:double>>"
 
@@ -153,7 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(F.contains("_joined", F.lit(f" {p} ")), detections(F.lit(f"(?<= ){p}(?= )"), F.lit(label), F.lit(100), F.lit(1.0))).otherwise(F.array().cast(kind))
         for p, label in BASE.items()
     ]
-    active = F.filter("_rules", lambda r: F.contains("_joined", r["keyword"]) & F.regexp_like(F.col("_joined"), r["pattern"]))
+    active = F.filter("_rules", lambda r: F.exists(r["keywords"], lambda k: F.contains("_joined", k)) & F.regexp_like(F.col("_joined"), r["pattern"]))
     found = F.flatten(F.transform(active, lambda r: detections(r["pattern"], r["label"], r["priority"], r["sure"])))
     out = out.withColumn("_rules", F.when(gate, _rule_table())).withColumn("base", F.concat(*base)).withColumn("_all", F.when(gate, found).otherwise(F.array().cast(kind)))
     holds = lambda b, a: (
