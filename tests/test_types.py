@@ -161,6 +161,16 @@ def test_cast(spark):
     assert found["gts.x.k.b.other.v1.0~x.k._.o.v1"].errors == ["NotMinorVariantPair"]
 
 
+def test_cast_objects_in_arrays(spark):
+    const = "gts.x.k.b.i.v1.1~"
+    item = {"type": "object", "additionalProperties": False, "properties": {"x": {"default": 1}, "t": {"const": const}, "deep": {"type": "array", "items": {"type": "object", "properties": {"y": {"default": 2}}}}}}
+    target = schema(const, properties={"list": {"type": "array", "items": item}})
+    doc = {"list": [{"old": 0, "t": "gts.x.k.b.i.v1.0~", "deep": [{}, 5]}, "text", None, {"x": 7}], "same": []}
+    got = json.loads(one(spark, evaluate.cast(F.col("t"), target), t=json.dumps(doc)))
+    assert got["same"] == [] and got["list"][1:3] == ["text", None]
+    assert got["list"][0] == {"x": 1, "t": const, "deep": [{"y": 2}, 5]} and got["list"][3]["x"] == 7
+
+
 def test_registry_sessions(spark):
     t = "gts.x.s.b.t.v1~x.s._.{}.v1"
     r = registry.Registry(entities(spark, {"id": t.format("a"), "title": "a"}))

@@ -292,12 +292,12 @@ def _flat(schema: dict, types: dict[str, dict], via: tuple = ()) -> dict:
 
 def cast(content: Column, schema: dict, types: dict[str, dict] | None = None) -> Column:
     """A JSON object moved to another minor version: defaults filled in, constant identifiers replaced, and what a
-    closed version doesn't know taken out; nested objects likewise. Null for anything but an object."""
+    closed version doesn't know taken out; nested objects and objects in arrays likewise. Null for anything but an object."""
     v = jsons.variant(content)
     return F.when(jsons.kind(v) == "OBJECT", F.to_json(_moved(v, schema, types or {})))
 
 
-def _moved(v: Column, schema: dict, types: dict[str, dict]) -> Column:
+def _moved(v: Column, schema: dict, types: dict[str, dict], via: tuple = ()) -> Column:
     flat = _flat(schema, types)
     old = F.try_variant_get(v, "$", "map<string,variant>")
     kept = F.map_filter(old, lambda k, _: k.isin(*flat["properties"])) if flat["closed"] and flat["properties"] else old
@@ -310,9 +310,17 @@ def _moved(v: Column, schema: dict, types: dict[str, dict]) -> Column:
             put[name] = F.coalesce(at, F.parse_json(F.lit(json.dumps(sub["default"]))))
         if isinstance(const, str) and const.startswith("gts.") and ident.is_pattern_text(const):
             put[name] = F.when(at.isNull() | (jsons.kind(at) == "STRING"), F.parse_json(F.lit(json.dumps(const)))).otherwise(at)
+        # a schema within itself comes by references: unrolled as far as validation judges it
+        way = (*via, json.dumps(sub, sort_keys=True))
+        if way.count(way[-1]) > UNROLL:
+            continue
         nested = _flat(sub, types)
         if nested["properties"]:
-            put[name] = F.when(jsons.kind(at) == "OBJECT", _moved(at, sub, types)).otherwise(put.get(name, at))
+            put[name] = F.when(jsons.kind(at) == "OBJECT", _moved(at, sub, types, way)).otherwise(put.get(name, at))
+        items = sub.get("items")
+        if isinstance(items, dict) and _flat(items, types)["properties"]:
+            each = F.transform(F.try_variant_get(at, "$", "array<variant>"), lambda x: F.when(jsons.kind(x) == "OBJECT", _moved(x, items, types, way)).otherwise(x))
+            put[name] = F.when(jsons.kind(at) == "ARRAY", F.to_variant_object(each)).otherwise(put.get(name, at))
     if not put:
         return F.to_variant_object(kept)
     rest = F.map_filter(kept, lambda k, _: ~k.isin(*put))
