@@ -213,6 +213,36 @@ def test_near_duplicates_odd(spark, odd):
     assert neardup.kept_rows(odd, 2).columns == odd.columns and neardup.classes(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts are nodes: a repeated id with another text, a null id, and a row that repeats the one that stays."""
+    a, b, c = "one two three four five six", "other words stand here", "a third text of its own"
+    rows = [(2, a), (4, a), (4, b), (None, b), (None, c), (None, c), (7, ""), (7, ""), (2, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(0) for n in ("id", "key", "text_key", "_id", "_key")})
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.classes(docs).collect())
+    assert got == Counter({(2, 5, 2, True): 2, (4, 5, 2, False): 1, (4, 3, 4, True): 1, (None, 3, 4, False): 1, (None, 5, None, True): 2, (7, 0, 7, True): 2})
+    assert Counter((r.doc_id, r.text) for r in neardup.kept_rows(docs, 2).collect()) == Counter([(2, a), (4, b), (None, c), (7, ""), (7, "")])
+
+
+def test_outlying_near_copies(spark):
+    """A group of copies edited to several degrees, and parts of a few rows: the links that brute force finds, whatever landmark a row meets."""
+    import random
+
+    rng, rows = random.Random(5), []
+    base = [f"w{k}" for k in range(80)]
+    for i in range(160):
+        words = list(base)
+        for k in rng.sample(range(80), rng.choice((0, 1, 2, 3, 5, 8))):
+            words[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(words)))
+    want = brute_components(rows, 2)
+    part, neardup.PART = neardup.PART, 16
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        neardup.PART = part
+    assert got == want and len({c for _, c in want.values()}) > 1
+
+
 def test_large_group_of_near_copies(spark):
     base = [f"w{k}" for k in range(100)]
     rows = [(i, " ".join(base[:90] + [f"v{i}"] + base[91:])) for i in range(300)] + [(1000 + i, " ".join(f"u{i}_{k}" for k in range(100))) for i in range(20)]

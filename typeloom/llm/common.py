@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="typeloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -43,6 +43,18 @@ def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -96,7 +108,24 @@ def word_hashes(texts: list[bytes], beginnings: tuple[int, ...] = ()) -> tuple[n
     return mixed(np.add.reduceat(terms, first_in)), firsts, *begun
 
 
-def pieces(texts: list[bytes], most: int = 4_000_000):
+def byte_slices(column: pa.Array, most: int = 400_000):
+    """(first, values as bytes) of slices of a text column, null as empty, of at most ``most`` bytes each (or one text).
+
+    The rest of the Arrow batch stays in its buffers, so that a pass holds one slice's values at a time.
+    """
+    raw = pc.fill_null(column, "").cast(pa.large_binary())
+    sizes = pc.binary_length(raw).to_numpy()
+    first, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and total + size > most:
+            yield first, raw.slice(first, i - first).to_pylist()
+            first, total = i, 0
+        total += size
+    if first < len(sizes):
+        yield first, raw.slice(first).to_pylist()
+
+
+def pieces(texts: list[bytes], most: int = 400_000):
     """Slices of a batch of at most ``most`` bytes each (or one text), so that a pass over them stays in bounded memory."""
     first, total = 0, 0
     for i, text in enumerate(texts):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import crc_fold, pieces, table, word_hashes
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled rows at most that the model learns from, and of each the words at most that a training step sees at once.
+#: Labelled rows at most that the model learns from.
 SAMPLE = 6000
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 12, 16, (1, 2, 3)
 BEGINNINGS = (4, 5)
