@@ -12,7 +12,7 @@
 5. Components by alternating large-star and small-star steps, all in DataFrames.
 
 What can be lost: two sets of likeness 0.8 share none of the bands with a chance of 5 in a million, less at higher
-likeness; the sketches' margins are some five standard deviations. Sets are of 64-bit hashes, classes are named by 64
+likeness; the sketches' margins are four to five standard deviations. Sets are of 64-bit hashes, classes are named by 64
 bits of their digest. Every link that is made is confirmed on full sets.
 
 Defined cases: a null text, or one without words, has n_shingles 0, is its own component and is kept; a text with
@@ -36,10 +36,10 @@ from .common import byte_slices, fresh, mixed, saved, table, word_hashes
 BANDS, ROWS = 40, 6
 #: 64-bit words of the odd sketch.
 SKETCH = 8
-#: Likeness that the sketch may give less than the threshold: some five standard deviations.
+#: Likeness that the sketch may give less than the threshold: some six standard deviations.
 MARGIN = 0.15
 #: Samples, 64-bit words and margin of the fine sketch, which only documents get that are compared within a band.
-FINE_SAMPLES, FINE, FINE_MARGIN = 1600, 64, 0.05
+FINE_SAMPLES, FINE, FINE_MARGIN = 1600, 64, 0.04
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: A seed gives two samples: the upper and the lower half of a product.
 _SEEDS = mixed(np.arange(1, BANDS * ROWS // 2 + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
@@ -157,6 +157,7 @@ def confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, t
     pairs = saved(pairs)
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     dealt = pairs.join(parts.filter("parts > 1"), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).alias("part"))
+    dealt = saved(dealt)
     first = dealt.select("a", F.col("a").alias("b"), "part").distinct().withColumn("head", F.lit(True))
     asked = dealt.withColumn("head", F.lit(False)).unionByName(first).join(heads.withColumnRenamed("node", "b"), "b")
     rows = texts_of(docs, asked, "a", "b", "part", "head")
@@ -232,14 +233,17 @@ def linked(reps: DataFrame, docs: DataFrame, width: int, threshold: float) -> Da
     """(node, component) of the classes that have a link. ``reps``: node, n, doc_id, text_key, bands, sketch."""
     heads = reps.select("node", "doc_id", "text_key")
     banded = reps.select("node", F.explode("bands").alias("key"))
-    marks = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(MARKS))))
-    groups = banded.groupBy("key").agg(marks.alias("marks"), F.count("*").alias("members")).filter("members > 1")
+    # most keys have one member: they go before anything else is made of a group
+    groups = banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     members = saved(banded.join(groups, "key"))
+    marks = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(MARKS))))
+    marked = members.join(members.groupBy("key").agg(marks.alias("marks")), "key").select(F.col("node").alias("b"), "members", F.explode("marks").alias("a"))
+    # a pair of two goes one way
+    asked = marked.filter((F.col("a") < F.col("b")) | (F.col("members") > 2) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
 
     def side(x: str) -> DataFrame:
         return reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
-    asked = members.select(F.col("node").alias("b"), F.explode("marks").alias("a")).filter("a <> b").distinct()
     near = asked.join(side("a"), "a").join(side("b"), "b").filter(_near(threshold, "sketch", SKETCH, most_differing(threshold)))
     near = saved(near.select("a", "b", _differing("sketch", SKETCH).alias("d")))
     nearest = F.min_by("a", F.struct("d", "a")).alias("a")
@@ -259,7 +263,9 @@ def rest(members: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame,
     mixed_groups = shares.groupBy("key").agg(F.max_by("component", F.struct("share", "component")).alias("main"), F.count("*").alias("many")).filter("many > 1")
     placed = saved(placed.join(mixed_groups.select("key", "main"), "key"))
     fine = saved(fine_sketches(docs, placed.select("node").distinct().join(reps.select("node", "doc_id", "text_key"), "node"), width))
-    traits = saved(placed.join(reps.select("node", "n", "bands"), "node").join(fine, "node").withColumn("parts", F.ceil(F.col("members") / PART).cast("int")))
+    # of the bands' keys their lower halves tell which ones a pair shares
+    bands = F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")).alias("bands")
+    traits = saved(placed.join(reps.select("node", "n", bands), "node").join(fine, "node").withColumn("parts", F.ceil(F.col("members") / PART).cast("int")))
 
     def side(rows: DataFrame, x: str) -> DataFrame:
         return rows.select("key", "part", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "main", "n", "bands", "fine")])
@@ -270,7 +276,7 @@ def rest(members: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame,
     cross = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b")))
     # of the bands that a pair shares only the first compares it
     shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True)).cast("int")
-    first = F.element_at("bands_a", F.greatest(shared, F.lit(1))) == F.col("key")
+    first = F.element_at("bands_a", F.greatest(shared, F.lit(1))) == F.shiftright(F.shiftleft("key", 32), 32).cast("int")
     alike = _near(threshold, "fine", FINE, most_differing(threshold, FINE_SAMPLES, FINE, FINE_MARGIN))
     pairs = side(outside, "a").join(side(whole, "b"), ["key", "part"]).filter(cross & alike & first)
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
