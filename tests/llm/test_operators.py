@@ -348,10 +348,27 @@ def test_warc(spark):
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want
 
 
-def test_warc_odd(spark, tmp_path):
-    rows = [(1, None, None), (2, "", ""), (3, "http://a.example/x", "<p>\r\n\r\nWARC/1.1</p>"), (4, "http://a.example/x", "<p>\r\n\r\nWARC/1.1</p>"), (5, "no url\r\nX: y", "z")]
-    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
-    assert warc.index(spark, str(tmp_path / "w")).count() == len(rows)
+def test_warc_odd(spark, tmp_path, monkeypatch):
+    """Nulls, repeated ids, empty payloads, clashing columns, an empty table; ranges and blocks of a few rows; order over all partitions."""
+    same = "<p>\r\n\r\nWARC/1.1</p>"
+    rows = [(1, None, None), (2, "", ""), (3, "http://a.example/x", same), (4, "http://a.example/x", same), (5, "no url\r\nX: y", "z"), (None, "http://b.example/", same), (None, None, "n"), (4, "http://a.example/y", same), (3, "http://a.example/x", same), (5, "u", "other")]
+    rows += [(100 + k, f"http://h{k % 7}.example/{k % 3}", f"page {k % 40}") for k in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(0) for c in ("key", "first", "digest", "n", "nth")})
+    monkeypatch.setattr(warc, "ARCHIVE", 100)
+    monkeypatch.setattr(warc, "BLOCK", 2)
+    for sent in (warc.SENT_IDS, 0):
+        monkeypatch.setattr(warc, "SENT_IDS", sent)
+        warc.write(pages, str(tmp_path / f"w{sent}"))
+        got = warc.index(spark, str(tmp_path / f"w{sent}")).collect()
+        first = {}
+        for i, _, html in rows:
+            first[html or ""] = min((x for x in (i, first.get(html or "")) if x is not None), default=None)
+        want = Counter((i, len((html or "").encode()), "response" if i == first[html or ""] else "revisit", None if i == first[html or ""] else first[html or ""]) for i, _, html in rows)
+        assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == want
+        keys = [(r.urlkey, r.captured, r.page_id is None, r.page_id or 0) for r in got]
+        assert keys == sorted(keys) and len({r.archive for r in got}) > 1
+    warc.write(pages.limit(0), str(tmp_path / "none"))
+    assert warc.index(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_shared_folder(spark):

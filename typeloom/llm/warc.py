@@ -1,12 +1,15 @@
 """Operator 10: WARC archives and an external merge of their index.
 
 Writing: equal payloads are found by their SHA-256; the smallest page_id of each is the response, the others are
-revisits that refer to it. Archives are plain WARC/1.1 text files that Spark's text sink writes, with the records'
-closing CRLF CRLF as line separator, so any file system that Spark knows will do.
+revisits that refer to it. Only ids and digests meet for that; payloads go from the table to the archives at once
+where the revisits are few enough to be sent to all tasks, by one shuffle otherwise. Archives are gzipped WARC/1.1
+files of bounded size that Spark's text sink writes, with the records' closing CRLF CRLF as line separator, so any
+file system that Spark knows will do; a whole archive is one gzip member, as that sink compresses files, not records.
 
 Reading: every archive is parsed by its Content-Length fields into an index run that is sorted locally by URL key,
-timestamp and page_id. Key ranges are dealt to tasks; each task merges the runs' slices of its range with a loser
-tree, which gives globally ordered capture histories. A revisit takes its payload's size and digest from its own
+timestamp and page_id; the runs are written as a table. Ranges of keys, of about ``RANGE`` rows each however large the
+table, are dealt to tasks; each task merges the runs' slices of its range with a loser tree that holds a block of each
+run, which gives globally ordered capture histories. A revisit takes its payload's size and digest from its own
 headers.
 
 Defined cases: a null html is an empty payload; a null url has an empty URL key; a null page_id is written as such and
@@ -19,42 +22,58 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from urllib.parse import urlsplit
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, table
+from .common import partitions, saved, shared_dir, table
 
 END = "\r\n\r\n"
 #: Captures have no time of their own in a table without one; they get this one.
 CAPTURED = "2024-01-01T00:00:00Z"
 #: Bytes of payload that an archive holds, about.
 ARCHIVE = 8_000_000
-INDEX = "urlkey string, captured string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, at long, size long"
+#: Index rows that a task merges, about, and rows of a run that are looked at together.
+RANGE, BLOCK = 100_000, 1024
+#: Revisits whose ids and digests may be sent to all executors: some 30 MB.
+SENT_IDS = 300_000
+INDEX = "urlkey string, captured string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, at long, size long, nth long"
+
+
+def base32(hexes: Column) -> Column:
+    """The base32 form of a SHA-1 in hex: four characters for each five hex digits."""
+    signs = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    out = []
+    for i in range(8):
+        bits = F.conv(F.substring(hexes, 5 * i + 1, 5), 16, 10).cast("int")
+        out += [F.substring(signs, F.shiftright(bits, 15 - 5 * j).bitwiseAND(31) + 1, F.lit(1)) for j in range(4)]
+    return F.concat(*out)
 
 
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """One column ``value``: a WARC record without its closing line ends, for each page."""
     html = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("key"))
-    first = keyed.filter(F.octet_length("html") >= least).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
+    keyed = pages.select("page_id", url.alias("url"), html.alias("html"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("key"))
+    ids = keyed.filter(F.octet_length("html") >= least).select("page_id", "key")
+    first = ids.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # only the ids and keys of repeated payloads meet here; the pages are joined by id, which no hot payload skews
-    again = keyed.select("page_id", "key").join(first, "key").filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
-    again = again.select(F.col("page_id").alias("_id"), F.col("key").alias("_key"), "first")
+    again = ids.join(first, "key").filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    again = saved(again.select(F.col("page_id").alias("_id"), F.col("key").alias("_key"), "first"))
+    again = F.broadcast(again) if again.count() <= SENT_IDS else again
     all_ = keyed.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
 
-    @F.pandas_udf("string")
-    def base32(hexes: pd.Series) -> pd.Series:
-        return hexes.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
-
     size = F.octet_length("html")
     http = lambda n: F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit(END))
     revisit = F.col("first").isNotNull()
     block = F.when(revisit, http(size)).otherwise(F.concat(http(size), F.col("html")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda k, v: F.concat(F.lit(f"\r\n{k}: "), v)
+    refers = F.concat(line("WARC-Refers-To", name(F.col("first"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
     made = all_.withColumn("digest", base32(F.sha1(F.col("html").cast("binary")))).withColumn("block", block)
     return made.select(
         F.concat(
@@ -64,7 +83,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
             line("WARC-Date", F.lit(CAPTURED)),
             line("WARC-Target-URI", F.col("url")),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-            F.when(revisit, F.concat(line("WARC-Refers-To", name(F.col("first"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
+            F.when(revisit, refers).otherwise(F.lit("")),
             line("Content-Type", F.lit("application/http;msgtype=response")),
             line("Content-Length", F.octet_length("block").cast("string")),
             F.lit(END),
@@ -74,11 +93,10 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Write the pages' records as archives of bounded size in a folder."""
-    held = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    many = max(1, -(-held // ARCHIVE))
-    made = records(pages, least)
-    made.repartition(many).write.option("lineSep", END).text(path)
+    """Write the pages' records as archives of about ``ARCHIVE`` bytes at most in a folder."""
+    held = pages.agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("n")).first()
+    many = max(1, ARCHIVE * held["n"] // max(1, held["bytes"] or 0))
+    records(pages, least).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", min(many, 1_000_000)).text(path)
 
 
 def url_key(url: str) -> str:
@@ -119,12 +137,29 @@ def order(row: tuple) -> tuple:
     return row[0], row[1], row[2] is None, row[2] or 0, row[8], row[9]
 
 
+class Run:
+    """The slice of a sorted run that lies in a range: its rows stay in Arrow buffers, one block of keys is looked at."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows, self.at, self.first, self.keys = rows, 0, 0, []
+
+    def key(self) -> tuple | None:
+        """The sorting key of the next row; None at the end."""
+        if self.at >= len(self.rows):
+            return None
+        if self.at - self.first >= len(self.keys):
+            self.first = self.at
+            block = self.rows.slice(self.at, BLOCK)
+            self.keys = [order(r) for r in zip(*(block.column(c).to_pylist() for c in NAMES), strict=True)]
+        return self.keys[self.at - self.first]
+
+
 class LoserTree:
     """k-way merge of sorted runs: inner nodes hold the loser of their match, the overall winner stands on top."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.at = runs, [0] * len(runs)
-        self.keys = [order(r[0]) if r else None for r in runs]
+    def __init__(self, runs: list[Run]):
+        self.runs = runs
+        self.keys = [r.key() for r in runs]
         self.k = len(runs)
         self.tree = [-1] * max(1, self.k)
         for leaf in range(self.k):
@@ -146,43 +181,57 @@ class LoserTree:
         self.tree[0] = winner
 
     def __iter__(self):
+        """(run, row) in global order."""
         while self.k and self.keys[self.tree[0]] is not None:
             run = self.tree[0]
-            yield self.runs[run][self.at[run]]
-            self.at[run] += 1
-            self.keys[run] = order(self.runs[run][self.at[run]]) if self.at[run] < len(self.runs[run]) else None
+            yield run, self.runs[run].at
+            self.runs[run].at += 1
+            self.keys[run] = self.runs[run].key()
             self._play(run)
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of a folder of archives in global order, with their number within their URL key's range."""
-    names = [x.split()[0] for x in INDEX.split(", ")]
-
-    def runs(batches):
-        for b in batches:
-            for archive, data in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame(sorted(parse(archive, bytes(data)), key=order), columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    def merged(batches):
-        found: dict[str, list[tuple]] = {}
-        for b in batches:
-            b = b.astype(object).where(b.notna(), None)
-            for row in b.itertuples(index=False, name=None):
-                found.setdefault(row[8], []).append((*row[:2], None if row[2] is None else int(row[2]), *row[3:7], None if row[7] is None else int(row[7]), *row[8:]))
-        # blocks of a run reach a task in order; were they not, the run would be put right here
-        ordered = [r if all(order(x) <= order(y) for x, y in zip(r, r[1:], strict=False)) else sorted(r, key=order) for r in found.values()]
-        out = []
-        for row in LoserTree(ordered):
-            out.append(row)
-            if len(out) == 5000:
-                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+NAMES = [x.split()[0] for x in INDEX.split(", ")]
+_SCHEMA = pa.schema([(n, pa.string() if x.endswith("string") else pa.int64()) for n, x in zip(NAMES, INDEX.split(", "), strict=True)])
+
+
+def runs(batches):
+    """The sorted run of every archive of the batches."""
+    for b in batches:
+        for archive, data in zip(b.column("path"), b.column("content"), strict=True):
+            rows = sorted(parse(archive.as_py(), zlib.decompress(data.as_buffer(), 47)), key=order)
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in NAMES[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, range(len(rows))], _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def merged(batches):
+    """A range's rows in order: each run's slice is put together by its row numbers, then the slices are merged."""
+    held = list(batches)
+    if not held:
+        return
+    every = pa.Table.from_batches(held).select(NAMES).cast(_SCHEMA).combine_chunks()
+    by_run = every.column("archive").combine_chunks().dictionary_encode().indices.to_numpy()
+    place = np.lexsort((every.column("nth").to_numpy(), by_run))
+    every = every.take(pa.array(place))
+    starts = np.flatnonzero(np.diff(by_run[place], prepend=-1))
+    ends = np.append(starts[1:], len(place))
+    out = []
+    for run, row in LoserTree([Run(every.slice(a, b - a)) for a, b in zip(starts, ends, strict=True)]):
+        out.append(starts[run] + row)
+        if len(out) == 8 * BLOCK:
+            yield from every.take(pa.array(out)).to_batches()
+            out = []
+    if out:
+        yield from every.take(pa.array(out)).to_batches()
 
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """The captures of a folder of archives in global order: partitions follow each other by URL key and time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    local = files.mapInPandas(runs, INDEX)
-    return local.repartitionByRange(partitions(spark), "urlkey", "captured", "page_id").mapInPandas(merged, INDEX)
+    local = saved(files.mapInArrow(runs, INDEX))
+    ranges = max(partitions(spark), -(-local.count() // RANGE))
+    # a place in an archive ends the order, so no URL's captures must stay in one range
+    dealt = local.repartitionByRange(ranges, "urlkey", "captured", F.col("page_id").asc_nulls_last(), "archive", "at")
+    return dealt.mapInArrow(merged, INDEX).drop("nth")
 
 
 def op10_warc(spark, sf_dir):
