@@ -267,6 +267,36 @@ def test_nearest(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_full_shards():
+    """Recall of a whole shard's graph against brute force, for vectors of one length, of any length, and in clusters."""
+    rng = np.random.default_rng(3)
+    plain = rng.normal(size=(hnsw.SHARD, 64))
+    for x in (plain, plain / np.linalg.norm(plain, axis=1, keepdims=True), rng.normal(size=(40, 64))[rng.integers(0, 40, hnsw.SHARD)] + 0.25 * plain):
+        links, levels = hnsw.build(x, rng.integers(0, 1 << 60, len(x)))
+        got, want = hnsw.search(x, links, levels, x[::20], 21), np.argsort(-(x[::20] @ x.T), 1)[:, :21]
+        assert np.mean([len({*a} & {*b}) / 21 for a, b in zip(got, want, strict=True)]) >= 0.9
+
+
+def test_nearest_over_shards(spark, monkeypatch):
+    """Several shards, parts of few blocks, copies of vectors and further columns."""
+    monkeypatch.setattr(hnsw, "SHARD", 40)
+    monkeypatch.setattr(hnsw, "MOST", 100)
+    monkeypatch.setattr(hnsw, "BLOCK", 8)
+    monkeypatch.setattr(hnsw, "BLOCKS", 2)
+    x = np.random.default_rng(4).normal(size=(900, 8))
+    x[300:330] = x[7]
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0, 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, shard int, dim int, key int")
+    found = defaultdict(list)
+    for r in hnsw.nearest(df, df.filter("vec_id % 20 = 0")).collect():
+        found[r.query_id].append((r.rank, r.vec_id))
+    hits = 0
+    for k in range(0, 900, 20):
+        best = [j for j in np.lexsort((np.arange(900), -(x @ x[k]))) if j != k][:20]
+        assert [n for n, _ in sorted(found[k])] == list(range(1, 21))
+        hits += len({*best} & {v for _, v in found[k]})
+    assert hits / (45 * 20) >= 0.95
+
+
 def test_nearest_odd(spark):
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0]), (6, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [0.0, 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
