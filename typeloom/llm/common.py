@@ -55,6 +55,34 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: later filters and projections can copy the expression without blowing it up."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def swept(items: Column, carry: Column, step, kind: str, chunk: int = 64) -> Column:
+    """All results of ``step(carry, item)``, which gives the next carry and an array of ``kind`` of results, in order.
+
+    Results are gathered by chunks, so that no long array is copied for each item.
+    """
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    state = lambda c, out: F.struct(c.alias("carry"), out.alias("out"))
+
+    def one(held: Column, item: Column) -> Column:
+        after, made = step(held["carry"], item)
+        return state(after, F.concat(held["out"], made))
+
+    def over(listed: Column) -> Column:
+        def part(held: Column, i: Column) -> Column:
+            done = F.aggregate(F.slice(listed, i * chunk + 1, chunk), state(held["carry"], none), one)
+            return bound(done, lambda d: state(d["carry"], F.concat(held["out"], F.array(d["out"]))))
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(listed) - 1) / chunk).cast("int"))
+        return F.when(F.size(listed) > 0, F.flatten(F.aggregate(chunks, state(carry, nothing), part, lambda d: d["out"]))).otherwise(none)
+
+    return bound(items, over)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -1,9 +1,9 @@
 """Operator 1: SpotSigs fingerprints, with DataFrame functions only.
 
 A signature is an anchor (a common word) with the next two content words after it, whatever anchors stand between.
-A text's fingerprint is its set of signature hashes, sorted, in hex. Fingerprints are compared by Jaccard likeness,
-which the ratio of the set sizes bounds from above, so that a threshold prunes most comparisons before any set is
-intersected; ``links`` finds all alike pairs by partitions of set size.
+A text's fingerprint is its set of signature hashes, sorted, in hex. Fingerprints are compared by Jaccard likeness.
+Sets are partitioned by length: those in partitions that aren't neighbours, and those whose lengths' ratio is below
+``LEAST``, can't be that alike and count as 0 without being intersected.
 
 Words are lower-cased runs of letters and digits. A text without any signature has one for each three words in a row,
 or one for all its words if there are fewer; a text without words has the empty fingerprint.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, table
+from .common import bound, partitions, table
 
 # Fixed list of common words: English, German, French, Spanish.
 ANCHORS = (
@@ -27,15 +27,12 @@ ANCHORS = (
     "au aux avec ce dans de du elle en est et il la le les leur mais ne ou par pas pour que qui sa se ses son sur un une vous "
     "al como con del el esta lo los las más no para pero por su sus y"
 ).split()
+#: Likeness that a comparison must be able to reach.
+LEAST = 0.05
 #: Documents in a bucket of neighbours, and buckets at most (their bounds are sent to the tasks).
 IN_BUCKET, MOST_BUCKETS = 64, 16384
 
 
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: later filters and projections can copy the expression without blowing it up."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def signatures(text: Column) -> Column:
     """The sorted set of signature hashes of a text."""
     none = F.array().cast("array<bigint>")
@@ -65,45 +62,25 @@ def signatures(text: Column) -> Column:
     return F.array_sort(F.array_distinct(bound(words, of_words)))
 
 
-def likeness(x: str, y: str, least: float = 0.0) -> Column:
-    """Jaccard of two signature sets; 0 without intersecting them where their sizes already rule ``least`` out."""
+def partition(sigs: str, least: float) -> Column:
+    """Number of a set's length partition: sets of likeness ``least`` or more lie in the same one or in neighbours."""
+    return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1)).cast("double")) / F.log(F.lit(1 / least))).cast("int")
+
+
+def likeness(x: str, y: str, least: float = LEAST) -> Column:
+    """Jaccard of two signature sets; 0 without intersecting them where their lengths rule ``least`` out: first by the
+    length partitions, then by the ratio of the lengths, which bounds the likeness from above."""
     n, m = F.size(x), F.size(y)
     both = F.size(F.array_intersect(x, y))
-    ratio = F.least(n, m) / F.greatest(n, m)
-    return (
-        F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0)).when(ratio < F.lit(least), F.lit(0.0)).otherwise(both / (n + m - both))
-    ).cast("double")
+    far = F.abs(partition(x, least) - partition(y, least)) > 1
+    pruned = far | (F.least(n, m) < F.greatest(n, m) * F.lit(least))
+    return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0) | pruned, F.lit(0.0)).otherwise(both / (n + m - both)).cast("double")
 
 
 def fingerprint(sigs: str) -> Column:
     return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s)), 16, "0")), "")
 
 
-def links(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """All pairs (a < b) of distinct fingerprints' smallest ids with likeness of ``least`` or more, and members per id.
-
-    Sizes are partitioned so that alike sets lie in the same or the next partition; within them a pair must share one
-    of the rarest signatures of either set (as many as can't all be missed at this likeness), the rest is pruned by
-    the size bound. Returns (a, b, likeness).
-    """
-    sets = saved(docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("sigs")))
-    sets = saved(sets.filter((F.size("sigs") > 0) & F.col("doc_id").isNotNull()).groupBy("sigs").agg(F.min("doc_id").alias("id")))
-    often = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("often"))
-    ranked = sets.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(often, "sig")
-    rare = Window.partitionBy("id").orderBy("often", "sig")
-    prefix = ranked.withColumn("k", F.row_number().over(rare)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / least))).cast("int")
-    prefix = prefix.filter("often > 1").select("id", "n", "sig", part.alias("part"))
-    one = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    two = prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "sig", "part")
-    # the smaller set (or the smaller id of equal sizes) looks into its own partition and the next
-    pairs = one.join(two, ["sig", "part"]).filter(((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & (F.col("n_a") >= F.col("n_b") * least))
-    pairs = pairs.select("a", "b").distinct()
-    x, y = sets.select(F.col("id").alias("a"), F.col("sigs").alias("x")), sets.select(F.col("id").alias("b"), F.col("sigs").alias("y"))
-    scored = pairs.join(x, "a").join(y, "b").withColumn("likeness", likeness("x", "y", least)).filter(F.col("likeness") >= least)
-    return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
-
-
 def beside_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and the next document's text and signatures, in order of ids; the last is followed by the first.
 
@@ -137,13 +114,19 @@ def beside_next(docs: DataFrame) -> DataFrame:
     return out.filter("role = 0").select("doc_id", "text", "sigs", "next_text", "next_sigs")
 
 
-def op1_fingerprints(spark, sf_dir):
+def compared(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likenesses: the rows of ``op1_fingerprints``."""
     n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
-    rows = beside_next(table(spark, sf_dir, "documents")).withColumn("edited", edited)
+    half = "cast(floor(length(text) / 2) as int)"
+    edited = F.concat(F.expr(f"substring(text, 1, length(text) - {half})"), F.expr(f"substring(next_text, 1, {half})"))
+    rows = beside_next(docs).withColumn("edited", edited)
     rows = rows.withColumn("edited_sigs", signatures(F.col("edited")))
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint("sigs").alias("fingerprint"), fingerprint("edited_sigs").alias("edited_fingerprint"),
         likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"),
     )
+
+
+def op1_fingerprints(spark, sf_dir):
+    return compared(table(spark, sf_dir, "documents"))
