@@ -22,20 +22,22 @@ from __future__ import annotations
 
 import array
 import os
+import re
 import zlib
 from collections import defaultdict, deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import byte_slices, partitions, saved, table
 
 SEQUENCE = 2048
 #: Thresholds between large and small lengths; each gives a plan, and the one of fewest sequences is taken.
 SMALL = (SEQUENCE // 3, 9 * SEQUENCE // 20, SEQUENCE // 2)
 GROUPS = 32
+#: Pieces of one length are ranked in so many independent buckets, or as many as there are partitions.
 BUCKETS = 64
 #: Words whose ids a worker remembers; beyond it starts anew, so memory stays bounded.
 MEMO = 400_000
@@ -44,85 +46,78 @@ MEMO = 400_000
 def vocabulary_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordIds(dict):
-    """The ids of a space-led chunk of text, as little-endian bytes, remembered.
+class TokenIds:
+    """The ids of texts by tokenizers, as little-endian bytes, with the ids of space-led chunks remembered.
 
     A space before a character that isn't white space always begins a new pre-token, so a text's ids are its chunks'
-    ids in a row. The vocabulary's rank file gives the same ids as its tokenizers file (tested), at a fraction of the
-    cost for short chunks, except for added tokens: a text that holds one is left to the tokenizers file itself.
+    ids in a row; chunks that aren't known are encoded together. A text that holds an added token, which has an id of
+    its own within plain text too, is encoded as a whole.
     """
 
     def __init__(self, path: str):
-        import base64
-        import json
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.file, self.whole = os.path.splitext(path)[0] + ".json", None
-        with open(self.file, encoding="utf-8") as described:
-            self.added = [t["content"] for t in json.load(described)["added_tokens"]]
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = array.array("I", self.encode(" " + chunk)).tobytes()
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return self.by_file(text)
-        first, *rest = text.split(" ")
-        if not all(rest) or any(map(str.isspace, set(map(_first, rest)))):
-            first, *rest = _split(text)
-        return array.array("I", self.encode(first)).tobytes() + b"".join(map(self.__getitem__, rest))
-
-    def by_file(self, text: str) -> bytes:
-        if self.whole is None:
-            from tokenizers import Tokenizer
-
-            self.whole = Tokenizer.from_file(self.file)
-        return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
+        from tokenizers import Tokenizer
+
+        self.tokens = Tokenizer.from_file(str(path))
+        self.added = [t.content for t in self.tokens.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokens.encode_batch(texts, add_special_tokens=False)]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        whole = [any(t in text for t in self.added) for text in texts]
+        split = [[text] if w else chunks(text) for text, w in zip(texts, whole, strict=True)]
+        if len(self.known) >= MEMO:
+            self.known.clear()
+        missing = list({c for parts in split for c in parts[1:]} - self.known.keys())
+        ids = dict(zip(missing, self.encoded([" " + c for c in missing]), strict=True))
+        self.known |= {c: x for c, x in ids.items() if len(c) < 64}
+        # a chunk is either remembered or of this call
+        find = lambda c: self.known.get(c) or ids[c]
+        return [first + b"".join(map(find, parts[1:])) for first, parts in zip(self.encoded([p[0] for p in split]), split, strict=True)]
 
 
 def _first(chunk: str) -> str:
     return chunk[0]
 
 
-def _split(text: str) -> list[str]:
-    """Split at the spaces before a character that isn't white space."""
-    import re
-
-    return re.split(r" (?=\S)", text)
+def chunks(text: str) -> list[str]:
+    """A text split at the spaces before a character that isn't white space."""
+    first, *rest = text.split(" ")
+    if not all(rest) or any(map(str.isspace, set(map(_first, rest)))):
+        return re.split(r" (?=\S)", text)
+    return [first, *rest]
 
 
 def cut(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """Tokenise whole texts, add id 0, and cut: doc_id, piece, start, length, ids_crc32. Only the first piece may be shorter."""
     path = path or vocabulary_path()
 
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
     def run(batches):
-        ids_of = WordIds(path)
+        ids_of = TokenIds(path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (ids_of.of(text) if text else b"") + b"\0\0\0\0"
-                n = len(ids) // 4
-                start, end = 0, (n - 1) % sequence + 1
-                for piece in range(-(-n // sequence)):
-                    out.append((doc_id, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
-                    start, end = end, end + sequence
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype if len(batch) else "int64"})
+            for at, raw in byte_slices(batch.column("text")):
+                doc_ids = batch.column("doc_id").slice(at, len(raw)).to_pylist()
+                for doc_id, ids in zip(doc_ids, ids_of.of([t.decode() for t in raw]), strict=True):
+                    ids += b"\0\0\0\0"
+                    n = len(ids) // 4
+                    start, end = 0, (n - 1) % sequence + 1
+                    for piece in range(-(-n // sequence)):
+                        out.append((doc_id, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                        start, end = end, end + sequence
+            kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            columns = zip(*out, strict=True) if out else ([] for _ in names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # --- the plan over the histogram ---------------------------------------------------------------------------------
@@ -261,7 +256,8 @@ def plan_above(histogram: dict[int, int], sequence: int, small: int, groups: int
 
 def place(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """Add sequence_id and offset to the rows of ``cut``. ``pieces`` is read more than once and should be a written table."""
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)))
+    buckets = max(BUCKETS, partitions(pieces.sparkSession))
+    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = saved(keyed.groupBy("length", "_bucket").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `sequence` rows
     placements, _ = plan(histogram, sequence)
