@@ -2,17 +2,18 @@
 
 Base spans are the matches of three patterns. The battery adds tokens that look random: each candidate token of
 letters, digits and code signs gets the narrowest encoding that has all its characters (hex, base32 and base36 of one
-case, base62, base64), and three statistics:
+case, base62, base64), and three statistics of it:
 
-* chi-squared of its characters against a uniform alphabet, which stays near its degrees of freedom for random
-  tokens and grows with the length for words;
+* chi-squared of its characters against a uniform alphabet;
 * runs of character kinds (lower case, upper case, digit, sign), against the number that the kinds' shares give;
 * serial correlation of neighbouring characters' codes.
 
-The null hypothesis is ordinary writing: under it the collision rate of characters is that of words, with a spread that
-shrinks with the length; a token's p-value is the normal tail of how far below it lies. Candidates of a document
-are accepted by the Benjamini-Hochberg rule, so that a document with many candidates needs stronger evidence, if in
-addition neither runs nor serial correlation reject randomness.
+Each gives a p-value under randomness; combined by Fisher's method they reject tokens that no random source would
+write. A token that stays is a discovery if writing would hardly look so random: the p-value under writing combines
+how low the chi-squared statistic is for the non-central distribution that the collision rate of written characters
+gives, and how many the runs are for writing, which changes kind rarely. Both shrink with the token's length, so that
+the false-discovery rule of Benjamini and Hochberg over a document's candidates asks short tokens for more evidence
+than long ones, and documents with many candidates for more than those with one.
 
 Offsets are code points, ends exclusive. Spark has no function for match positions: they are summed up from the pieces
 of ``split`` and the matches of ``regexp_extract_all``, which agree for non-empty matches.
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound, fresh, swept, table
 
 # Fixed patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,10 +39,11 @@ ASSIGNED = 6
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 #: Number of symbols and pattern of the encodings, narrowest first; any other token is judged as base64.
 ENCODINGS = [(16.0, "^([0-9a-f]+|[0-9A-F]+)$"), (32.0, "^([a-z2-7]+|[A-Z2-7]+)$"), (36.0, "^([a-z0-9]+|[A-Z0-9]+)$"), (62.0, "^[A-Za-z0-9]+$")]
-#: False-discovery level; rejection bound of the runs and serial tests, in standard deviations.
-LEVEL, STEADY = 0.02, 3.5
-#: Collision rate of characters in words, and its spread times the square root of the length.
-WORDY, SPREAD = 0.075, 0.09
+#: False-discovery level, and the combined p-value under randomness below which a token isn't random.
+LEVEL, REJECT = 0.02, 0.001
+#: In writing: rate at which characters collide (among hex digits, which words don't use alone, they do oftener), and
+#: rate at which a character is of another kind than the one before it.
+COLLIDE, COLLIDE_HEX, CHANGE = 0.07, 0.125, 0.12
 
 
 def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -50,16 +52,31 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     between = F.transform(F.split(text, pattern, -1), F.length)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else wholes
     zipped = F.arrays_zip(between.alias("gap"), F.transform(wholes, F.length).alias("n"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    kind = "struct<start:int,end:int,value:string>"
+    none = F.array().cast(f"array<{kind}>")
 
-    def step(state, m):
-        first = state["at"] + m["gap"]
+    def step(at: Column, m: Column):
+        first = at + m["gap"]
         one = F.array(F.struct(first.alias("start"), (first + m["n"]).alias("end"), m["value"].alias("value")))
         keep = m["value"].isNotNull() & (F.length(m["value"]) >= least)
-        return F.struct((first + F.coalesce(m["n"], F.lit(0))).alias("at"), F.when(keep, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+        return first + F.coalesce(m["n"], F.lit(0)), F.when(keep, one).otherwise(none)
 
     # most texts have no match: they skip the walk
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda s: s["found"])).otherwise(start["found"])
+    return F.when(text.rlike(pattern), swept(zipped, F.lit(0), step, kind)).otherwise(none)
+
+
+def _tail(z: Column) -> Column:
+    """Chance that a normal variable exceeds ``z``, by a logistic of a cubic; of at most five deviations either way."""
+    z = F.greatest(F.least(z, F.lit(5.0)), F.lit(-5.0))
+    return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
+
+
+def _fisher(*p: Column) -> Column:
+    """Fisher's combined p-value of two or three independent ones."""
+    half = F.lit(0.0)
+    for x in p:
+        half = half - F.log(F.greatest(x, F.lit(1e-12)))
+    return bound(half, lambda h: F.exp(-h) * (1 + h + (h * h / 2 if len(p) == 3 else 0)))
 
 
 def _count(token: Column, pattern: str) -> Column:
@@ -67,7 +84,7 @@ def _count(token: Column, pattern: str) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<p, steady>: the p-value against writing, and whether runs and serial correlation allow randomness."""
+    """struct<p, steady>: the p-value against writing, and whether the three tests allow randomness."""
     n = F.length(token).cast("double")
     chars = F.split(token, "")
     size = lambda c: n - F.length(F.replace(token, c, F.lit("")))
@@ -75,31 +92,35 @@ def battery(token: Column) -> Column:
     alphabet = F.lit(64.0)
     for symbols, pattern in reversed(ENCODINGS):
         alphabet = F.when(token.rlike(pattern), F.lit(symbols)).otherwise(alphabet)
-    collisions = (squares - n) / (n * (n - 1))
-    chi = alphabet / n * squares - n
-    uniform = (chi - (alphabet - 1)) / F.sqrt(2 * (alphabet - 1))
     kinds = F.translate(token, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "a" * 26 + "b" * 26 + "c" * 10 + "dddd")
-    shares = [1 - _count(kinds, k) / n for k in "abcd"]
-    same = shares[0] * shares[0]
-    for s in shares[1:]:
-        same = same + s * s
-    runs = F.length(F.regexp_replace(kinds, r"(.)\1*", "x")).cast("double")
-    expected = 1 + (n - 1) * (1 - same)
-    runs_z = (runs - expected) / F.sqrt(F.greatest((n - 1) * same * (1 - same), F.lit(1.0)))
     codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
-    moved = F.transform(codes, lambda c: c - mean)
-    power = F.aggregate(moved, F.lit(0.0), lambda a, c: a + c * c)
-    lagged = F.aggregate(F.zip_with(moved, F.slice(moved, 2, F.size(moved)), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, c: a + c)
-    serial_z = lagged / F.greatest(power, F.lit(1e-9)) * F.sqrt(n)
-    # hex letters and digits collide at 1/16 by chance; their null is wider apart, as words never use that alphabet
-    null = F.when(alphabet == 16.0, F.lit(0.125)).otherwise(F.lit(WORDY))
-    z = (null - collisions) * F.sqrt(n) / SPREAD
-    # the normal tail by its usual exponential bound, capped at one
-    p = F.when(z <= 0, F.lit(1.0)).otherwise(F.exp(-0.717 * z - 0.416 * z * z))
-    mixes = (shares[2] > 0) & (shares[2] < 1)
-    steady = mixes & (F.abs(runs_z) <= STEADY) & (F.abs(serial_z) <= STEADY) & (uniform <= 4.0)
-    return F.struct(p.alias("p"), steady.alias("steady"))
+    shares = F.array(*(1 - _count(kinds, k) / n for k in "abcd"))
+    runs = F.length(F.regexp_replace(kinds, r"(.)\1*", "x")).cast("double")
+    held = F.struct(n.alias("n"), squares.alias("squares"), alphabet.alias("of"), shares.alias("shares"), runs.alias("runs"), codes.alias("codes"))
+
+    def tests(t: Column) -> Column:
+        n, free = t["n"], t["of"] - 1
+        chi = t["of"] / n * t["squares"] - n
+        # its cube root is about normal
+        uniform = (F.cbrt(chi / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        same = F.aggregate(t["shares"], F.lit(0.0), lambda a, s: a + s * s)
+        runs = (t["runs"] - 1 - (n - 1) * (1 - same)) / F.sqrt(F.greatest((n - 1) * same * (1 - same), F.lit(1.0)))
+        moved = bound(F.aggregate(t["codes"], F.lit(0.0), lambda a, c: a + c) / n, lambda mean: F.transform(t["codes"], lambda c: c - mean))
+        serial = bound(
+            moved,
+            lambda m: F.aggregate(F.zip_with(m, F.slice(m, 2, F.size(m)), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, c: a + c)
+            / F.greatest(F.aggregate(m, F.lit(0.0), lambda a, c: a + c * c), F.lit(1e-9))
+            * F.sqrt(n),
+        )
+        random = _fisher(_tail(uniform), 2 * _tail(F.abs(runs)), 2 * _tail(F.abs(serial)))
+        # writing: more collisions the longer it is, and few changes of kind
+        far = (n - 1) * (t["of"] * F.when(t["of"] == 16.0, F.lit(COLLIDE_HEX)).otherwise(F.lit(COLLIDE)) - 1)
+        low = (free + far - chi) / F.sqrt(2 * free + 4 * far)
+        many = (t["runs"] - 1 - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
+        mixes = (t["shares"][2] > 0) & (t["shares"][2] < 1)
+        return F.struct(_fisher(_tail(low), _tail(many)).alias("p"), (mixes & (random >= REJECT)).alias("steady"))
+
+    return bound(held, tests)
 
 
 def accepted(tested: Column) -> Column:
@@ -109,27 +130,27 @@ def accepted(tested: Column) -> Column:
     return F.filter(ordered, lambda t: (t["p"] <= bound) & t["steady"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``found``: array<struct<start, end, kind>> by start, then kind (its number in KINDS)."""
+def scan(docs: DataFrame, name: str = "found") -> DataFrame:
+    """``docs`` with a column ``name``: array<struct<start, end, kind>> by start, then kind (its number in KINDS)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = ["_assign", "_access", "_hex", "_tokens"]
-    own = [c for c in docs.columns if c not in (*names, "found")]
+    own = [c for c in docs.columns if c != name]
+    one, two, three, tokens, base, outside, tested = fresh(docs, "assign", "access", "hex", "tokens", "base", "outside", "tested")
     matched = docs.select(
         *own,
-        spans(text, ASSIGN, 2, ASSIGNED).alias("_assign"),
-        spans(text, ACCESS).alias("_access"),
-        spans(text, HEX).alias("_hex"),
-        spans(text, CANDIDATE).alias("_tokens"),
+        spans(text, ASSIGN, 2, ASSIGNED).alias(one),
+        spans(text, ACCESS).alias(two),
+        spans(text, HEX).alias(three),
+        spans(text, CANDIDATE).alias(tokens),
     )
     number = lambda c, k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
-    base = F.concat(*[number(F.col(c), k) for k, c in enumerate(names[:3])])
-    outside = F.filter("_tokens", lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]") & ~F.exists("_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    tested = F.transform("_tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), battery(t["value"]).alias("b")))
-    flat = F.transform("_tested", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["b"]["p"].alias("p"), t["b"]["steady"].alias("steady")))
-    out = matched.withColumn("_base", base).withColumn("_tokens", outside).withColumn("_tested", tested).withColumn("_tested", flat)
-    every = F.concat("_base", number(accepted(F.col("_tested")), 3))
+    every = F.concat(*[number(F.col(c), k) for k, c in enumerate((one, two, three))])
+    mixes = lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]")
+    apart = F.filter(tokens, lambda t: mixes(t) & ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    judged = F.transform(outside, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), battery(t["value"]).alias("b")))
+    out = matched.withColumn(base, every).withColumn(outside, apart).withColumn(tested, judged)
+    flat = F.transform(tested, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["b"]["p"].alias("p"), t["b"]["steady"].alias("steady")))
     by_place = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    return out.select(*own, F.array_sort(every, by_place).alias("found"))
+    return out.select(*own, F.array_sort(F.concat(base, number(accepted(flat), 3)), by_place).alias(name))
 
 
 def written(found: Column) -> Column:
@@ -140,20 +161,26 @@ def written(found: Column) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; n_chars follows. Rows without a span stay as they are."""
-    found = scan(docs)
-    text = F.col("text")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(state, s):
-        kept = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        begins = F.when(s["start"] >= state["at"], F.lit(mark)).otherwise(F.lit(""))
-        return F.struct(F.concat(state["out"], kept, begins).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    changed = F.size("found") > 0
-    out = found.withColumn("_text", F.when(changed, clean).otherwise(text))
-    columns = [F.col("_text").alias("text") if c == "text" else F.when(changed, F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    name, fixed = fresh(docs, "found", "fixed")
+    found, text = scan(docs, name), F.col("text")
+
+    def step(at: Column, s: Column):
+        kept = F.substring(text, at + 1, F.greatest(s["start"] - at, F.lit(0)))
+        begins = F.when(s["start"] >= at, F.lit(mark)).otherwise(F.lit(""))
+        return F.greatest(at, s["end"]), F.array(F.concat(kept, begins))
+
+    parts = F.concat(swept(F.col(name), F.lit(0), step, "string"), F.array(F.substring(text, F.array_max(F.transform(name, lambda s: s["end"])) + 1, F.length(text))))
+    changed = F.size(name) > 0
+    out = found.withColumn(fixed, F.when(changed, F.array_join(parts, "")).otherwise(text))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col(fixed).alias("text")
+        if c == "n_chars":
+            return F.when(changed, F.length(fixed).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+        return F.col(c)
+
+    return out.select(*map(column, docs.columns))
 
 
 def op7_secrets(spark, sf_dir):
