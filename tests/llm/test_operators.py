@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from typeloom.llm import common, hnsw, licenses, mixing, neardup, packing, quality, secrets, toxicity, warc
+from typeloom.llm import common, fingerprints, hnsw, licenses, mixing, neardup, packing, quality, secrets, toxicity, warc
 from typeloom.llm.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -36,6 +36,41 @@ def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def test_fingerprint_signatures(spark):
+    """Signatures, likenesses, neighbours and their order against brute force: nulls, empty, long and repeated texts, repeated and null ids."""
+    rows = [(None, "the null id of a row"), (1, None), (2, ""), (3, "The quick brown fox and the lazy dog of a house"), (3, "the quick brown fox and the lazy dog of a house"), (5, "words without any"), (6, "one"), (7, "the of and a"), (9, "The cat is on a mat. " * 3000), (12, "é \U0001f600 für die Katze auf dem Dach")]
+    rows += [(20 + i, " ".join(f"the w{i}x{k} w{k}" for k in range(1 + i % 9))) for i in range(100)]
+
+    def sigs(text):
+        words, found = re.findall(r"[^\W_]+", (text or "").lower()), set()
+        at = [k for k, w in enumerate(words) if w not in fingerprints.ANCHORS]
+        for k in range(len(at) - 1):
+            for a in range(at[k - 1] + 1 if k else 0, at[k]):
+                found.add((words[a], words[at[k]], words[at[k + 1]]))
+        plain = {tuple(words[k : k + 3]) for k in range(len(words) - 2)} if len(words) >= 3 else {tuple(words)} - {()}
+        return found or plain
+
+    def alike(x, y):
+        if not x or not y:
+            return float(not x and not y)
+        return 0.0 if min(len(x), len(y)) < fingerprints.LEAST * max(len(x), len(y)) else len(x & y) / len(x | y)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("b", "role", "sigs", "bucket", "next_text")})
+    got = sorted((fingerprints.compared(docs)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.edited_sha256))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for k, (i, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), len(sigs(text)) * 16, alike(sigs(text), sigs(edited)), alike(sigs(text), sigs(after))))
+    want.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    for g, w in zip(got, want, strict=True):
+        assert (g.doc_id, g.n_chars, g.edited_sha256, len(g.fingerprint)) == w[:4]
+        assert (g.near_edited, g.near_next) == pytest.approx(w[4:])
+    assert fingerprints.compared(docs.limit(0)).count() == 0
+
+
 def test_fingerprints(spark):
     rows = sorted(texts_of())
     got = {r.doc_id: r for r in QUERIES["op1_fingerprints"](spark, DIR).collect()}
@@ -174,10 +209,36 @@ def test_license_rules(spark):
             for text in [f"spdx license identifier {form}", f"this file is licensed under the {form} license", f"licensed under {form}", f"subject to the {form}", f"license {form}", f"{form} license"] + [form] * (name not in licenses.PLAIN):
                 samples[text] = label
     samples |= {"licensed under the FreeBSD license": "bsd-2-clause", "Released under GPLv2": "gpl-2", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3", "under LGPLv3": "lgpl-3", "GNU General Public License v3.0": "gpl-3", "LGPL-2.1-only": "lgpl-2.1", "MPL-2.0": "mpl-2"}
+    for label, listed in licenses.NOTICES.items():
+        for keyword, pattern in listed:
+            plain = pattern.replace("(?:[^ ]+ ){1,12}", "some one ").replace("(?:[^ ]+ ){0,6}", "x ")
+            for form in written_forms(plain):
+                assert f" {keyword} " in f" {form} ", (keyword, form)
+                samples[form] = label
     rows = licenses.scan(spark.createDataFrame(list(samples.items()), "text string, label string")).select("text", "label", F.expr("transform(found, f -> f.label)").alias("labels")).collect()
     assert not [tuple(r) for r in rows if r.label not in r.labels]
 
 
+def test_license_places_and_suppression(spark):
+    """Word numbers and suppression against brute force, on texts of random rules' samples; and a long text of matches."""
+    import random
+
+    rng, rules = random.Random(2), licenses.rules()
+    samples = ["mit license", "licensed under the mit license", "gpl", "bsd 3 clause license", "this file is released under the apache license version 2", "cc by nc", "spdx license identifier mit", "all rights reserved", "word", "license gpl 3"]
+    texts = [" ".join(rng.choices(samples, k=rng.randint(1, 12))) for _ in range(60)]
+    got = licenses.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in got:
+        joined, every = f" {r.text} ", []
+        for keywords, pattern, label, priority, _ in rules:
+            if any(f" {k} " in joined for k in keywords):
+                every += [(joined[: m.start()].count(" ") - 1, joined[: m.end()].count(" ") - 1, label, priority) for m in re.finditer(f"(?<= ){pattern}(?= )", joined)]
+        within = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and (b[3] > a[3] or (b[3] == a[3] and b[1] - b[0] > a[1] - a[0]))
+        want = [a for a in every if not any(within(a, b) for b in every)]
+        assert Counter((f.first, f.last, f.label, f.priority) for f in r.found) == Counter(want)
+    long = licenses.scan(spark.createDataFrame([("licensed under the mit license and " * 20_000,)], "text string")).select(F.size("found")).first()[0]
+    assert long == 20_000
+
+
 def brute_components(rows, width, least=80):
     sets = {}
     for i, text in rows:
@@ -362,6 +423,9 @@ def test_mixing(spark, odd):
         taken[s] += r.taken
     assert all(abs(taken[s] - target[s]) <= 3 * max(size.values()) for s in order)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, QUERIES["op9_mix_sources"](spark, DIR).collect()))
+    clash = spark.createDataFrame([(i, "a b c " * i, f"s{i % 3}", -1, "own", "x", 1) for i in range(1, 40)], "doc_id long, text string, source string, size int, copies string, _size string, _source int")
+    given = {tuple(r) for r in clash.collect()}
+    assert {tuple(r) for r in mixing.emitted(clash).collect()} <= given and mixing.emitted(clash).columns == clash.columns
     assert mixing.mix(odd).count() == len(ODD) and mixing.emitted(odd).columns == odd.columns and mixing.mix(odd.limit(0)).count() == 0
 
 
