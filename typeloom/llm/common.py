@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from pathlib import Path
@@ -16,14 +17,35 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch between the JVM and Python: whole texts by the ten thousand would hold much more.
+ARROW_BATCH = "4m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Python workers also look for this package beside it, as they may start in another folder."""
+    """A table of the folder. Python workers also look for this package beside it, as they may start in another folder,
+    and get batches of bounded size."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trimmed(run):
+    """A task's function over batches that gives memory back to the system at its end: workers are reused, and what they
+    keep of a task adds up over an executor's life."""
+
+    def over(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return over
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, saved, table
+from .common import mixed, saved, table, trimmed
 
 NEIGHBOURS = 20
 #: Vectors of a shard: a table of n has sqrt(n / SHARD) shards, and none holds more than MOST (some 100 MB).
@@ -265,7 +265,7 @@ def nearest(rows: DataFrame, queries: DataFrame, column: str = "embedding", k: i
                 out = shard.best(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"]).reshape(-1, r["dim"]), k)
                 yield pa.RecordBatch.from_pandas(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), preserve_index=False)
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(trimmed(run), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

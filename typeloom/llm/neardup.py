@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, fresh, mixed, saved, table, word_hashes
+from .common import byte_slices, fresh, mixed, saved, table, trimmed, word_hashes
 
 BANDS, ROWS = 40, 6
 #: 64-bit words of the odd sketch.
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "node", "bands", "sketch"])
 
     of_id = docs.schema["doc_id"].dataType.simpleString()
-    return keyed(docs).mapInArrow(run, f"doc_id {of_id}, text_key long, n_shingles long, node long, bands array<long>, sketch array<long>")
+    return keyed(docs).mapInArrow(trimmed(run), f"doc_id {of_id}, text_key long, n_shingles long, node long, bands array<long>, sketch array<long>")
 
 
 def sent(named: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, t
                 keep.append(not head and same and here == (a, part) and alike(whole, found))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return saved(rows.mapInArrow(run, "a long, b long"))
+    return saved(rows.mapInArrow(trimmed(run), "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def fine_sketches(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
                     made.append(odd_sketch(samples(found, _FINE_SEEDS), FINE))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, kind)], ["node", "fine"])
 
-    return texts_of(docs, named, "node").mapInArrow(run, "node long, fine array<long>").dropDuplicates(["node"])
+    return texts_of(docs, named, "node").mapInArrow(trimmed(run), "node long, fine array<long>").dropDuplicates(["node"])
 
 
 def labelled(docs: DataFrame, width: int, threshold: float) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, partitions, saved, table
+from .common import byte_slices, partitions, saved, table, trimmed
 
 SEQUENCE = 2048
 #: Thresholds between large and small lengths; each gives a plan, and the one of fewest sequences is taken.
@@ -40,7 +40,7 @@ GROUPS = 32
 #: Pieces of one length are ranked in so many independent buckets, or as many as there are partitions.
 BUCKETS = 64
 #: Words whose ids a worker remembers; beyond it starts anew, so memory stays bounded.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def vocabulary_path() -> str:
@@ -117,7 +117,7 @@ def cut(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # --- the plan over the histogram ---------------------------------------------------------------------------------
@@ -284,7 +284,7 @@ def place(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             yield b
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInPandas(trimmed(run), f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, saved, table
+from .common import crc_fold, saved, table, trimmed
 
 FOLDS, HELD_OUT = 4, 2
 ACCEPT = 0.7
@@ -72,7 +72,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t or "") for t in b["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", "text").mapInPandas(trimmed(run), f"doc_id {kind}, x array<double>")
 
 
 def sums(labelled: DataFrame) -> dict[int, np.ndarray]:
@@ -87,7 +87,7 @@ def sums(labelled: DataFrame) -> dict[int, np.ndarray]:
         for label, s in total.items():
             yield pd.DataFrame({"label": label, "at": np.arange(s.size), "v": s.ravel()})
 
-    added = labelled.mapInPandas(run, "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v"))
+    added = labelled.mapInPandas(trimmed(run), "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
     for r in added.collect():  # two labels' moments
         out.setdefault(r["label"], np.zeros((FEATURES + 1) ** 2))[r["at"]] = r["v"]
@@ -134,7 +134,7 @@ def scored(found: DataFrame, model: Discriminant) -> DataFrame:
             yield b
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInPandas(run, f"doc_id {kind}, score double")
+    return found.mapInPandas(trimmed(run), f"doc_id {kind}, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, pieces, table, word_hashes
+from .common import crc_fold, pieces, table, trimmed, word_hashes
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows at most that the model learns from.
@@ -201,7 +201,7 @@ def scored(docs: DataFrame, model: Network) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.scores([(t or "").encode() for t in b["text"]], tables)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInPandas(trimmed(run), f"doc_id {kind}, score double")
 
 
 def op8_toxicity(spark, sf_dir):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, shared_dir, table
+from .common import partitions, saved, shared_dir, table, trimmed
 
 END = "\r\n\r\n"
 #: Captures have no time of their own in a table without one; they get this one.
@@ -227,11 +227,11 @@ def merged(batches):
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The captures of a folder of archives in global order: partitions follow each other by URL key and time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    local = saved(files.mapInArrow(runs, INDEX))
+    local = saved(files.mapInArrow(trimmed(runs), INDEX))
     ranges = max(partitions(spark), -(-local.count() // RANGE))
     # a place in an archive ends the order, so no URL's captures must stay in one range
     dealt = local.repartitionByRange(ranges, "urlkey", "captured", F.col("page_id").asc_nulls_last(), "archive", "at")
-    return dealt.mapInArrow(merged, INDEX).drop("nth")
+    return dealt.mapInArrow(trimmed(merged), INDEX).drop("nth")
 
 
 def op10_warc(spark, sf_dir):
