@@ -54,10 +54,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def saved(df: DataFrame, codec: str = "lz4_raw") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The table stays until the folder is cleaned, for a lazy result may still read it.
+    The table stays until the folder is cleaned, for a lazy result may still read it. The default codec works within the
+    heap: others keep buffers of their own on executors that write many tables.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/typeloom-{uuid.uuid4().hex}"

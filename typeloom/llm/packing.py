@@ -65,8 +65,10 @@ class TokenIds:
         self.added = [t.content for t in self.tokens.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tokens.encode_batch(texts, add_special_tokens=False)]
+    def encoded(self, texts: list[str], some: int = 1024) -> list[bytes]:
+        """So many texts at once: an encoding holds far more than its ids."""
+        parts = (texts[i : i + some] for i in range(0, len(texts), some))
+        return [array.array("I", e.ids).tobytes() for part in parts for e in self.tokens.encode_batch_fast(part, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
         whole = [any(t in text for t in self.added) for text in texts]
@@ -274,17 +276,19 @@ def place(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["length", "_bucket"])
     ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_rank")).alias("_rank"))
 
+    names = pieces.columns
+
     def run(batches):
         for b in batches:
-            length, r = b["length"].to_numpy(), b.pop("_rank").to_numpy()
+            length, r = b.column("length").to_numpy(), b.column("_rank").to_numpy()
             at = placements[np.searchsorted(starts, base[np.searchsorted(lengths, length)] + r, "right") - 1]
             nth = r - at[:, 1]
-            b["sequence_id"] = at[:, 4] + nth // at[:, 3]
-            b["offset"] = at[:, 5] + nth % at[:, 3] * length
-            yield b
+            sequence_id, offset = at[:, 4] + nth // at[:, 3], at[:, 5] + nth % at[:, 3] * length
+            kept = b.select(names)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence_id), pa.array(offset)], [*kept.schema.names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(trimmed(run), f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(run), f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -13,11 +13,11 @@ are scored each; an empty table gives an empty result; other columns of the inpu
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, saved, table, trimmed
+from .common import byte_slices, crc_fold, saved, table, trimmed
 
 FOLDS, HELD_OUT = 4, 2
 ACCEPT = 0.7
@@ -44,9 +44,8 @@ _CLASSES = np.stack(
 ).astype(float)
 
 
-def statistics(text: str) -> np.ndarray:
-    """The transformed statistics of a whole text."""
-    raw = text.encode()
+def statistics(raw: bytes) -> np.ndarray:
+    """The transformed statistics of a whole text in UTF-8."""
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     n, words, lines = max(1, len(raw)), raw.split(), raw.splitlines()
     letters = max(1, len(words))
@@ -69,10 +68,16 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t or "") for t in b["text"]]})
+            found = [statistics(t) for _, texts in byte_slices(b.column("text")) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(trimmed(run), f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, x array<double>")
+
+
+def matrix(x: pa.Array) -> np.ndarray:
+    """The statistics of a column, a row each."""
+    return x.flatten().to_numpy().reshape(len(x), FEATURES)
 
 
 def sums(labelled: DataFrame) -> dict[int, np.ndarray]:
@@ -81,13 +86,14 @@ def sums(labelled: DataFrame) -> dict[int, np.ndarray]:
     def run(batches):
         total = {}
         for b in batches:
-            for label, rows in b.groupby("label"):
-                x = np.column_stack([np.ones(len(rows)), np.stack(rows["x"].to_numpy())])
-                total[label] = total.get(label, 0) + x.T @ x
-        for label, s in total.items():
-            yield pd.DataFrame({"label": label, "at": np.arange(s.size), "v": s.ravel()})
-
-    added = labelled.mapInPandas(trimmed(run), "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v"))
+            label, x = b.column("label").to_numpy(), np.column_stack([np.ones(b.num_rows), matrix(b.column("x"))])
+            for k in np.unique(label).tolist():
+                total[k] = total.get(k, 0) + x[label == k].T @ x[label == k]
+        for k, s in total.items():
+            columns = [pa.array(np.full(s.size, k, np.int32)), pa.array(np.arange(s.size, dtype=np.int32)), pa.array(s.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "at", "v"])
+
+    added = labelled.mapInArrow(trimmed(run), "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
     for r in added.collect():  # two labels' moments
         out.setdefault(r["label"], np.zeros((FEATURES + 1) ** 2))[r["at"]] = r["v"]
@@ -130,20 +136,20 @@ def train(found: DataFrame, labels: DataFrame, label: str = "quality") -> Discri
 def scored(found: DataFrame, model: Discriminant) -> DataFrame:
     def run(batches):
         for b in batches:
-            b["score"] = model.scores(np.stack(b.pop("x").to_numpy())) if len(b) else b.pop("x").astype(float)
-            yield b
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(matrix(b.column("x"))))], ["doc_id", "score"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInPandas(trimmed(run), f"doc_id {kind}, score double")
+    return found.mapInArrow(trimmed(run), f"doc_id {kind}, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``accept``, for the model learned on them."""
     model = train(features(docs), labels)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([statistics(t or "") for t in texts]).reshape(-1, FEATURES)))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        found = [statistics(t) for _, some in byte_slices(texts) for t in some]
+        return pa.array(model.scores(np.array(found).reshape(-1, FEATURES)))
 
     return docs.filter(score("text") >= accept)
 
