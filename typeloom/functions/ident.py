@@ -100,27 +100,66 @@ def uuid(c: Column) -> Column:
     return F.when(tail != "", tail).otherwise(made)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def segments(c: Column) -> Column:
     """array<struct> of an identifier's or pattern's segments: raw, names, versions, kind. Null where it isn't valid."""
-    body = F.regexp_replace(c, r"^gts\.", "")
-    parts = F.filter(F.split(body, "~"), lambda p: p != "")
+    parts = F.filter(F.split(F.regexp_replace(c, r"^gts\.", ""), "~"), lambda p: p != "")
 
-    def one(p: Column, i: Column) -> Column:
+    def one(p: Column, open_: Column) -> Column:
         uuid_tail = p.rlike(rf"^{UUID}\z")
-        tokens = F.split(p, r"\.")
-        star = F.array_position(F.transform(tokens, lambda t: t.contains("*")), F.lit(True))
-
-        def name(k: int) -> Column:
-            return F.when(~uuid_tail & (F.size(tokens) >= k) & ((star == 0) | (star > k)), F.get(tokens, F.lit(k - 1)))
-
-        number = lambda k, rx: F.regexp_extract(F.coalesce(F.get(tokens, F.lit(k)), F.lit("")), rx, 1).try_cast("bigint")
-        return F.struct(
-            p.alias("raw"), name(1).alias("vendor"), name(2).alias("package"), name(3).alias("namespace"), name(4).alias("type"),
-            F.when(~uuid_tail, number(4, r"^v([0-9]+)\z")).alias("ver_major"), F.when(~uuid_tail, number(5, r"^([0-9]+)\z")).alias("ver_minor"),
-            ((i < F.size(parts) - 1) | is_type(c)).alias("is_type"), p.endswith("*").alias("is_wildcard"), F.when(uuid_tail, p).alias("uuid_tail"),
-        )
-
-    return F.when(is_pattern(c), F.transform(parts, one))
+        # of a segment the tokens before one with a wildcard count; a UUID has none
+        fixed = F.split(F.regexp_replace(p, r"(^|\.)[^.]*\*\z", ""), r"\.")
+        held = F.struct(uuid_tail.alias("uuid"), F.when(uuid_tail, F.array().cast("array<string>")).otherwise(fixed).alias("t"))
+
+        def described(x: Column) -> Column:
+            name = lambda k: F.when(F.get(x["t"], F.lit(k)) != "", F.get(x["t"], F.lit(k)))
+            return F.struct(
+                p.alias("raw"), name(0).alias("vendor"), name(1).alias("package"), name(2).alias("namespace"), name(3).alias("type"),
+                F.substring(F.get(x["t"], F.lit(4)), 2, 20).try_cast("bigint").alias("ver_major"), F.get(x["t"], F.lit(5)).try_cast("bigint").alias("ver_minor"),
+                open_.alias("is_type"), p.endswith("*").alias("is_wildcard"), F.when(x["uuid"], p).alias("uuid_tail"),
+            )
+
+        return let(held, described)
+
+    def all_(ps: Column) -> Column:
+        return F.transform(ps, lambda p, i: one(p, (i < F.size(ps) - 1) | is_type(c)))
+
+    return F.when(is_pattern(c), let(parts, all_))
+
+
+def segment_text(s: Column) -> Column:
+    """The text of a segment struct: its names and version, ``*`` where no major version is given, or its UUID."""
+    version = F.when(s["ver_major"].isNull(), "*").otherwise(F.concat_ws(".", F.concat(F.lit("v"), s["ver_major"].cast("string")), s["ver_minor"].cast("string")))
+    return F.coalesce(s["uuid_tail"], F.concat_ws(".", s["vendor"], s["package"], s["namespace"], s["type"], version))
+
+
+def described(c: Column) -> Column:
+    """struct(valid, is_wildcard, error) of an identifier or pattern."""
+    valid = is_pattern(c)
+    why = (
+        F.when(valid, None)
+        .when(c.isNull() | (c == ""), "it is empty")
+        .when(~_short(c), f"it is longer than {MAX_LENGTH}")
+        .when(~c.startswith("gts."), "it doesn't begin with gts.")
+        .when(c != F.lower(c), "it has capital letters")
+        .when(c.rlike(r"\*.") | c.rlike(r"\*.*\*"), "a wildcard must be the last character")
+        .otherwise("a segment is malformed")
+    )
+    return F.struct(valid.alias("valid"), F.coalesce(valid & c.endswith("*"), F.lit(False)).alias("is_wildcard"), why.alias("error"))
+
+
+def match_or_cover(candidate: Column, pattern: str) -> Column:
+    """struct(matched, error): an identifier is matched by a literal pattern, a candidate pattern is covered by it."""
+    if not is_pattern_text(pattern):
+        return F.struct(F.lit(False).alias("matched"), F.lit(f"not an identifier pattern: {pattern}").alias("error"))
+    fits = F.when(candidate.endswith("*"), covers(F.lit(pattern), candidate)).otherwise(matches(candidate, pattern))
+    valid = is_pattern(candidate)
+    wrong = F.when(~valid, F.concat(F.lit("candidate: "), described(candidate)["error"]))
+    return F.struct((valid & fits).alias("matched"), wrong.alias("error"))
 
 
 @dataclass(frozen=True)

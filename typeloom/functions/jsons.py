@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from . import ident
+from .ident import let
 
 # Fixed field orders.
 ID_FIELDS = ("gtsId", "gtsIid", "gtsOid", "gtsI", "gts_id", "gts_oid", "gts_iid", "id", "$$id", "$id")
@@ -34,11 +35,6 @@ def member(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$['{key}']", "variant")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, DOUBLE, DECIMAL or VOID; null where there is nothing."""
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
@@ -146,15 +142,61 @@ def strings(content: pd.Series) -> pd.Series:
     return content.map(lambda text: list(_walk(_parsed(text))))
 
 
+def flat_strings(content: Column) -> Column:
+    """``strings`` of an object without objects or arrays in it, in the JVM; null for any other document."""
+    flat = content.rlike(r"^\s*\{[^{}\[\]]*\}\s*\z")
+    members = F.from_json(content, "map<string,string>", {"allowSingleQuotes": "false"})
+    found = F.transform(F.filter(F.map_entries(members), lambda e: e["value"].isNotNull()), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
+    return F.when(flat, F.coalesce(found, F.array().cast("array<struct<path:string,value:string>>")))
+
+
+def identifier_strings(content: Column) -> Column:
+    """The strings of a document that may be identifiers or patterns: documents that hold none aren't walked, nor are
+    flat ones, which most are."""
+    may = content.contains("gts.") | content.contains("\\u")
+    return F.when(~may, F.array().cast("array<struct<path:string,value:string>>")).otherwise(F.coalesce(flat_strings(content), strings(F.when(may & flat_strings(content).isNull(), content))))
+
+
 @F.pandas_udf(StringType())
 def canonical(content: pd.Series) -> pd.Series:
-    """Equal for documents that differ in key order, white space or the spelling of a number only."""
+    """Equal for documents that differ in key order, white space or the spelling of a number only; null for a text that isn't JSON."""
     def same(x):
         if isinstance(x, dict):
             return {k: same(x[k]) for k in sorted(x)}
         return [same(y) for y in x] if isinstance(x, list) else int(x) if isinstance(x, float) and x.is_integer() else x
 
-    return content.map(lambda text: None if text is None else json.dumps(same(_parsed(text)), ensure_ascii=False, separators=(",", ":")))
+    def written(text):
+        try:
+            return json.dumps(same(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError, RecursionError, OverflowError):
+            return None
+
+    return content.map(written)
+
+
+def content_key(content: Column) -> Column:
+    """Equal for equal documents: by their canonical form, or by the text itself where it isn't JSON."""
+    return F.sha2(F.coalesce(F.concat(F.lit("json "), canonical(content)), F.concat(F.lit("text "), content), F.lit("")), 256)
+
+
+def _names(node, path: str = ""):
+    """The paths of all members and items below a node, parents first."""
+    below = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
+    for key, x in below:
+        here = f"{path}[{key}]" if isinstance(node, list) else f"{path}.{key}" if path else key
+        yield here
+        yield from _names(x, here)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def available_fields(content: pd.Series) -> pd.Series:
+    """Every path of a document, for who asks for one that isn't there."""
+    return content.map(lambda text: list(_names(_parsed(text))))
+
+
+def has_keyword(content: Column, name: str) -> Column:
+    """Whether any object of a document has a member of this name."""
+    return F.exists(available_fields(content), lambda p: F.element_at(F.split(p, r"\."), -1) == name)
 
 
 def references(found: Column) -> Column:

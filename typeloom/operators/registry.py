@@ -64,7 +64,7 @@ def save_outcomes(entities: DataFrame, new: DataFrame) -> DataFrame:
 
     The first document of a key decides; a stored one comes first. One window over both, so no join.
     """
-    both = entities.withColumn("new", F.lit(0)).unionByName(new.withColumn("new", F.lit(1))).withColumn("same", F.sha2(jsons.canonical("content"), 256))
+    both = entities.withColumn("new", F.lit(0)).unionByName(new.withColumn("new", F.lit(1))).withColumn("same", jsons.content_key(F.col("content")))
     w = Window.partitionBy("entity_key").orderBy("new", "seq")
     outcome = F.when(F.row_number().over(w) == 1, "Added").when(F.first("same").over(w) == F.col("same"), "Unchanged").otherwise("Conflict")
     return both.withColumn("outcome", outcome).filter("new = 1").select("seq", "entity_key", "outcome")
@@ -83,13 +83,28 @@ def commit_batches(entities: DataFrame, staged: DataFrame) -> DataFrame:
     """
     # stored documents are copied to each session that names their key
     mine = staged.select("session", "entity_key").distinct().join(entities, "entity_key").withColumn("new", F.lit(0))
-    both = mine.unionByName(staged.withColumn("new", F.lit(1))).withColumn("same", F.sha2(jsons.canonical("content"), 256))
+    both = mine.unionByName(staged.withColumn("new", F.lit(1))).withColumn("same", jsons.content_key(F.col("content")))
     w = Window.partitionBy("session", "entity_key").orderBy("new", "seq")
     judged = both.withColumn("outcome", F.when(F.row_number().over(w) == 1, "Added").when(F.first("same").over(w) == F.col("same"), "Unchanged").otherwise("Conflict")).filter("new = 1")
     broken = judged.groupBy("session").agg(F.bool_or(F.col("outcome") == "Conflict").alias("broken"))
     return judged.join(broken, "session").select("session", "seq", "entity_key", F.when(F.col("broken"), "Conflict").otherwise(F.col("outcome")).alias("outcome"))
 
 
+def commit_tokens(entities: DataFrame, staged: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Publish single staged documents: (token, outcome) of each token, the entities, and what is left staged.
+
+    Each token is judged by itself, in the order of its document's ``seq``; one that isn't staged is a Conflict. Tokens
+    are used up whatever comes of them.
+    """
+    asked = tokens.select("token").distinct()
+    mine = staged.join(asked, "token", "left_semi")
+    outcomes = save_outcomes(entities, mine.select(*COLUMNS)).join(mine.select("token", "seq", "entity_key"), ["seq", "entity_key"])
+    known = outcomes.select("token", "outcome")
+    every = asked.join(known, "token", "left").select("token", F.coalesce("outcome", F.lit("Conflict")).alias("outcome"))
+    added = mine.join(known.filter("outcome = 'Added'"), "token", "left_semi").select(*COLUMNS)
+    return every, entities.unionByName(added), discard(staged, asked)
+
+
 def session_snapshot(entities: DataFrame, staged: DataFrame, session: str) -> DataFrame:
     """What a session sees: stored entities, overlaid by its own staged ones."""
     own = staged.filter(F.col("session") == session).select(*COLUMNS)

@@ -17,7 +17,7 @@ STEPS = 16
 
 def edges(entities: DataFrame) -> DataFrame:
     """source_id, source_is_schema, id, source_path: every identifier or pattern in a document, its own id included."""
-    found = entities.select("entity_key", "is_schema", jsons.strings("content").alias("strings"))
+    found = entities.select("entity_key", "is_schema", jsons.identifier_strings(F.col("content")).alias("strings"))
     return found.select(F.col("entity_key").alias("source_id"), F.col("is_schema").alias("source_is_schema"), F.explode(jsons.references(F.col("strings"))).alias("r")).select("source_id", "source_is_schema", "r.*")
 
 
@@ -32,15 +32,16 @@ def broken(entities: DataFrame, found: DataFrame | None = None) -> DataFrame:
     neither stored nor referred to in its text misses its type binding.
     """
     found = edges(entities) if found is None else found
-    types = entities.filter("is_schema").select(F.col("entity_key").alias("id")).distinct()
-    keys = entities.select(F.col("entity_key").alias("id")).distinct()
-    concrete = found.filter(ident.is_valid_legacy(F.col("id")))
-    row = lambda df, reason: df.select("source_id", "source_is_schema", F.col("id").alias("referenced_id"), "source_path", F.lit(reason).alias("reason"))
-    missing_types = concrete.filter(ident.is_type(F.col("id"))).join(types, "id", "left_anti")
-    missing_instances = concrete.filter(~ident.is_type(F.col("id"))).join(keys, "id", "left_anti")
-    bound = entities.filter(~F.col("is_schema") & ident.is_valid_legacy(F.col("schema_id"))).select(F.col("entity_key").alias("source_id"), F.col("is_schema").alias("source_is_schema"), F.col("schema_id").alias("id"), F.lit("(type binding)").alias("source_path"))
-    unbound = bound.join(types, "id", "left_anti").join(found.select("source_id", "id").distinct(), ["source_id", "id"], "left_anti")
-    return row(missing_types, "MissingSchema").unionByName(row(missing_instances, "MissingInstance")).unionByName(row(unbound, "MissingTypeBinding"))
+    stored = entities.groupBy(F.col("entity_key").alias("id")).agg(F.bool_or("is_schema").alias("as_type"))
+    concrete = found.filter(ident.is_valid_legacy(F.col("id"))).join(stored, "id", "left")
+    of_type = ident.is_type(F.col("id"))
+    lost = concrete.filter(F.when(of_type, ~F.coalesce("as_type", F.lit(False))).otherwise(F.col("as_type").isNull()))
+    lost = lost.withColumn("reason", F.when(of_type, "MissingSchema").otherwise("MissingInstance"))
+    bound = entities.filter(~F.col("is_schema") & ident.is_valid_legacy(F.col("schema_id")))
+    bound = bound.select(F.col("entity_key").alias("source_id"), F.col("is_schema").alias("source_is_schema"), F.col("schema_id").alias("id"), F.lit("(type binding)").alias("source_path"))
+    unbound = bound.join(stored.filter("as_type"), "id", "left_anti").join(found.select("source_id", "id").distinct(), ["source_id", "id"], "left_anti")
+    row = lambda df: df.select("source_id", "source_is_schema", F.col("id").alias("referenced_id"), "source_path", "reason")
+    return row(lost).unionByName(row(unbound.withColumn("reason", F.lit("MissingTypeBinding"))))
 
 
 def is_consistent(entities: DataFrame) -> bool:

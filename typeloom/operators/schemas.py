@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, MapType, StringType, StructType
 
-from ..functions import ident, jsons
+from ..functions import ident, jsons, patterns
 from ..plans.lineage import cut
+from .registry import dialect_of
 
 # Bounds of which a larger number is stricter, and those of which a smaller one is.
 LOWER = ("minimum", "exclusiveMinimum", "minLength", "minItems", "minProperties")
@@ -128,7 +129,7 @@ def resolved(rows: DataFrame) -> DataFrame:
         done = done.unionByName(moved).unionByName(bad.select(*done.columns))
         done = done if step % STEPS else cut(done)
         front = moved.filter("ref IS NOT NULL")
-    return done.drop("via")
+    return done
 
 
 def folded(rows: DataFrame, own_types_only: bool = False) -> DataFrame:
@@ -272,7 +273,7 @@ def keyword_errors(schemas: DataFrame) -> DataFrame:
     v = jsons.variant(F.col("content"))
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
     unknown = F.filter(keys, lambda k: k.startswith("x-gts-") & ~k.isin(*TOP_KEYWORDS, *REF_KEYWORDS))
-    flag = lambda k: F.try_variant_get(v, f"$['{k}']", "variant")
+    flag = lambda k: jsons.member(v, k)
     odd = lambda k: flag(k).isNotNull() & (jsons.kind(flag(k)) != "BOOLEAN")
     on = lambda k: F.coalesce(F.try_variant_get(v, f"$['{k}']", "boolean"), F.lit(False))
     return schemas.select(
@@ -350,6 +351,116 @@ def reference_errors(schemas: DataFrame, entities: DataFrame) -> DataFrame:
     return judged.filter("reason IS NOT NULL").select(*keep).unionByName(absent.select(*keep))
 
 
+def operand_errors(schemas: DataFrame, entities: DataFrame, stored: bool = True) -> DataFrame:
+    """type_id, path, keyword, operand, reason of reference keywords whose operand names nothing: no identifier or
+    pattern, an instance where types are meant, or (``stored``) an identifier that isn't stored. Patterns are never looked up."""
+    rows = positions(schemas).select("type_id", "path", F.explode("operands").alias("keyword", "operand")).filter("operand <> '/$id'")
+    plain = ~F.col("operand").endswith("*")
+    instance = plain & ~ident.is_type(F.col("operand"))
+    judged = rows.withColumn("reason", F.when(~ident.is_pattern(F.col("operand")), "NotAReference").when((F.col("keyword") == "x-gts-type-ref") & instance, "NotAType"))
+    wrong = judged.filter("reason IS NOT NULL")
+    if not stored:
+        return wrong
+    known = entities.select(F.col("entity_key").alias("operand")).distinct()
+    absent = judged.filter(F.col("reason").isNull() & plain).join(known, "operand", "left_anti").withColumn("reason", F.lit("NotStored"))
+    return wrong.unionByName(absent.select(*wrong.columns))
+
+
+def mixed_dialects(schemas: DataFrame) -> DataFrame:
+    """type_id of types that lead by references to a type of another dialect."""
+    dialect = dialect_of(jsons.as_string(jsons.member(jsons.variant(F.col("content")), "$schema")))
+    own = schemas.select(F.col("entity_key").alias("type_id"), dialect.alias("dialect"))
+    ways = resolved(positions(schemas)).select("type_id", F.explode("via").alias("target")).distinct()
+    target = own.select(F.col("type_id").alias("target"), F.col("dialect").alias("other"))
+    return ways.join(own, "type_id").join(target, "target").filter(~F.col("dialect").eqNullSafe(F.col("other"))).select("type_id").distinct()
+
+
+def type_report(schemas: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """type_id, stage, error of every type: the first stage that finds something, and its first error; null if valid.
+
+    Stages, in order: Dialect, Keywords, References (of all types that a type leads to), Patterns, Derivation, Operands,
+    Traits. All types pass all stages at once; each stage is a table of errors.
+    """
+    entities = schemas if entities is None else entities
+    v = jsons.variant(F.col("content"))
+    ids = schemas.select(F.col("entity_key").alias("type_id"))
+    dialects = schemas.filter(dialect_of(jsons.as_string(jsons.member(v, "$schema"))).isNull()).select(F.col("entity_key").alias("type_id"), F.lit("unsupported dialect").alias("error"))
+    rows = resolved(positions(schemas))
+    listed = lambda df: df.select("type_id", F.explode("errors").alias("error"))
+    patterns_ = rows.filter("pattern IS NOT NULL").select("type_id", "path", "pattern").distinct()
+    stages = (
+        dialects,
+        keyword_errors(schemas).filter("error IS NOT NULL"),
+        rows.filter("error IS NOT NULL").select("type_id", F.concat("path", F.lit(": "), "error").alias("error")),
+        patterns_.withColumn("why", pattern_refusal("pattern")).filter("why IS NOT NULL").select("type_id", F.concat("path", F.lit(": pattern: "), "why").alias("error")),
+        listed(derivation(schemas)),
+        operand_errors(schemas, entities, stored=False).select("type_id", F.concat("path", F.lit(": "), "keyword", F.lit(" "), "reason").alias("error")),
+        listed(trait_errors(schemas)),
+    )
+    names = ("Dialect", "Keywords", "References", "Patterns", "Derivation", "Operands", "Traits")
+    found = None
+    for n, (name, stage) in enumerate(zip(names, stages, strict=True)):
+        part = stage.groupBy("type_id").agg(F.min("error").alias("error")).select("type_id", F.struct(F.lit(n).alias("n"), F.lit(name).alias("stage"), "error").alias("e"))
+        found = part if found is None else found.unionByName(part)
+    first = found.groupBy("type_id").agg(F.min("e").alias("e"))
+    return ids.join(first, "type_id", "left").select("type_id", "e.stage", "e.error")
+
+
+@F.pandas_udf(StringType())
+def pattern_refusal(texts: pd.Series) -> pd.Series:
+    """Why a regular expression isn't admitted; null if it is."""
+    return texts.map(lambda t: None if t is None else patterns.refusal(t))
+
+
+def admitted(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """The types of a batch that can be published together: those found wrong go, then those that are wrong without
+    them, and so on until all that are left are valid beside what is stored."""
+    left = cut(batch)
+    while True:
+        report = type_report(stored.unionByName(left)).filter("error IS NOT NULL").select(F.col("type_id").alias("entity_key"))
+        wrong = cut(left.join(report, "entity_key", "left_semi").select("entity_key").distinct())
+        if wrong.isEmpty():
+            return left
+        left = cut(left.join(wrong, "entity_key", "left_anti"))
+
+
+def compatibility(schemas: DataFrame) -> DataFrame:
+    """old, new, backward, forward, full of all pairs of minor versions: compatible, incompatible or unknown.
+
+    Unknown are pairs of different dialects or with conditions (``if``). Reference keywords count as well: at each place
+    what the one version admits must lie within what the other does; whether a pattern keyword lies within another
+    keyword, or the other way round, can't be told.
+    """
+    dialect = dialect_of(jsons.as_string(jsons.member(jsons.variant(F.col("content")), "$schema")))
+    facts = schemas.select(F.col("gts_id").alias("id"), dialect.alias("dialect"), jsons.has_keyword(F.col("content"), "if").alias("branches"))
+    report = evolution(schemas)
+    side = lambda c: facts.select(F.col("id").alias(c), F.struct("dialect", "branches").alias(f"{c}_f"))
+    pairs = report.join(side("old"), "old").join(side("new"), "new")
+    rows = resolved(positions(schemas)).select("type_id", "path", F.explode("operands").alias("keyword", "operand")).dropDuplicates()
+    rows = rows.withColumn("operand", F.when(F.col("operand") == "/$id", F.col("type_id")).otherwise(F.col("operand")))
+    both = pairs.select("old", "new")
+
+    def within(inner: str, outer: str, name: str) -> DataFrame:
+        """old, new and the worst relation at any place: 0 included, 1 unknown, 2 excluded. ``inner`` must lie within ``outer``."""
+        wide = both.join(rows.withColumnsRenamed({"type_id": outer, "keyword": "k", "operand": "o"}), outer)
+        narrow = rows.withColumnsRenamed({"type_id": inner, "keyword": "k2", "operand": "o2"})
+        met = wide.join(narrow, [inner, "path"], "left")
+        same = F.col("k") == F.col("k2")
+        relation = F.when(F.col("k2").isNull(), 2).when(same, F.when(ident.covers(F.col("o"), F.col("o2")), 0).otherwise(2)).when((F.col("k") == "x-gts-pattern-ref") | (F.col("k2") == "x-gts-pattern-ref"), 1).otherwise(2)
+        return met.groupBy("old", "new").agg(F.max(relation).alias(name))
+
+    every = pairs.join(within("old", "new", "rb"), ["old", "new"], "left").join(within("new", "old", "rf"), ["old", "new"], "left")
+    unknown = ~F.col("old_f.dialect").eqNullSafe(F.col("new_f.dialect")) | F.col("old_f.branches") | F.col("new_f.branches")
+
+    def status(found: str, relation: str) -> Column:
+        worst = F.coalesce(relation, F.lit(0))
+        return F.when(unknown, "unknown").when((F.size(found) > 0) | (worst == 2), "incompatible").when(worst == 1, "unknown").otherwise("compatible")
+
+    out = every.select("old", "new", status("backward", "rb").alias("backward"), status("forward", "rf").alias("forward"))
+    either = lambda x: (F.col("backward") == x) | (F.col("forward") == x)
+    return out.withColumn("full", F.when(either("incompatible"), "incompatible").when(either("unknown"), "unknown").otherwise("compatible"))
+
+
 def latest(schemas: DataFrame) -> DataFrame:
     """family and the type of its highest minor version."""
     w = Window.partitionBy("family").orderBy(F.desc("minor"))

@@ -15,8 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from ..functions import ident, jsons
+from ..functions import ident, jsons, patterns
+from ..operators import registry, schemas
 
 UNROLL = 4
 # JSON kinds by type name; formats as regular expressions.
@@ -40,25 +42,21 @@ class SchemaError(ValueError):
 
 def format_holds(text: Column, name: str) -> Column:
     """Whether a text has a format; dates must exist. Unknown formats hold."""
+    if name == "regex":
+        return is_regex(text)
     if name not in FORMATS:
         return F.lit(True)
     held = text.rlike(FORMATS[name])
     return held & F.substring(text, 1, 10).try_cast("date").isNotNull() if name.startswith("date") else held
 
 
-def profile_error(pattern: str) -> str | None:
-    """Why a regular expression is outside the admitted ones (linear time, bounded size), or None."""
-    for rx, what in ((r"(?<!\\)(?:\\\\)*\(\?(?!:)", "only (?:...) groups may start with '?'"), (r"(?<!\\)(?:\\\\)*\\(?:[1-9]|k<)", "back references"), (r"[*+?}]\+", "possessive quantifiers")):
-        if re.search(rx, pattern):
-            return what
-    counts = [int(b or a) for a, b in re.findall(r"\{(\d+),?(\d*)\}", pattern)]
-    if max(counts, default=0) > 1000 or len(pattern) > 4096:
-        return "it is too large"
-    try:
-        pc.match_substring_regex(pa.array([""]), pattern)
-    except pa.ArrowInvalid as e:
-        return str(e)
-    return None
+@F.pandas_udf(BooleanType())
+def is_regex(texts: pd.Series) -> pd.Series:
+    """Whether a text is an admitted regular expression; null for null."""
+    return texts.map(lambda t: None if t is None else patterns.refusal(t) is None)
+
+
+profile_error = patterns.refusal
 
 
 def linear_match(text: Column, pattern: str) -> Column:
@@ -80,6 +78,7 @@ def _backtracks(pattern: str) -> bool:
 class _Compiler:
     def __init__(self, types: dict[str, dict]):
         self.types = types
+        self.arrow = False  # whether a check runs in Arrow batches
 
     def target(self, ref: str, root: dict, home: str) -> tuple[object, dict, str]:
         if ref.startswith("gts://"):
@@ -142,6 +141,9 @@ class _Compiler:
         if "pattern" in s:
             add(is_("string") & ~self.search(text, s["pattern"], inner), "pattern")
         if "format" in s:
+            if s["format"] == "regex" and inner:
+                raise SchemaError("format regex: not within items")
+            self.arrow |= s["format"] == "regex"
             add(is_("string") & ~format_holds(text, s["format"]), f"format {s['format']}")
         if {"required", "properties", "additionalProperties", "patternProperties", "propertyNames", "minProperties", "maxProperties", "dependentRequired"} & s.keys():
             out += self.object_checks(s, v, path, root, home, via, inner, is_("object"))
@@ -186,6 +188,7 @@ class _Compiler:
             return text.rlike(re.sub(r"(?<!\\)\$$", r"\\z", pattern))
         if inner:
             raise SchemaError(f"pattern {pattern!r}: within items only patterns with one unbounded repetition")
+        self.arrow = True
         return linear_match(text, pattern)
 
     def object_checks(self, s, v, path, root, home, via, inner, is_object) -> list[tuple[Column, str]]:
@@ -242,39 +245,77 @@ class _Compiler:
 
 def errors(content: Column, schema: dict, types: dict[str, dict] | None = None, name: str = "") -> Column:
     """array<string> of what a JSON text breaks; empty if it holds. A text that isn't JSON breaks everything."""
-    v = jsons.variant(content)
-    checks = _Compiler(types or {}).checks(schema, v, "$", schema, name)
-    found = F.filter(F.array(F.lit(None).cast("string"), *(F.when(test, message) for test, message in checks)), lambda e: e.isNotNull())
-    return F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(found)
+    compiler = _Compiler(types or {})
+
+    def found(v: Column) -> Column:
+        checks = compiler.checks(schema, v, "$", schema, name)
+        broken = F.filter(F.array(F.lit(None).cast("string"), *(F.when(test, message) for test, message in checks)), lambda e: e.isNotNull())
+        return F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(broken)
+
+    plain = found(jsons.variant(content))
+    # the text is parsed once; only checks in Arrow batches can't stand within a lambda
+    return plain if compiler.arrow else jsons.let(jsons.variant(content), found)
+
+
+#: Types that one plan judges: a scan of the instances for each so many types.
+TOGETHER = 32
 
 
 def validate(entities: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """entity_key, reason, errors of every instance.
 
-    The types that instances name are read on the driver, for they become part of the plan; instances are then judged
-    by one filtered plan per type, each a scan without a shuffle. Reasons, in order: NoSchemaId, InvalidSchemaId,
-    SchemaNotFound, AbstractType, SchemaInvalid, Invalid; null if valid.
+    Types are judged first (``schemas.type_report``): an instance of a type that isn't valid isn't either. Schemas become
+    part of the plan, so their texts are read on the driver; instances are judged by one scan for each ``TOGETHER``
+    types. Values that break a reference keyword come before all other errors. Reasons, in order: NoSchemaId,
+    InvalidSchemaId, SchemaNotFound, AbstractType, SchemaInvalid, MixedDialects, InvalidReference, Invalid; null if valid.
     """
     types = entities.filter("is_schema") if types is None else types
     instances = entities.filter("NOT is_schema")
     bodies = {r.gts_id: json.loads(r.content) for r in types.filter("gts_id IS NOT NULL").select("gts_id", "content").toLocalIterator()}
+    wrong = {r.type_id: f"{r.stage}: {r.error}" for r in schemas.type_report(types).filter("error IS NOT NULL").toLocalIterator()}
+    mixed = {r.type_id for r in schemas.mixed_dialects(types).toLocalIterator()}
     known = F.col("schema_id").isin(*bodies) if bodies else F.lit(False)
     none = F.array().cast("array<string>")
-    unbound = instances.filter(~F.coalesce(known, F.lit(False))).select(
-        "entity_key", F.when(F.col("schema_id").isNull() | (F.col("schema_id") == ""), "NoSchemaId").when(~ident.is_valid_legacy(F.col("schema_id")), "InvalidSchemaId").otherwise("SchemaNotFound").alias("reason"), none.alias("errors")
-    )
-    for name, body in bodies.items():
-        mine = instances.filter(F.col("schema_id") == name)
-        if body.get("x-gts-abstract") is True:
-            judged = mine.select("entity_key", F.lit("AbstractType").alias("reason"), none.alias("errors"))
-        else:
-            try:
-                found = mine.select("entity_key", errors(F.col("content"), body, bodies, name).alias("errors"))
-                judged = found.select("entity_key", F.when(F.size("errors") > 0, "Invalid").alias("reason"), "errors")
-            except SchemaError as e:
-                judged = mine.select("entity_key", F.lit("SchemaInvalid").alias("reason"), F.array(F.lit(str(e))).alias("errors"))
-        unbound = unbound.unionByName(judged)
-    return unbound
+    unbound = F.when(F.col("schema_id").isNull() | (F.col("schema_id") == ""), "NoSchemaId").when(~ident.is_valid_legacy(F.col("schema_id")), "InvalidSchemaId").otherwise("SchemaNotFound")
+    judged = instances.filter(~F.coalesce(known, F.lit(False))).select("entity_key", unbound.alias("reason"), none.alias("errors"))
+
+    def verdict(name: str) -> Column:
+        """struct(reason, errors) of an instance of this type."""
+        fixed = lambda reason, *texts: F.struct(F.lit(reason).alias("reason"), (F.array(*map(F.lit, texts)) if texts else none).alias("errors"))
+        if bodies[name].get("x-gts-abstract") is True:
+            return fixed("AbstractType")
+        if name in mixed:
+            return fixed("MixedDialects")
+        if name in wrong:
+            return fixed("SchemaInvalid", wrong[name])
+        try:
+            found = errors(F.col("content"), bodies[name], bodies, name)
+        except SchemaError as e:
+            return fixed("SchemaInvalid", str(e))
+        return F.struct(F.when(F.size(found) > 0, "Invalid").alias("reason"), found.alias("errors"))
+
+    names = sorted(bodies)
+    for at in range(0, len(names), TOGETHER):
+        some = names[at : at + TOGETHER]
+        choice = F.lit(None).cast("struct<reason:string,errors:array<string>>")
+        for name in some:
+            choice = F.when(F.col("schema_id") == name, verdict(name)).otherwise(choice)
+        rows = instances.filter(F.col("schema_id").isin(*some)).select("entity_key", choice.alias("v")).select("entity_key", "v.reason", "v.errors")
+        judged = judged.unionByName(rows)
+    if not any(f'"{k}"' in json.dumps(b) for b in bodies.values() for k in schemas.REF_KEYWORDS):
+        return judged
+    text = F.concat("path", F.lit(": "), "keyword", F.lit(" "), "reason")
+    refs = schemas.reference_errors(types, instances.unionByName(types.select(*instances.columns))).groupBy("entity_key").agg(F.sort_array(F.collect_set(text)).alias("refs"))
+    lost = F.col("refs").isNotNull() & (F.col("reason").isNull() | (F.col("reason") == "Invalid"))
+    return judged.join(refs, "entity_key", "left").select("entity_key", F.when(lost, "InvalidReference").otherwise(F.col("reason")).alias("reason"), F.when(lost, F.col("refs")).otherwise(F.col("errors")).alias("errors"))
+
+
+def validate_entities(entities: DataFrame) -> DataFrame:
+    """entity_key, reason, errors of all that is stored: types by their report, everything else as an instance."""
+    report = schemas.type_report(entities.filter("is_schema"))
+    none = F.array().cast("array<string>")
+    own = report.select(F.col("type_id").alias("entity_key"), F.when(F.col("error").isNotNull(), F.col("stage")).alias("reason"), F.when(F.col("error").isNotNull(), F.array("error")).otherwise(none).alias("errors"))
+    return own.unionByName(validate(entities))
 
 
 def _flat(schema: dict, types: dict[str, dict], via: tuple = ()) -> dict:
@@ -300,7 +341,7 @@ def cast(content: Column, schema: dict, types: dict[str, dict] | None = None) ->
 def _moved(v: Column, schema: dict, types: dict[str, dict], via: tuple = ()) -> Column:
     flat = _flat(schema, types)
     old = F.try_variant_get(v, "$", "map<string,variant>")
-    kept = F.map_filter(old, lambda k, _: k.isin(*flat["properties"])) if flat["closed"] and flat["properties"] else old
+    kept = F.map_filter(old, lambda k, _: k.isin(*flat["properties"]) if flat["properties"] else F.lit(False)) if flat["closed"] else old
     put: dict[str, Column] = {}
     for name, sub in flat["properties"].items():
         if not isinstance(sub, dict):
@@ -308,17 +349,19 @@ def _moved(v: Column, schema: dict, types: dict[str, dict], via: tuple = ()) ->
         at, const = jsons.member(v, name), sub.get("const")
         if "default" in sub:
             put[name] = F.coalesce(at, F.parse_json(F.lit(json.dumps(sub["default"]))))
-        if isinstance(const, str) and const.startswith("gts.") and ident.is_pattern_text(const):
-            put[name] = F.when(at.isNull() | (jsons.kind(at) == "STRING"), F.parse_json(F.lit(json.dumps(const)))).otherwise(at)
+        if isinstance(const, str) and ident.is_legacy_text(const):
+            # one identifier takes another's place; other values, and none, stay for the validation to judge
+            now = put.get(name, at)
+            put[name] = F.when(ident.is_valid_legacy(jsons.as_string(now)), F.parse_json(F.lit(json.dumps(const)))).otherwise(now)
         # a schema within itself comes by references: unrolled as far as validation judges it
         way = (*via, json.dumps(sub, sort_keys=True))
         if way.count(way[-1]) > UNROLL:
             continue
         nested = _flat(sub, types)
-        if nested["properties"]:
+        if nested["properties"] or nested["closed"]:
             put[name] = F.when(jsons.kind(at) == "OBJECT", _moved(at, sub, types, way)).otherwise(put.get(name, at))
         items = sub.get("items")
-        if isinstance(items, dict) and _flat(items, types)["properties"]:
+        if isinstance(items, dict) and (inner := _flat(items, types)) and (inner["properties"] or inner["closed"]):
             each = F.transform(F.try_variant_get(at, "$", "array<variant>"), lambda x: F.when(jsons.kind(x) == "OBJECT", _moved(x, items, types, way)).otherwise(x))
             put[name] = F.when(jsons.kind(at) == "ARRAY", F.to_variant_object(each)).otherwise(put.get(name, at))
     if not put:

@@ -91,10 +91,22 @@ def listing(entities: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def attribute_access(entities: DataFrame, selector: str) -> DataFrame:
-    """``id@path`` for one entity: resolved, value (JSON text), error."""
-    sides = jsons.selector(selector)
-    if not sides:
-        raise QueryError("Attribute selector must be id@path")
-    return entities.filter((F.col("gts_id") == sides[0]) | (F.col("entity_key") == sides[0])).select(
-        "entity_key", jsons.attribute_result(jsons.variant(F.col("content")), sides[1]).alias("r")
-    ).select("entity_key", "r.*")
+    """``id@path`` for one entity: id, path, resolved, value (JSON text), error, and the available paths where it leads nowhere.
+
+    Always one row: a missing ``@``, a blank id and an unknown entity are errors of their own.
+    """
+    left, at, right = selector.partition("@")
+    key, path = left.strip(), right.strip()
+    wrong = "Attribute selector requires '@path' in the identifier." if not at else "Missing identifier before '@'." if not key else None
+    asked = entities.sparkSession.createDataFrame([(key, path if at else None)], "id string, path string")
+    if wrong:
+        nothing = F.lit(None).cast("string")
+        return asked.select("id", "path", F.lit(False).alias("resolved"), nothing.alias("value"), F.lit(wrong).alias("error"), nothing.cast("array<string>").alias("available"))
+    mine = entities.filter((F.col("gts_id") == key) | (F.col("entity_key") == key)).orderBy(F.col("gts_id").isNull()).limit(1)
+    found = mine.select(F.lit(key).alias("id"), "content", jsons.attribute_result(jsons.variant(F.col("content")), path).alias("r"))
+    resolved = F.coalesce("r.resolved", F.lit(False))
+    return asked.join(found, "id", "left").select(
+        "id", "path", resolved.alias("resolved"), "r.value",
+        F.when(F.col("content").isNull(), "Entity not found.").otherwise(F.col("r.error")).alias("error"),
+        F.when(~resolved, jsons.available_fields("content")).alias("available"),
+    )
