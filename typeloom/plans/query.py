@@ -100,8 +100,8 @@ def attribute_access(entities: DataFrame, selector: str) -> DataFrame:
     wrong = "Attribute selector requires '@path' in the identifier." if not at else "Missing identifier before '@'." if not key else None
     asked = entities.sparkSession.createDataFrame([(key, path if at else None)], "id string, path string")
     if wrong:
-        nothing = F.lit(None).cast("string")
-        return asked.select("id", "path", F.lit(False).alias("resolved"), nothing.alias("value"), F.lit(wrong).alias("error"), nothing.cast("array<string>").alias("available"))
+        nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        return asked.select("id", "path", F.lit(False).alias("resolved"), nothing("string", "value"), F.lit(wrong).alias("error"), nothing("array<string>", "available"))
     mine = entities.filter((F.col("gts_id") == key) | (F.col("entity_key") == key)).orderBy(F.col("gts_id").isNull()).limit(1)
     found = mine.select(F.lit(key).alias("id"), "content", jsons.attribute_result(jsons.variant(F.col("content")), path).alias("r"))
     resolved = F.coalesce("r.resolved", F.lit(False))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
+import zipfile
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,7 +68,19 @@ def json_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return each.join(before, "path").select((F.coalesce("before", F.lit(0)) + F.col("at")).alias("seq"), "content", "path")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session's context: Python workers may start where it isn't."""
+    sc = spark.sparkContext
+    if not any(f.rpartition("/")[2] == "typeloom.zip" for f in sc.listFiles):
+        root, folder = Path(__file__).resolve().parents[2], tempfile.mkdtemp(prefix="typeloom-")
+        with zipfile.ZipFile(f"{folder}/typeloom.zip", "w") as packed:
+            for f in sorted((root / "typeloom").rglob("*.py")):
+                packed.write(f, f.relative_to(root))
+        sc.addPyFile(f"{folder}/typeloom.zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
