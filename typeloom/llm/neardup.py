@@ -40,7 +40,7 @@ SKETCH = 8
 #: Likeness that the sketch may give less than the threshold: some six standard deviations.
 MARGIN = 0.15
 #: Samples, 64-bit words and margin of the fine sketch, which only documents get that are compared within a band.
-FINE_SAMPLES, FINE, FINE_MARGIN = 1600, 64, 0.04
+FINE_SAMPLES, FINE, FINE_MARGIN = 3200, 128, 0.03
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: A seed gives two samples: the upper and the lower half of a product.
 _SEEDS = mixed(np.arange(1, BANDS * ROWS // 2 + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
