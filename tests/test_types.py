@@ -256,3 +256,34 @@ def test_query_against_sql(spark, name):
     cols = sorted(df.columns)
     assert cols == sorted(want.columns)
     assert sorted(map(repr, (tuple(r) for r in df.select(cols).collect()))) == sorted(map(repr, want.select(*(f'"{c}"' for c in cols)).fetchall()))
+
+
+def test_depth_comes_from_the_instances(spark):
+    name, other = "gts.x.deep.b.t.v1~", "gts.x.deep.b.o.v1~"
+    tree = schema(name, properties={"id": {}, "n": {"type": "integer"}, "all": {"type": "array", "items": {"$ref": "#"}}})
+    list_ = schema(other, properties={"id": {}, "n": {"type": "integer"}, "next": {"$ref": "#"}})
+
+    def deep(depth, leaf, member):
+        below = deep(depth - 1, leaf, member) if depth else None
+        return {"n": leaf} if depth == 0 else {"next": below} if member == "next" else {"all": [{}, below]}
+
+    docs = {"a": deep(6, 1, "all"), "b": deep(6, "no", "all"), "c": {"n": '}{"['}, "d": {}}
+    lists = {"e": deep(12, 1, "next"), "f": deep(12, "no", "next")}
+    rows = [{"id": f"{t}x.deep._.{k}.v1", **d} for t, some in ((name, docs), (other, lists)) for k, d in some.items()]
+    found = {r.entity_key[-4]: r.reason for r in evaluate.validate(entities(spark, tree, list_, *rows)).collect()}
+    assert found == {"a": None, "b": "Invalid", "c": "Invalid", "d": None, "e": None, "f": "Invalid"}
+    assert evaluate.refers_to_itself(tree, {name: tree}, name) and not evaluate.refers_to_itself(schema(name), {}, name)
+    for text, deep in (('{"a": [1, {"b": "]}\\\\"}]}', 3), ('"\\\\\\"{"', 0), ("[[[]]]", 3), ("{}", 1), ("1", 0)):
+        assert one(spark, evaluate.nesting(F.col("t")), t=text) == deep, text
+
+
+def test_patterns_within_items_and_members(spark):
+    held = lambda s, doc: one(spark, F.size(evaluate.errors(F.col("t"), s)) == 0, t=json.dumps(doc))
+    two, nested = "^[a-z]+-[a-z]+$", "^(a+)+$"
+    assert held({"items": {"pattern": two}}, ["ab-c", "x-y"]) and not held({"items": {"pattern": two}}, ["ab-c", "x"])
+    assert held({"additionalProperties": {"pattern": nested}}, {"k": "aaa", "n": 5}) and not held({"additionalProperties": {"pattern": nested}}, {"k": "aab"})
+    named = {"patternProperties": {two: {"type": "string"}}, "additionalProperties": False}
+    assert held(named, {"a-b": "x"}) and not held(named, {"a-b": 1}) and not held(named, {"ab": "x"})
+    assert held({"propertyNames": {"pattern": two}}, {"a-b": 1}) and not held({"propertyNames": {"pattern": two}}, {"ab": 1})
+    assert held({"items": {"format": "regex"}}, ["a+"]) and not held({"items": {"format": "regex"}}, ["a+", "("])
+    assert not held({"pattern": nested}, "a" * 40_000 + "!") and not held({"items": {"pattern": nested}}, ["a" * 40_000 + "!"])

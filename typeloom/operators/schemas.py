@@ -67,9 +67,10 @@ def _node(schema, path: str, branch: bool) -> dict:
 
 
 def _positions(text):
-    """Rows of one schema. Local references are followed in place; one that comes back to itself is an error row."""
+    """Rows of one schema. Local references are followed in place. One that comes back to itself below, in a member or an
+    item, ends there: its positions are those above. One that comes back at the same place is an error row."""
     root = jsons._parsed(text)
-    rows, todo = [], [(root, "$", False, ())]
+    rows, todo = [], [(root, "$", False, {})]
     while todo:
         schema, path, branch, via = todo.pop()
         if not isinstance(schema, dict | bool):
@@ -84,10 +85,12 @@ def _positions(text):
             target = root
             for step in jsons.pointer_steps(ref):
                 target = target.get(step) if isinstance(target, dict) else None
-            if ref in via or target is None:
-                rows[-1]["error"] = f"cyclic $ref: {ref}" if ref in via else f"$ref leads nowhere: {ref}"
-            else:
-                todo.append((target, path, True, (*via, ref)))
+            if target is None:
+                rows[-1]["error"] = f"$ref leads nowhere: {ref}"
+            elif via.get(ref) == path:
+                rows[-1]["error"] = f"cyclic $ref: {ref}"
+            elif ref not in via:
+                todo.append((target, path, True, via | {ref: path}))
         todo += [(s, f"{path}.{k}", False, via) for k, s in (schema.get("properties") or {}).items()]
         todo += [(s, path, True, via) for s in schema.get("allOf") or []]
         if "items" in schema:

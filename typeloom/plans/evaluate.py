@@ -2,7 +2,8 @@
 
 A schema is small and becomes part of the plan; instances by the million are then evaluated in the JVM. Each check is
 a pair (failed, message), so verdicts and messages come from the same expression. Schemas that refer to themselves
-are unrolled ``UNROLL`` levels; what lies deeper is an error of the instance, never passed over.
+are unrolled as deep as the instances nest, which is counted first. A plan of more than ``MOST_CHECKS`` checks isn't
+made: then what lies deeper is an error of the instance, never passed over.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from pyspark.sql.types import BooleanType
 from ..functions import ident, jsons, patterns
 from ..operators import registry, schemas
 
+#: Levels of a schema that refers to itself where the instances haven't been counted.
 UNROLL = 4
+#: Places of a schema that one plan holds, if it refers to itself.
+MOST_CHECKS = 2000
 # JSON kinds by type name; formats as regular expressions.
 KINDS = {"string": ("STRING",), "boolean": ("BOOLEAN",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "object": ("OBJECT",), "array": ("ARRAY",), "null": ("VOID",)}
 FORMATS = {
@@ -75,10 +79,95 @@ def _backtracks(pattern: str) -> bool:
     return len(unbounded) > 1 or bool(re.search(r"\)(?:[*+]|\{)", pattern)) or any(int(x) > 50 for x in re.findall(r"\{(\d+)", pattern))
 
 
+def _texts(content: str | None) -> set[str]:
+    """All strings of a JSON text, names of members included; none if it isn't JSON."""
+    out, open_ = set(), []
+    try:
+        open_.append(json.loads(content))
+    except (ValueError, TypeError, RecursionError):
+        pass
+    while open_:
+        node = open_.pop()
+        if isinstance(node, str):
+            out.add(node.encode("utf-8", "replace").decode())
+        elif isinstance(node, dict):
+            open_ += [*node, *node.values()]
+        elif isinstance(node, list):
+            open_ += node
+    return out
+
+
+def matching(content: Column, tests: list[str | None]) -> Column:
+    """For each pattern the strings of a JSON text that it finds, by an automaton in linear time, in Arrow batches; for
+    None those that are admitted regular expressions. Checks within items and members then look a string up."""
+
+    @F.pandas_udf("array<array<string>>")
+    def found(contents: pd.Series) -> pd.Series:
+        rows = [_texts(c) for c in contents]
+        texts = pa.array(sorted(set().union(*rows)), pa.string())
+        held = [
+            {t for t in texts.to_pylist() if patterns.refusal(t) is None} if p is None else set(texts.filter(pc.match_substring_regex(texts, p)).to_pylist())
+            for p in tests
+        ]
+        return pd.Series([[sorted(row & h) for h in held] for row in rows])
+
+    return found(content)
+
+
+def nesting(content: Column) -> Column:
+    """How deep objects and arrays of a JSON text nest."""
+    bare = F.regexp_replace(F.regexp_replace(content, r"(?s)\\.", ""), r'"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
+
+    def step(held: Column, c: Column) -> Column:
+        at = held["at"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(at.alias("at"), F.greatest(held["most"], at).alias("most"))
+
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda held: held["most"])
+
+
+def refers_to_itself(schema: dict, types: dict[str, dict], name: str = "") -> bool:
+    """Whether a chain of the schema's references comes back to one of them."""
+    compiler, done = _Compiler(types), set()
+
+    def refs(node) -> set[str]:
+        out, open_ = set(), [node]
+        while open_:
+            x = open_.pop()
+            if isinstance(x, dict) and isinstance(x.get("$ref"), str):
+                out.add(x["$ref"])
+            open_ += x.values() if isinstance(x, dict) else x if isinstance(x, list) else []
+        return out
+
+    def returns(node, root: dict, home: str, via: frozenset) -> bool:
+        for ref in refs(node):
+            if (home, ref) in via:
+                return True
+            if (home, ref) in done:
+                continue
+            try:
+                target = compiler.target(ref, root, home)
+            except SchemaError:
+                continue
+            if returns(*target, via | {(home, ref)}):
+                return True
+            done.add((home, ref))
+        return False
+
+    return returns(schema, schema, name, frozenset())
+
+
+class _TooLarge(Exception):
+    """More checks than one plan should hold."""
+
+
 class _Compiler:
-    def __init__(self, types: dict[str, dict]):
-        self.types = types
-        self.arrow = False  # whether a check runs in Arrow batches
+    def __init__(self, types: dict[str, dict], levels: int = UNROLL, matched: Column | None = None):
+        self.types, self.levels = types, levels
+        self.made = 0
+        #: Patterns for an automaton (None: format regex), and the strings that each of them finds.
+        self.tests: list[str | None] = []
+        self.matched = F.lit(None).cast("array<array<string>>") if matched is None else matched
 
     def target(self, ref: str, root: dict, home: str) -> tuple[object, dict, str]:
         if ref.startswith("gts://"):
@@ -96,8 +185,11 @@ class _Compiler:
                 raise SchemaError(f"$ref leads nowhere: {ref}") from None
         return node, root, home
 
-    def checks(self, s, v: Column, path: str, root: dict, home: str, via: tuple = (), inner: bool = False) -> list[tuple[Column, str]]:
-        """(failed, message) of a value that is there; ``inner``: within a lambda, where Arrow functions can't stand."""
+    def checks(self, s, v: Column, path: str, root: dict, home: str, via: tuple = ()) -> list[tuple[Column, str]]:
+        """(failed, message) of a value that is there."""
+        self.made += 1
+        if self.made > MOST_CHECKS and self.levels > UNROLL:
+            raise _TooLarge
         if isinstance(s, bool):
             return [] if s else [(F.lit(True), f"{path}: nothing is admitted")]
         if not isinstance(s, dict):
@@ -106,17 +198,17 @@ class _Compiler:
         kind = jsons.kind(v)
         is_ = lambda name: kind.isin(*KINDS[name])
         number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
-        fails = lambda s2, v2=v, p=path, i=inner: self.failed(self.checks(s2, v2, p, root, home, via, i))
+        fails = lambda s2, v2=v, p=path: self.failed(self.checks(s2, v2, p, root, home, via))
 
         def add(test: Column, message: str):
             out.append((F.coalesce(test, F.lit(False)), f"{path}: {message}"))
 
         if "$ref" in s:
             ref = s["$ref"]
-            if via.count((home, ref)) >= UNROLL:
+            if via.count((home, ref)) >= self.levels:
                 return [(F.lit(True), f"{path}: nested too deeply")]
             node, r2, h2 = self.target(ref, root, home)
-            out += self.checks(node, v, path, r2, h2, (*via, (home, ref)), inner)
+            out += self.checks(node, v, path, r2, h2, (*via, (home, ref)))
         if "type" in s:
             names = [s["type"]] if isinstance(s["type"], str) else s["type"]
             held = F.lit(False)
@@ -139,14 +231,12 @@ class _Compiler:
         if "maxLength" in s:
             add(is_("string") & (F.length(text) > int(s["maxLength"])), "maxLength")
         if "pattern" in s:
-            add(is_("string") & ~self.search(text, s["pattern"], inner), "pattern")
+            add(is_("string") & ~self.search(text, s["pattern"]), "pattern")
         if "format" in s:
-            if s["format"] == "regex" and inner:
-                raise SchemaError("format regex: not within items")
-            self.arrow |= s["format"] == "regex"
-            add(is_("string") & ~format_holds(text, s["format"]), f"format {s['format']}")
+            held = self.found(text, None) if s["format"] == "regex" else format_holds(text, s["format"])
+            add(is_("string") & ~held, f"format {s['format']}")
         if {"required", "properties", "additionalProperties", "patternProperties", "propertyNames", "minProperties", "maxProperties", "dependentRequired"} & s.keys():
-            out += self.object_checks(s, v, path, root, home, via, inner, is_("object"))
+            out += self.object_checks(s, v, path, root, home, via, is_("object"))
         if {"items", "prefixItems", "minItems", "maxItems", "uniqueItems", "contains"} & s.keys():
             items = F.try_variant_get(v, "$", "array<variant>")
             if "minItems" in s:
@@ -162,11 +252,11 @@ class _Compiler:
             rest = s.get("additionalItems") if isinstance(s.get("items"), list) else s.get("items")
             if rest is not None and rest is not True:
                 tail = F.slice(items, len(first) + 1, F.greatest(F.size(items), F.lit(0))) if first else items
-                add(is_("array") & F.exists(tail, lambda x: fails(rest, x, f"{path}[]", True)), "an item does not hold")
+                add(is_("array") & F.exists(tail, lambda x: fails(rest, x, f"{path}[]")), "an item does not hold")
             if "contains" in s:
-                add(is_("array") & ~F.exists(items, lambda x: ~fails(s["contains"], x, f"{path}[]", True)), "contains")
+                add(is_("array") & ~F.exists(items, lambda x: ~fails(s["contains"], x, f"{path}[]")), "contains")
         for sub in s.get("allOf") or []:
-            out += self.checks(sub, v, path, root, home, via, inner)
+            out += self.checks(sub, v, path, root, home, via)
         if "anyOf" in s:
             add(self.count(s["anyOf"], fails) == 0, "anyOf")
         if "oneOf" in s:
@@ -181,17 +271,19 @@ class _Compiler:
                 add(~held & fails(s["else"]), "else")
         return out
 
-    def search(self, text: Column, pattern: str, inner: bool) -> Column:
+    def search(self, text: Column, pattern: str) -> Column:
         if error := profile_error(pattern):
             raise SchemaError(f"pattern {pattern!r}: {error}")
         if not _backtracks(pattern):
             return text.rlike(re.sub(r"(?<!\\)\$$", r"\\z", pattern))
-        if inner:
-            raise SchemaError(f"pattern {pattern!r}: within items only patterns with one unbounded repetition")
-        self.arrow = True
-        return linear_match(text, pattern)
+        return self.found(text, pattern)
+
+    def found(self, text: Column, test: str | None) -> Column:
+        if test not in self.tests:
+            self.tests.append(test)
+        return F.array_contains(F.get(self.matched, F.lit(self.tests.index(test))), text)
 
-    def object_checks(self, s, v, path, root, home, via, inner, is_object) -> list[tuple[Column, str]]:
+    def object_checks(self, s, v, path, root, home, via, is_object) -> list[tuple[Column, str]]:
         out = []
         keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
         known, named = s.get("properties") or {}, s.get("patternProperties") or {}
@@ -199,10 +291,10 @@ class _Compiler:
             out.append((is_object & jsons.member(v, name).isNull(), f"{path}.{name}: required"))
         for name, sub in known.items():
             at = jsons.member(v, name)
-            out += [(at.isNotNull() & test, message) for test, message in self.checks(sub, at, f"{path}.{name}", root, home, via, inner)]
+            out += [(at.isNotNull() & test, message) for test, message in self.checks(sub, at, f"{path}.{name}", root, home, via)]
         members = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
         def breaks(pattern: str, sub):
-            return lambda e: self.search(e["key"], pattern, True) & self.failed(self.checks(sub, e["value"], path, root, home, via, True))
+            return lambda e: self.search(e["key"], pattern) & self.failed(self.checks(sub, e["value"], path, root, home, via))
 
         for pattern, sub in named.items():
             out.append((is_object & F.exists(members, breaks(pattern, sub)), f"{path}: patternProperties {pattern}"))
@@ -210,14 +302,14 @@ class _Compiler:
         def extra(key: Column) -> Column:
             free = ~key.isin(*known) if known else F.lit(True)
             for pattern in named:
-                free &= ~self.search(key, pattern, True)
+                free &= ~self.search(key, pattern)
             return free
 
         rest = s.get("additionalProperties", True)
         if rest is False:
             out.append((is_object & F.exists(keys, extra), f"{path}: additional properties"))
         elif rest is not True:
-            out.append((is_object & F.exists(members, lambda e: extra(e["key"]) & self.failed(self.checks(rest, e["value"], path, root, home, via, True))), f"{path}: an additional property does not hold"))
+            out.append((is_object & F.exists(members, lambda e: extra(e["key"]) & self.failed(self.checks(rest, e["value"], path, root, home, via))), f"{path}: an additional property does not hold"))
         for key, test in (("minProperties", lambda n: F.size(keys) < n), ("maxProperties", lambda n: F.size(keys) > n)):
             if key in s:
                 out.append((is_object & test(int(s[key])), f"{path}: {key}"))
@@ -225,7 +317,7 @@ class _Compiler:
             for need in needs:
                 out.append((is_object & jsons.member(v, name).isNotNull() & jsons.member(v, need).isNull(), f"{path}.{need}: required by {name}"))
         if "propertyNames" in s:
-            out.append((is_object & F.exists(keys, lambda k: self.failed(self.checks(s["propertyNames"], F.parse_json(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2)), path, root, home, via, True))), f"{path}: propertyNames"))
+            out.append((is_object & F.exists(keys, lambda k: self.failed(self.checks(s["propertyNames"], F.parse_json(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2)), path, root, home, via))), f"{path}: propertyNames"))
         return [(F.coalesce(test, F.lit(False)), message) for test, message in out]
 
     @staticmethod
@@ -243,18 +335,39 @@ class _Compiler:
         return out
 
 
-def errors(content: Column, schema: dict, types: dict[str, dict] | None = None, name: str = "") -> Column:
-    """array<string> of what a JSON text breaks; empty if it holds. A text that isn't JSON breaks everything."""
-    compiler = _Compiler(types or {})
+def errors(content: Column, schema: dict, types: dict[str, dict] | None = None, name: str = "", levels: int = UNROLL) -> Column:
+    """array<string> of what a JSON text breaks; empty if it holds. A text that isn't JSON breaks everything.
 
-    def found(v: Column) -> Column:
+    ``levels``: how often a reference may stand within itself, one more than the instances nest if nothing valid is to
+    be refused; less where the plan would hold more than ``MOST_CHECKS``.
+    """
+
+    def found(v: Column, compiler: _Compiler) -> Column:
         checks = compiler.checks(schema, v, "$", schema, name)
         broken = F.filter(F.array(F.lit(None).cast("string"), *(F.when(test, message) for test, message in checks)), lambda e: e.isNotNull())
         return F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(broken)
 
-    plain = found(jsons.variant(content))
-    # the text is parsed once; only checks in Arrow batches can't stand within a lambda
-    return plain if compiler.arrow else jsons.let(jsons.variant(content), found)
+    def judged(matched: Column | None = None) -> tuple[Column, list[str | None]]:
+        compiler = _Compiler(types or {}, levels, matched)
+        return jsons.let(jsons.variant(content), lambda v: found(v, compiler)), compiler.tests  # the text is parsed once
+
+    while True:
+        try:
+            plain, tests = judged()
+            break
+        except _TooLarge:
+            levels = max(UNROLL, levels * 3 // 4)
+    # functions in Arrow batches can't stand within a lambda: what they find is bound outside
+    return jsons.let(matching(content, tests), lambda m: judged(m)[0]) if tests else plain
+
+
+def levels_of(instances: DataFrame, types: dict[str, dict]) -> dict[str, int]:
+    """Levels by type for the instances (schema_id, content) of types that refer to themselves."""
+    names = [n for n, body in types.items() if isinstance(body, dict) and refers_to_itself(body, types, n)]
+    if not names:
+        return {}
+    deepest = instances.filter(F.col("schema_id").isin(*names)).groupBy("schema_id").agg(F.max(nesting(F.col("content"))).alias("most"))
+    return {r.schema_id: max(UNROLL, (r.most or 0) + 1) for r in deepest.toLocalIterator()}
 
 
 #: Types that one plan judges: a scan of the instances for each so many types.
@@ -289,12 +402,12 @@ def validate(entities: DataFrame, types: DataFrame | None = None) -> DataFrame:
         if name in wrong:
             return fixed("SchemaInvalid", wrong[name])
         try:
-            found = errors(F.col("content"), bodies[name], bodies, name)
+            found = errors(F.when(F.col("schema_id") == name, F.col("content")), bodies[name], bodies, name, levels.get(name, UNROLL))
         except SchemaError as e:
             return fixed("SchemaInvalid", str(e))
         return F.struct(F.when(F.size(found) > 0, "Invalid").alias("reason"), found.alias("errors"))
 
-    names = sorted(bodies)
+    names, levels = sorted(bodies), levels_of(instances, bodies)
     for at in range(0, len(names), TOGETHER):
         some = names[at : at + TOGETHER]
         choice = F.lit(None).cast("struct<reason:string,errors:array<string>>")
@@ -331,14 +444,15 @@ def _flat(schema: dict, types: dict[str, dict], via: tuple = ()) -> dict:
     return out
 
 
-def cast(content: Column, schema: dict, types: dict[str, dict] | None = None) -> Column:
+def cast(content: Column, schema: dict, types: dict[str, dict] | None = None, levels: int = UNROLL) -> Column:
     """A JSON object moved to another minor version: defaults filled in, constant identifiers replaced, and what a
-    closed version doesn't know taken out; nested objects and objects in arrays likewise. Null for anything but an object."""
+    closed version doesn't know taken out; nested objects and objects in arrays likewise, a schema within itself so many ``levels`` deep. Null for anything but
+    an object."""
     v = jsons.variant(content)
-    return F.when(jsons.kind(v) == "OBJECT", F.to_json(_moved(v, schema, types or {})))
+    return F.when(jsons.kind(v) == "OBJECT", F.to_json(_moved(v, schema, types or {}, levels)))
 
 
-def _moved(v: Column, schema: dict, types: dict[str, dict], via: tuple = ()) -> Column:
+def _moved(v: Column, schema: dict, types: dict[str, dict], levels: int, via: tuple = ()) -> Column:
     flat = _flat(schema, types)
     old = F.try_variant_get(v, "$", "map<string,variant>")
     kept = F.map_filter(old, lambda k, _: k.isin(*flat["properties"]) if flat["properties"] else F.lit(False)) if flat["closed"] else old
@@ -353,16 +467,16 @@ def _moved(v: Column, schema: dict, types: dict[str, dict], via: tuple = ()) ->
             # one identifier takes another's place; other values, and none, stay for the validation to judge
             now = put.get(name, at)
             put[name] = F.when(ident.is_valid_legacy(jsons.as_string(now)), F.parse_json(F.lit(json.dumps(const)))).otherwise(now)
-        # a schema within itself comes by references: unrolled as far as validation judges it
+        # a schema within itself comes by references
         way = (*via, json.dumps(sub, sort_keys=True))
-        if way.count(way[-1]) > UNROLL:
+        if way.count(way[-1]) > levels:
             continue
         nested = _flat(sub, types)
         if nested["properties"] or nested["closed"]:
-            put[name] = F.when(jsons.kind(at) == "OBJECT", _moved(at, sub, types, way)).otherwise(put.get(name, at))
+            put[name] = F.when(jsons.kind(at) == "OBJECT", _moved(at, sub, types, levels, way)).otherwise(put.get(name, at))
         items = sub.get("items")
         if isinstance(items, dict) and (inner := _flat(items, types)) and (inner["properties"] or inner["closed"]):
-            each = F.transform(F.try_variant_get(at, "$", "array<variant>"), lambda x: F.when(jsons.kind(x) == "OBJECT", _moved(x, items, types, way)).otherwise(x))
+            each = F.transform(F.try_variant_get(at, "$", "array<variant>"), lambda x: F.when(jsons.kind(x) == "OBJECT", _moved(x, items, types, levels, way)).otherwise(x))
             put[name] = F.when(jsons.kind(at) == "ARRAY", F.to_variant_object(each)).otherwise(put.get(name, at))
     if not put:
         return F.to_variant_object(kept)
@@ -380,7 +494,10 @@ def cast_and_validate(instances: DataFrame, target: str, types: dict[str, dict])
             return {k: loose(y) for k, y in x.items() if k != "const"} | {"type": "string"} if isinstance(c, str) and c.startswith("gts.") else {k: loose(y) for k, y in x.items()}
         return [loose(y) for y in x] if isinstance(x, list) else x
 
-    moved = instances.select("entity_key", ident.are_minor_variants(F.col("schema_id"), F.lit(target)).alias("kin"), cast(F.col("content"), types[target], types).alias("content"))
+    levels = UNROLL
+    if refers_to_itself(types[target], types, target):
+        levels = max(UNROLL, (instances.agg(F.max(nesting(F.col("content")))).first()[0] or 0) + 1)
+    moved = instances.select("entity_key", ident.are_minor_variants(F.col("schema_id"), F.lit(target)).alias("kin"), cast(F.col("content"), types[target], types, levels).alias("content"))
     tolerant = {k: loose(s) for k, s in types.items()}
-    held = errors(F.col("content"), tolerant[target], tolerant, target)
+    held = errors(F.col("content"), tolerant[target], tolerant, target, levels)
     return moved.select("entity_key", F.when(F.col("kin"), F.col("content")).alias("content"), F.when(F.coalesce(F.col("kin"), F.lit(False)), held).otherwise(F.array(F.lit("NotMinorVariantPair"))).alias("errors"))
