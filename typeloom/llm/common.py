@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts that split on ASCII white space only.
@@ -114,6 +114,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, by: str | None = None) -> DataFrame:
+    """``df`` with each row's place, from 1, in the order (within ``by``, a column without nulls), as column ``name``.
+
+    Rows are sorted by range and written once; a place is the row's in its range, and the rows in the ranges before.
+    Equal rows are spread by their place in the input, which should be a written table; no group meets in one task.
+    """
+    tie, at, part, first, n = fresh(df, "tie", "at", "part", "first", "n")
+    keys = [*([F.asc(by)] if by else []), *order, F.asc(tie)]
+    placed = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    written = saved(placed.drop(tie).withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
+    group = [by] if by else []
+    sizes = written.groupBy(part, *group).agg(F.min(at).alias(first), F.count("*").alias(n))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, *group, (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first) + 1).alias(first))
+    return written.join(starts, [part, *group]).select(*df.columns, (F.col(at) + F.col(first)).alias(name))
+
+
 def crc_fold(column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fold of a labelled row. A null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
