@@ -316,5 +316,44 @@ def ranked(phrases: DataFrame, top: int = TOP) -> DataFrame:
     return placed.filter(F.col("rank") <= top)
 
 
+#: The same in SQL, for tables of some megabytes.
+ORACLE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), listed AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), runs AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed
+), grams AS (
+  SELECT lang, 1 AS k, w[i] AS p FROM runs
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM runs WHERE i < len(w)
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM runs WHERE i + 1 < len(w)
+), f AS (
+  SELECT lang, k, p, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), often AS (
+  SELECT *, string_split(p, ' ') AS s FROM f WHERE a >= 10
+), three AS (
+  SELECT *, s[1] || ' ' || s[2] AS head, s[2] || ' ' || s[3] AS tail FROM often WHERE k = 3
+), longest AS (
+  SELECT lang, p, max(a) AS a FROM (SELECT lang, head AS p, a FROM three UNION ALL SELECT lang, tail, a FROM three) GROUP BY ALL
+), cuts AS (
+  SELECT o.lang, o.p, o.a, 1 AS c, o.s[1] AS x, o.s[2] AS y FROM often o LEFT JOIN longest g ON o.lang = g.lang AND o.p = g.p WHERE o.k = 2 AND 100 * coalesce(g.a, 0) < 50 * o.a
+  UNION ALL SELECT lang, p, a, 1, s[1], tail FROM three
+  UNION ALL SELECT lang, p, a, 2, head, s[3] FROM three
+), scored AS (
+  SELECT c.lang, c.p, c.a, c.c, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN often x ON c.lang = x.lang AND c.x = x.p JOIN often y ON c.lang = y.lang AND c.y = y.p
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, c) AS nth FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM best WHERE nth = 1
+)
+SELECT ranked.lang, rank, p AS phrase, a, l, r, n, score FROM ranked JOIN totals ON ranked.lang = totals.lang WHERE rank <= 2000
+"""
+
+
 def op13_collocations(spark, sf_dir):
     return ranked(collocations(table(spark, sf_dir, "documents"))).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
