@@ -39,6 +39,7 @@ def words_of(text):
 def test_fingerprint_signatures(spark):
     """Signatures, likenesses, neighbours and their order against brute force: nulls, empty, long and repeated texts, repeated and null ids."""
     rows = [(None, "the null id of a row"), (1, None), (2, ""), (3, "The quick brown fox and the lazy dog of a house"), (3, "the quick brown fox and the lazy dog of a house"), (5, "words without any"), (6, "one"), (7, "the of and a"), (9, "The cat is on a mat. " * 3000), (12, "é \U0001f600 für die Katze auf dem Dach")]
+    rows += [(13, " ".join(f"the c{k} d{k}" for k in range(26))), (14, "the c0 d0"), (15, "the c0 d0 " * 2)]
     rows += [(20 + i, " ".join(f"the w{i}x{k} w{k}" for k in range(1 + i % 9))) for i in range(100)]
 
     def sigs(text):
@@ -53,7 +54,7 @@ def test_fingerprint_signatures(spark):
     def alike(x, y):
         if not x or not y:
             return float(not x and not y)
-        return 0.0 if min(len(x), len(y)) < fingerprints.LEAST * max(len(x), len(y)) else len(x & y) / len(x | y)
+        return len(x & y) / len(x | y)
 
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("b", "role", "sigs", "bucket", "next_text")})
     got = sorted((fingerprints.compared(docs)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.edited_sha256))
@@ -366,6 +367,24 @@ def test_nearest_odd(spark):
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_repeated(spark):
+    """Repeated candidates and queries, and ids with two vectors, against brute force."""
+    x = np.random.default_rng(9).normal(size=(60, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 30 + [(20, x[20].tolist())] * 2 + [(40, x[7].tolist())] + [(100 + i, x[0].tolist()) for i in range(25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in hnsw.nearest(df, df.filter("vec_id % 20 = 0")).collect():
+        found[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max([best.get(i, -np.inf), *(float(np.dot(v, w)) for j, w in rows if j == q)])
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]
+        assert [r[:2] for r in sorted(found[q])] == [(n, i) for n, (i, _) in enumerate(want, 1)]
+        assert np.allclose([r[2] for r in sorted(found[q])], [s for _, s in want])
+
+
 def test_secrets(spark, odd):
     got = {r.doc_id: r for r in QUERIES["op7_secrets"](spark, DIR).collect()}
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -382,6 +401,47 @@ def test_secrets(spark, odd):
     assert secrets.redacted(odd).count() == len(ODD) and secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_secrets_many(spark):
+    """Thousands of candidates in one text, with base spans between and around them: all in time, none that overlaps a base span."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = ["".join(rng.choices(signs, k=40)) for _ in range(5000)]
+    texts = [" ".join(made), " ".join(f"{t} password={t} {'ab0' * 9}" if i % 3 else t for i, t in enumerate(made[:1500]))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    secrets.scan(docs.limit(1).withColumn("text", F.lit("warm"))).collect()
+    began = time.time()
+    got = {r.doc_id: [tuple(s) for s in r.found] for r in secrets.scan(docs).collect()}
+    assert time.time() - began < 15
+    assert len(got[0]) > 4500 and all(texts[0][a:b] in made for a, b, _ in got[0])
+    base = [s for s in got[1] if s[2] < 3]
+    own = [s for s in got[1] if s[2] == 3]
+    assert len(base) == 2000 and len(own) > 1200 and not {s[:2] for s in own} & {s[:2] for s in base}
+    ends = sorted((a, b, k) for a, b, k in got[1])
+    assert all(x[1] <= y[0] for x, y in zip(ends, ends[1:], strict=False))
+
+
+def test_secrets_apart(spark):
+    """The sweep against every pair, with base spans that begin before, within and at the ends of tokens."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        at, tokens = 0, []
+        for _ in range(rng.randrange(6)):
+            at += rng.randrange(4)
+            tokens.append((at, at + 1 + rng.randrange(6), f"t{at}"))
+            at = tokens[-1][1]
+        base = [(a := rng.randrange(40), a + 1 + rng.randrange(5), 0) for _ in range(rng.randrange(5))]
+        rows.append((i, tokens, base))
+    df = spark.createDataFrame(rows, "i int, tokens array<struct<start:int,end:int,value:string>>, base array<struct<start:int,end:int,kind:int>>")
+    for r in df.withColumn("got", secrets.apart(F.col("tokens"), F.col("base"))).collect():
+        assert [tuple(t) for t in r.got] == [tuple(t) for t in r.tokens if not any(s.start < t.end and t.start < s.end for s in r.base)]
+
+
 def test_random_tokens(spark):
     """Recall by encoding and length, and ordinary words run together as what must not be found."""
     import random

@@ -2,8 +2,9 @@
 
 A signature is an anchor (a common word) with the next two content words after it, whatever anchors stand between.
 A text's fingerprint is its set of signature hashes, sorted, in hex. Fingerprints are compared by Jaccard likeness.
-Sets are partitioned by length: those in partitions that aren't neighbours, and those whose lengths' ratio is below
-``LEAST``, can't be that alike and count as 0 without being intersected.
+Sets are partitioned by length, by powers of two. Partitions d apart bound a likeness from above by 2^(1 - d), and the
+lengths' ratio does so more tightly: what can't reach the likeness that a caller asks for is 0 without being
+intersected. Sets whose hashes lie in ranges apart are disjoint, and are never intersected.
 
 Words are lower-cased runs of letters and digits. A text without any signature has one for each three words in a row,
 or one for all its words if there are fewer; a text without words has the empty fingerprint.
@@ -27,8 +28,6 @@ ANCHORS = (
     "au aux avec ce dans de du elle en est et il la le les leur mais ne ou par pas pour que qui sa se ses son sur un une vous "
     "al como con del el esta lo los las más no para pero por su sus y"
 ).split()
-#: Likeness that a comparison must be able to reach.
-LEAST = 0.05
 #: Documents in a bucket of neighbours, and buckets at most (their bounds are sent to the tasks).
 IN_BUCKET, MOST_BUCKETS = 64, 16384
 
@@ -62,18 +61,20 @@ def signatures(text: Column) -> Column:
     return F.array_sort(F.array_distinct(bound(words, of_words)))
 
 
-def partition(sigs: str, least: float) -> Column:
-    """Number of a set's length partition: sets of likeness ``least`` or more lie in the same one or in neighbours."""
-    return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1)).cast("double")) / F.log(F.lit(1 / least))).cast("int")
+def partition(sigs: str) -> Column:
+    """Number of a set's length partition."""
+    return F.floor(F.log2(F.greatest(F.size(sigs), F.lit(1)).cast("double"))).cast("int")
 
 
-def likeness(x: str, y: str, least: float = LEAST) -> Column:
-    """Jaccard of two signature sets; 0 without intersecting them where their lengths rule ``least`` out: first by the
-    length partitions, then by the ratio of the lengths, which bounds the likeness from above."""
+def likeness(x: str, y: str, least: float = 0.0) -> Column:
+    """Jaccard of two sorted signature sets. With ``least``, sets whose lengths rule that likeness out are 0: by their
+    length partitions, then by the ratio of the lengths. Without, every likeness is as it is."""
     n, m = F.size(x), F.size(y)
     both = F.size(F.array_intersect(x, y))
-    far = F.abs(partition(x, least) - partition(y, least)) > 1
-    pruned = far | (F.least(n, m) < F.greatest(n, m) * F.lit(least))
+    pruned = (F.get(x, n - 1) < F.get(y, F.lit(0))) | (F.get(y, m - 1) < F.get(x, F.lit(0)))
+    if least > 0:
+        far = F.pow(F.lit(2.0), 1 - F.abs(partition(x) - partition(y))) < F.lit(least)
+        pruned = far | (F.least(n, m) < F.greatest(n, m) * F.lit(least)) | pruned
     return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0) | pruned, F.lit(0.0)).otherwise(both / (n + m - both)).cast("double")
 
 
@@ -114,8 +115,8 @@ def beside_next(docs: DataFrame) -> DataFrame:
     return out.filter("role = 0").select("doc_id", "text", "sigs", "next_text", "next_sigs")
 
 
-def compared(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likenesses: the rows of ``op1_fingerprints``."""
+def compared(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likenesses (0 below ``least``): the rows of ``op1_fingerprints``."""
     n = F.length("text")
     half = "cast(floor(length(text) / 2) as int)"
     edited = F.concat(F.expr(f"substring(text, 1, length(text) - {half})"), F.expr(f"substring(next_text, 1, {half})"))
@@ -124,7 +125,7 @@ def compared(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint("sigs").alias("fingerprint"), fingerprint("edited_sigs").alias("edited_fingerprint"),
-        likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"),
+        likeness("sigs", "edited_sigs", least).alias("near_edited"), likeness("sigs", "next_sigs", least).alias("near_next"),
     )
 
 

@@ -17,8 +17,9 @@ Inner-product search is made a nearest-neighbour search by one more coordinate t
 same length.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do null
-ids; only vectors of equal dimension meet; rows that repeat an id with the same vector are one, those with other
-vectors are candidates of their own, but never for their own id; fewer candidates than asked for are all returned if
+ids; only vectors of equal dimension meet; rows that repeat an id with the same vector are one, as candidates
+and as queries; those with other vectors are candidates of their own, but never for their own id, and queries that
+share the places of their id; fewer candidates than asked for are all returned if
 found; an empty table gives an empty result; other columns of the input are not read.
 """
 
@@ -56,11 +57,11 @@ def valid(rows: DataFrame, column: str) -> DataFrame:
 def distinct_vectors(rows: DataFrame, column: str, k: int) -> DataFrame:
     """key, v, ids: each distinct valid vector with its k + 1 smallest ids."""
     rows = valid(rows, column)
-    rows = rows.withColumn("key", F.sha2(F.to_json(F.struct("v")).cast("binary"), 256)).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    # rows that repeat an id with the same vector go first, for they would take places of other ids
+    rows = rows.withColumn("key", F.sha2(F.to_json(F.struct("v")).cast("binary"), 256)).dropDuplicates(["key", "vec_id"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     # the smallest ids in two steps, so that no common vector meets in one task
     for keys in (["key", "salt"], ["key"]):
         rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).filter(F.col("n") <= k + 1).drop("n")
-        rows = rows.dropDuplicates(["key", "vec_id"]) if keys == ["key", "salt"] else rows
     return rows.groupBy("key").agg(F.first("v").alias("v"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
 
@@ -233,13 +234,14 @@ class Shard:
         member = np.repeat(self.firsts[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         out = pd.DataFrame({"query_id": np.repeat(q_ids[i], times), "vec_id": self.ids[member], "score": np.repeat(score, times)})
         out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return out.groupby("query_id").head(k)
+        # an id whose rows differ asks, and is found, more than once
+        return out.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, column: str = "embedding", k: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank, vec_id, score for the vectors of ``queries`` among all of ``rows``."""
     built = saved(indexes(saved(distinct_vectors(rows, column, k))))
-    asked = valid(queries, column).select("v", F.col("vec_id").alias("query_id")).withColumn("dim", F.size("v"))
+    asked = valid(queries, column).select("v", F.col("vec_id").alias("query_id")).dropDuplicates(["query_id", "v"]).withColumn("dim", F.size("v"))
     count = asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = asked.join(F.broadcast(count), "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
 

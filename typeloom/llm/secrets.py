@@ -15,6 +15,8 @@ gives, and how many the runs are for writing, which changes kind rarely. Both sh
 the false-discovery rule of Benjamini and Hochberg over a document's candidates asks short tokens for more evidence
 than long ones, and documents with many candidates for more than those with one.
 
+Only tokens with a letter and a digit are judged: of letters alone, writing without spaces is too common.
+
 Offsets are code points, ends exclusive. Spark has no function for match positions: they are summed up from the pieces
 of ``split`` and the matches of ``regexp_extract_all``, which agree for non-empty matches.
 
@@ -124,10 +126,36 @@ def battery(token: Column) -> Column:
 
 
 def accepted(tested: Column) -> Column:
-    """Benjamini-Hochberg over array<struct<start, end, p, steady>>: those up to the last p-value under its rising bound."""
+    """Benjamini-Hochberg over array<struct<start, end, p, steady>>: those up to the last p-value under its rising bound.
+
+    The sorted array and the bound are each computed once a text."""
     ordered = F.array_sort(tested, lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(a["start"] - b["start"]))
-    bound = F.array_max(F.transform(ordered, lambda t, i: F.when(t["p"] <= LEVEL * (i + 1) / F.size(ordered), t["p"]).otherwise(-1.0)))
-    return F.filter(ordered, lambda t: (t["p"] <= bound) & t["steady"])
+
+    def judged(some: Column) -> Column:
+        rising = F.array_max(F.transform(some, lambda t, i: F.when(t["p"] <= LEVEL * (i + 1) / F.size(some), t["p"]).otherwise(-1.0)))
+        return bound(rising, lambda most: F.filter(some, lambda t: (t["p"] <= most) & t["steady"]))
+
+    return bound(ordered, judged)
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span, in one sweep by start: a token waits until the next one begins, for base
+    spans can begin within it. Tokens don't overlap each other."""
+    kind = "struct<start:int,end:int,value:string>"
+    none, nothing = F.array().cast(f"array<{kind}>"), F.lit(None).cast(kind)
+    item = lambda s, value: F.struct(s["start"].alias("start"), s["end"].alias("end"), value.cast("string").alias("value"))
+    last = F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(2**31 - 1).alias("end"), F.lit("").alias("value")))
+    every = F.concat(F.transform(tokens, lambda t: item(t, t["value"])), F.transform(base, lambda s: item(s, F.lit(None))))
+    ordered = F.concat(F.array_sort(every, lambda a, b: a["start"] - b["start"]), last)
+
+    def step(held: Column, s: Column):
+        token, waits = s["value"].isNotNull(), held["token"]
+        hit = s["start"] < waits["end"]
+        after = F.when(token, F.when(s["start"] >= held["end"], s)).when(~hit, waits)
+        made = F.when(token & waits.isNotNull(), F.array(waits)).otherwise(none)
+        return F.struct(F.when(token, held["end"]).otherwise(F.greatest(held["end"], s["end"])).alias("end"), after.alias("token")), made
+
+    return F.when(F.size(tokens) > 0, swept(ordered, F.struct(F.lit(0).alias("end"), nothing.alias("token")), step, kind)).otherwise(none)
 
 
 def scan(docs: DataFrame, name: str = "found") -> DataFrame:
@@ -145,9 +173,8 @@ def scan(docs: DataFrame, name: str = "found") -> DataFrame:
     number = lambda c, k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
     every = F.concat(*[number(F.col(c), k) for k, c in enumerate((one, two, three))])
     mixes = lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]")
-    apart = F.filter(tokens, lambda t: mixes(t) & ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     judged = F.transform(outside, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), battery(t["value"]).alias("b")))
-    out = matched.withColumn(base, every).withColumn(outside, apart).withColumn(tested, judged)
+    out = matched.withColumn(base, every).withColumn(outside, apart(F.filter(tokens, mixes), F.col(base))).withColumn(tested, judged)
     flat = F.transform(tested, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["b"]["p"].alias("p"), t["b"]["steady"].alias("steady")))
     by_place = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
     return out.select(*own, F.array_sort(F.concat(base, number(accepted(flat), 3)), by_place).alias(name))
