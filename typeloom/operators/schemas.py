@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, MapType, Strin
 
 from ..functions import ident, jsons, patterns
 from ..plans.lineage import cut
+from . import scopes
 from .registry import dialect_of
 
 # Bounds of which a larger number is stricter, and those of which a smaller one is.
@@ -266,7 +267,9 @@ def derivation(schemas: DataFrame) -> DataFrame:
         *((there & looser(k), f"{k} is looser") for k in LOWER + UPPER),
     )
     own = rows.filter(F.size("errors") > 0).select(F.col("type_id").alias("child"), F.transform("errors", lambda e: F.concat("path", F.lit(": "), e)).alias("e"))
-    found = p.select("child", checks.alias("e")).unionByName(own)
+    related = scopes.relations(pairs.select(F.col("parent").alias("base"), F.col("type_id").alias("derived")), schemas).filter(F.col("relation") != scopes.INCLUDED)
+    scoped = related.select(F.col("derived").alias("child"), F.array(F.lit("$: a reference constraint isn't known to be within the parent's")).alias("e"))
+    found = p.select("child", checks.alias("e")).unionByName(own).unionByName(scoped)
     summed = found.groupBy(F.col("child").alias("type_id")).agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
     return hop.join(summed, "type_id", "left").select("type_id", "parent", F.concat("errors", F.coalesce("e", F.array().cast("array<string>"))).alias("errors"))
 
@@ -431,33 +434,25 @@ def compatibility(schemas: DataFrame) -> DataFrame:
     """old, new, backward, forward, full of all pairs of minor versions: compatible, incompatible or unknown.
 
     Unknown are pairs of different dialects or with conditions (``if``). Reference keywords count as well: at each place
-    what the one version admits must lie within what the other does; whether a pattern keyword lies within another
-    keyword, or the other way round, can't be told.
+    the scope of the one version must lie within that of the other (``scopes``), which can be unknown too.
     """
     dialect = dialect_of(jsons.as_string(jsons.member(jsons.variant(F.col("content")), "$schema")))
     facts = schemas.select(F.col("gts_id").alias("id"), dialect.alias("dialect"), jsons.has_keyword(F.col("content"), "if").alias("branches"))
     report = evolution(schemas)
     side = lambda c: facts.select(F.col("id").alias(c), F.struct("dialect", "branches").alias(f"{c}_f"))
     pairs = report.join(side("old"), "old").join(side("new"), "new")
-    rows = resolved(positions(schemas)).select("type_id", "path", F.explode("operands").alias("keyword", "operand")).dropDuplicates()
-    rows = rows.withColumn("operand", F.when(F.col("operand") == "/$id", F.col("type_id")).otherwise(F.col("operand")))
     both = pairs.select("old", "new")
-
-    def within(inner: str, outer: str, name: str) -> DataFrame:
-        """old, new and the worst relation at any place: 0 included, 1 unknown, 2 excluded. ``inner`` must lie within ``outer``."""
-        wide = both.join(rows.withColumnsRenamed({"type_id": outer, "keyword": "k", "operand": "o"}), outer)
-        narrow = rows.withColumnsRenamed({"type_id": inner, "keyword": "k2", "operand": "o2"})
-        met = wide.join(narrow, [inner, "path"], "left")
-        same = F.col("k") == F.col("k2")
-        relation = F.when(F.col("k2").isNull(), 2).when(same, F.when(ident.covers(F.col("o"), F.col("o2")), 0).otherwise(2)).when((F.col("k") == "x-gts-pattern-ref") | (F.col("k2") == "x-gts-pattern-ref"), 1).otherwise(2)
-        return met.groupBy("old", "new").agg(F.max(relation).alias(name))
-
-    every = pairs.join(within("old", "new", "rb"), ["old", "new"], "left").join(within("new", "old", "rf"), ["old", "new"], "left")
+    way = lambda inner, outer: both.select(F.col(outer).alias("base"), F.col(inner).alias("derived"))
+    # both ways round in one go: the trees are made once
+    found = scopes.relations(way("old", "new").unionByName(way("new", "old")), schemas)
+    back = found.select(F.col("base").alias("new"), F.col("derived").alias("old"), F.col("relation").alias("rb"))
+    forth = found.select(F.col("base").alias("old"), F.col("derived").alias("new"), F.col("relation").alias("rf"))
+    every = pairs.join(back, ["old", "new"], "left").join(forth, ["old", "new"], "left")
     unknown = ~F.col("old_f.dialect").eqNullSafe(F.col("new_f.dialect")) | F.col("old_f.branches") | F.col("new_f.branches")
 
     def status(found: str, relation: str) -> Column:
         worst = F.coalesce(relation, F.lit(0))
-        return F.when(unknown, "unknown").when((F.size(found) > 0) | (worst == 2), "incompatible").when(worst == 1, "unknown").otherwise("compatible")
+        return F.when(unknown, "unknown").when((F.size(found) > 0) | (worst == scopes.EXCLUDED), "incompatible").when(worst == scopes.UNKNOWN, "unknown").otherwise("compatible")
 
     out = every.select("old", "new", status("backward", "rb").alias("backward"), status("forward", "rf").alias("forward"))
     either = lambda x: (F.col("backward") == x) | (F.col("forward") == x)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ident, jsons
-from .operators import registry, relations, schemas
+from .operators import registry, relations, schemas, scopes
 from .plans import evaluate, query
 from .sources import files
 
@@ -336,3 +336,24 @@ def ref_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = "gts.acme.sales.orders.line.v1~"
     t = spark.createDataFrame([(0, key, key, True, None, json.dumps(line))], "seq long, entity_key string, gts_id string, is_schema boolean, schema_id string, content string")
     return schemas.reference_errors(t, files.lines(spark, sf_dir).unionByName(files.parts(spark, sf_dir)))
+
+
+# Scopes by the remainder of a size: two types' names, one of them, what isn't in a scope, and instances.
+_SCOPES = [
+    {"anyOf": [{"x-gts-type-ref": "gts.acme.*"}, {"x-gts-type-ref": "gts.port.*"}]},
+    {"x-gts-type-ref": "gts.acme.sales.*"},
+    {"not": {"x-gts-type-ref": "gts.acme.*"}},
+    {"not": {"x-gts-type-ref": "gts.acme.sales.*"}},
+    {"x-gts-instance-ref": "gts.acme.*"},
+]
+# Relation of each pair of them, base by row and derived by column (0 included, 1 unknown, 2 excluded).
+_RELATED = "[[0,0,1,1,1],[2,0,1,1,2],[1,1,0,2,1],[1,1,0,0,1],[2,2,1,1,0]]"
+
+
+@_register(f"SELECT 'gts.acme.sales.catalog.b'||x.b||'.v1.'||x.s||'~' AS base, 'gts.acme.sales.catalog.b'||y.b||'.v1.'||y.s||'~' AS derived, CAST({_RELATED}[x.s%5+1][y.s%5+1] AS INT) AS relation FROM {_VERSIONS} x JOIN {_VERSIONS} y ON x.b = y.b AND x.s < y.s")
+def scope_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a version's reference scope lies within that of a lower one."""
+    body = F.struct(F.parse_json(F.concat(F.lit('{"r":'), F.element_at(F.array(*(F.lit(json.dumps(x)) for x in _SCOPES)), F.col("s") % 5 + 1), F.lit("}"))).alias("properties"))
+    types = _schema_rows(_versions(spark, sf_dir, "'gts.acme.sales.catalog.b' || b || '.v1.' || s || '~'", body))
+    pairs = schemas.minor_pairs(types.select("gts_id")).select(F.col("old").alias("base"), F.col("new").alias("derived"))
+    return scopes.relations(pairs, types)
