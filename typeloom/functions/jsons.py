@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -235,5 +236,47 @@ def attribute_result(v: Column, path: str) -> Column:
 
 
 def pointer_steps(pointer: str) -> list[str]:
-    """The steps of an RFC 6901 pointer; ``#`` and the empty pointer are the document."""
-    return [s.replace("~1", "/").replace("~0", "~") for s in pointer.removeprefix("#").split("/")[1:]]
+    """The steps of an RFC 6901 pointer, also as the percent-encoded fragment of a reference; ``#`` and the empty pointer are the document."""
+    return [unquote(s).replace("~1", "/").replace("~0", "~") for s in pointer.removeprefix("#").split("/")[1:]]
+
+
+def is_resource(node) -> bool:
+    """Whether a schema within a document is one of its own, with its own anchors and local references."""
+    return isinstance(node, dict) and isinstance(node.get("$id"), str) and not node["$id"].startswith("#")
+
+
+def _within(root):
+    """All objects of a resource, but for those of resources in it."""
+    open_ = [root]
+    while open_:
+        node = open_.pop()
+        if isinstance(node, dict):
+            yield node
+        below = [x for k, x in node.items() if k not in ("const", "enum", "default", "examples")] if isinstance(node, dict) else node if isinstance(node, list) else []
+        open_ += [x for x in below if not is_resource(x)]
+
+
+def anchors(root) -> dict[str, tuple[dict, bool]]:
+    """The named places of a resource, and whether they are dynamic."""
+    out: dict[str, tuple[dict, bool]] = {}
+    for node in _within(root):
+        ids = node.get("$id")
+        names = [(node.get("$anchor"), False), (node.get("$dynamicAnchor"), True), (ids[1:] if isinstance(ids, str) and ids.startswith("#") else None, False)]
+        out |= {name: (node, dynamic) for name, dynamic in names if isinstance(name, str)}
+    return out
+
+
+def local_target(root, fragment: str) -> tuple[object, object] | None:
+    """What a reference's fragment names in a resource, a pointer or an anchor, and the resource that it is in; None if nothing."""
+    name = unquote(fragment)
+    if name and not name.startswith("/"):
+        found = anchors(root).get(name)
+        return found and (found[0], root)
+    node = root
+    for step in pointer_steps(f"#{fragment}"):
+        try:
+            node = node[int(step)] if isinstance(node, list) else node[step]
+        except (KeyError, IndexError, ValueError, TypeError):
+            return None
+        root = node if is_resource(node) else root
+    return node, root

@@ -83,9 +83,7 @@ def _positions(text):
             continue
         ref = schema.get("$ref")
         if isinstance(ref, str) and ref.startswith("#"):
-            target = root
-            for step in jsons.pointer_steps(ref):
-                target = target.get(step) if isinstance(target, dict) else None
+            target = (jsons.local_target(root, ref[1:]) or (None,))[0]
             if target is None:
                 rows[-1]["error"] = f"$ref leads nowhere: {ref}"
             elif via.get(ref) == path:

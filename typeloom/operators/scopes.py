@@ -58,9 +58,7 @@ def _rows(text):
             continue
         ref = schema.get("$ref")
         if isinstance(ref, str) and ref.startswith("#"):
-            target = root
-            for step in jsons.pointer_steps(ref):
-                target = target.get(step) if isinstance(target, dict) else None
+            target = (jsons.local_target(root, ref[1:]) or (None,))[0]
             if via.get(ref) == path:
                 rows[-1]["open"] = True
             elif target is not None and ref not in via:

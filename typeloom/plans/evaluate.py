@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..functions import ident, jsons, patterns
+from ..functions import ident, jsons, normal, patterns
 from ..operators import registry, schemas
 
 #: Levels of a schema that refers to itself where the instances haven't been counted.
@@ -31,8 +32,8 @@ FORMATS = {
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z",
     "email": r"^[^@\s]+@[^@\s]+\z",
     "date": r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])\z",
-    "time": r"^([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?([zZ]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])\z",
-    "date-time": r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])[tT]([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?([zZ]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])\z",
+    "time": r"^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?([zZ]|[+-]([01][0-9]|2[0-3]):[0-9]{2})\z",
+    "date-time": r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])[tT]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?([zZ]|[+-]((0[0-9]|1[0-3]):[0-5][0-9]|14:00))\z",
     "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"{}|\\^`]*\z",
     "hostname": r"^(?=.{1,253}\z)[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*\z",
     "ipv4": r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(?!\z)|\z)){4}\z",
@@ -50,8 +51,10 @@ def format_holds(text: Column, name: str) -> Column:
         return is_regex(text)
     if name not in FORMATS:
         return F.lit(True)
+    if name == "ipv6":  # an address of version 4 at the end stands for two groups
+        text = F.regexp_replace(text, r":(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z", ":0:0")
     held = text.rlike(FORMATS[name])
-    return held & F.substring(text, 1, 10).try_cast("date").isNotNull() if name.startswith("date") else held
+    return held & F.substring(text, 1, 10).try_cast("date").isNotNull() & ~text.startswith("0000") if name.startswith("date") else held
 
 
 @F.pandas_udf(BooleanType())
@@ -134,8 +137,9 @@ def refers_to_itself(schema: dict, types: dict[str, dict], name: str = "") -> bo
         out, open_ = set(), [node]
         while open_:
             x = open_.pop()
-            if isinstance(x, dict) and isinstance(x.get("$ref"), str):
-                out.add(x["$ref"])
+            if isinstance(x, dict):
+                # a dynamic reference can lead back: it does as far as this asks
+                out |= {x[k] for k in ("$ref", "$dynamicRef", "$recursiveRef") if isinstance(x.get(k), str)}
             open_ += x.values() if isinstance(x, dict) else x if isinstance(x, list) else []
         return out
 
@@ -161,29 +165,77 @@ class _TooLarge(Exception):
     """More checks than one plan should hold."""
 
 
+# Dialects by a part of their name; keywords by the dialects that know them, where not all do.
+DRAFTS = (("draft-07", 7), ("2019-09", 2019), ("2020-12", 2020))
+KNOWN_BY = {
+    "dependencies": (7,), "additionalItems": (7, 2019), "$recursiveRef": (2019,), "prefixItems": (2020,), "$dynamicRef": (2020,),
+    **dict.fromkeys(("dependentRequired", "dependentSchemas", "minContains", "maxContains", "unevaluatedItems", "unevaluatedProperties"), (2019, 2020)),
+}
+
+
+def identified(root) -> dict[str, dict]:
+    """The resources within a document, by their ids."""
+    out, open_ = {}, [root]
+    while open_:
+        node = open_.pop()
+        if jsons.is_resource(node) and node is not root:
+            out[node["$id"].removesuffix("#")] = node
+        open_ += node.values() if isinstance(node, dict) else node if isinstance(node, list) else []
+    return out
+
+
 class _Compiler:
     def __init__(self, types: dict[str, dict], levels: int = UNROLL, matched: Column | None = None):
         self.types, self.levels = types, levels
         self.made = 0
+        #: The resources that the place at hand was reached through: (schema, name, draft), outermost first.
+        self.scope: list[tuple[dict, str, int]] = []
         #: Patterns for an automaton (None: format regex), and the strings that each of them finds.
         self.tests: list[str | None] = []
         self.matched = F.lit(None).cast("array<array<string>>") if matched is None else matched
 
+    def draft(self, root) -> int:
+        """Year of a document's dialect (7 for draft-07); that of the document it is in, or 0, which knows all keywords."""
+        named = root.get("$schema") if isinstance(root, dict) else None
+        return next((n for text, n in DRAFTS if isinstance(named, str) and text in named), self.scope[-1][2] if self.scope else 0)
+
     def target(self, ref: str, root: dict, home: str) -> tuple[object, dict, str]:
-        if ref.startswith("gts://"):
-            name = ref.removeprefix("gts://").partition("#")[0]
-            if name not in self.types:
+        """What a reference names: schema, the document or resource it is in, and that one's name."""
+        where, _, fragment = ref.partition("#")
+        if where:
+            name = where.removeprefix("gts://")
+            inner = identified(self.types.get(home, root)).get(where) or identified(root).get(where)
+            if inner is not None:
+                root = inner
+            elif not where.startswith("gts://"):
+                raise SchemaError(f"unsupported $ref: {ref}")
+            elif name not in self.types:
                 raise SchemaError(f"missing type: {name}")
-            return self.types[name], self.types[name], name
-        if not ref.startswith("#"):
-            raise SchemaError(f"unsupported $ref: {ref}")
-        node = root
-        for step in jsons.pointer_steps(ref):
-            try:
-                node = node[int(step)] if isinstance(node, list) else node[step]
-            except (KeyError, IndexError, ValueError, TypeError):
-                raise SchemaError(f"$ref leads nowhere: {ref}") from None
-        return node, root, home
+            else:
+                root, home = self.types[name], name
+        found = jsons.local_target(root, fragment)
+        if found is None:
+            raise SchemaError(f"$ref leads nowhere: {ref}")
+        return *found, home
+
+    def dynamic(self, ref: str, root: dict, home: str) -> tuple[object, dict, str]:
+        """What a dynamic reference names: if it leads to a dynamic anchor, the outermost one of this name on the way here."""
+        found = self.target(ref, root, home)
+        name = unquote(ref.partition("#")[2])
+        at = found[1]
+        if name not in jsons.anchors(at) or not jsons.anchors(at)[name][1]:
+            return found
+        return next(((jsons.anchors(r)[name][0], r, h) for r, h, _ in self.scope if jsons.anchors(r).get(name, (None, False))[1]), found)
+
+    def recursive(self, root: dict, home: str) -> tuple[object, dict, str]:
+        """What ``$recursiveRef`` names: its resource, or the outermost one on the way here that allows it too."""
+        on = lambda r: isinstance(r, dict) and r.get("$recursiveAnchor") is True
+        found = (root, root, home)
+        for r, h, _ in reversed(self.scope) if on(root) else ():
+            if not on(r):
+                break
+            found = (r, r, h)
+        return found
 
     def checks(self, s, v: Column, path: str, root: dict, home: str, via: tuple = ()) -> list[tuple[Column, str]]:
         """(failed, message) of a value that is there."""
@@ -194,6 +246,35 @@ class _Compiler:
             return [] if s else [(F.lit(True), f"{path}: nothing is admitted")]
         if not isinstance(s, dict):
             raise SchemaError(f"{path}: a schema must be an object or boolean")
+        root = s if jsons.is_resource(s) else root
+        if not self.scope or self.scope[-1][0] is not root:
+            self.scope.append((root, home, self.draft(root)))
+            try:
+                return self.own_checks(s, v, path, root, home, via)
+            finally:
+                self.scope.pop()
+        return self.own_checks(s, v, path, root, home, via)
+
+    def known(self, s: dict) -> dict:
+        """The keywords that count: draft-07 reads nothing beside a reference, and each dialect knows its own."""
+        year = self.scope[-1][2]
+        if year == 7 and "$ref" in s:
+            return {"$ref": s["$ref"]}
+        return {k: x for k, x in s.items() if not year or year in KNOWN_BY.get(k, (year,))}
+
+    def led(self, s: dict, path: str, root: dict, home: str, via: tuple) -> list[tuple[object, dict, str, tuple]]:
+        """What the references of a schema lead to, and the way there."""
+        found = []
+        for key, find in (("$ref", self.target), ("$dynamicRef", self.dynamic), ("$recursiveRef", lambda _, r, h: self.recursive(r, h))):
+            if key in s:
+                if not isinstance(s[key], str):
+                    raise SchemaError(f"{path}: {key} must be a text")
+                node, r2, h2 = find(s[key], root, home)
+                found.append((node, r2, h2, (*via, (home, s[key]) if key == "$ref" else (h2, id(node)))))
+        return found
+
+    def own_checks(self, s: dict, v: Column, path: str, root: dict, home: str, via: tuple) -> list[tuple[Column, str]]:
+        s = self.known(s)
         out: list[tuple[Column, str]] = []
         kind = jsons.kind(v)
         is_ = lambda name: kind.isin(*KINDS[name])
@@ -203,12 +284,10 @@ class _Compiler:
         def add(test: Column, message: str):
             out.append((F.coalesce(test, F.lit(False)), f"{path}: {message}"))
 
-        if "$ref" in s:
-            ref = s["$ref"]
-            if via.count((home, ref)) >= self.levels:
+        for node, r2, h2, way in self.led(s, path, root, home, via):
+            if via.count(way[-1]) >= self.levels:
                 return [(F.lit(True), f"{path}: nested too deeply")]
-            node, r2, h2 = self.target(ref, root, home)
-            out += self.checks(node, v, path, r2, h2, (*via, (home, ref)))
+            out += self.checks(node, v, path, r2, h2, way)
         if "type" in s:
             names = [s["type"]] if isinstance(s["type"], str) else s["type"]
             held = F.lit(False)
@@ -235,9 +314,9 @@ class _Compiler:
         if "format" in s:
             held = self.found(text, None) if s["format"] == "regex" else format_holds(text, s["format"])
             add(is_("string") & ~held, f"format {s['format']}")
-        if {"required", "properties", "additionalProperties", "patternProperties", "propertyNames", "minProperties", "maxProperties", "dependentRequired"} & s.keys():
+        if {"required", "properties", "additionalProperties", "patternProperties", "propertyNames", "minProperties", "maxProperties", "dependentRequired", "dependentSchemas", "dependencies", "unevaluatedProperties"} & s.keys():
             out += self.object_checks(s, v, path, root, home, via, is_("object"))
-        if {"items", "prefixItems", "minItems", "maxItems", "uniqueItems", "contains"} & s.keys():
+        if {"items", "prefixItems", "minItems", "maxItems", "uniqueItems", "contains", "unevaluatedItems"} & s.keys():
             items = F.try_variant_get(v, "$", "array<variant>")
             if "minItems" in s:
                 add(is_("array") & (F.size(items) < int(s["minItems"])), "minItems")
@@ -254,7 +333,14 @@ class _Compiler:
                 tail = F.slice(items, len(first) + 1, F.greatest(F.size(items), F.lit(0))) if first else items
                 add(is_("array") & F.exists(tail, lambda x: fails(rest, x, f"{path}[]")), "an item does not hold")
             if "contains" in s:
-                add(is_("array") & ~F.exists(items, lambda x: ~fails(s["contains"], x, f"{path}[]")), "contains")
+                held = F.size(F.filter(items, lambda x: ~fails(s["contains"], x, f"{path}[]")))
+                add(is_("array") & (held < int(s.get("minContains", 1))), "contains")
+                if "maxContains" in s:
+                    add(is_("array") & (held > int(s["maxContains"])), "maxContains")
+            if s.get("unevaluatedItems", True) is not True:
+                # an item that no keyword has looked at
+                left = F.filter(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~self.item_seen(s, v, e["i"], e["x"], path, root, home, via, own=True))
+                add(is_("array") & F.exists(left, lambda e: fails(s["unevaluatedItems"], e["x"], f"{path}[]")), "unevaluatedItems")
         for sub in s.get("allOf") or []:
             out += self.checks(sub, v, path, root, home, via)
         if "anyOf" in s:
@@ -271,12 +357,74 @@ class _Compiler:
                 add(~held & fails(s["else"]), "else")
         return out
 
+    def branches(self, s: dict, v: Column, path: str, root: dict, home: str, via: tuple):
+        """The schemas that speak of the same value as ``s``, with when they do: (condition or None, schema, root, home, way)."""
+        fails = lambda sub: self.failed(self.checks(sub, v, path, root, home, via))
+        for node, r2, h2, way in self.led(s, path, root, home, via):
+            if via.count(way[-1]) < self.levels:
+                yield None, node, r2, h2, way
+        for sub in s.get("allOf") or []:
+            yield None, sub, root, home, via
+        for key in ("anyOf", "oneOf"):
+            for sub in s.get(key) or []:
+                yield ~fails(sub), sub, root, home, via
+        if "if" in s:
+            holds = ~fails(s["if"])
+            yield holds, s["if"], root, home, via
+            if "then" in s:
+                yield holds, s["then"], root, home, via
+            if "else" in s:
+                yield ~holds, s["else"], root, home, via
+        for key in ("dependentSchemas", "dependencies"):
+            for name, sub in (s.get(key) or {}).items():
+                if not isinstance(sub, list):
+                    yield jsons.member(v, name).isNotNull(), sub, root, home, via
+
+    def seen(self, s, v: Column, path: str, root: dict, home: str, via: tuple, direct, own: bool) -> Column:
+        """Whether ``direct`` says that a keyword of the schema, or of one that holds for the same value, has looked at a member or item."""
+        if not isinstance(s, dict):
+            return F.lit(False)
+        root = s if jsons.is_resource(s) else root
+        self.scope.append((root, home, self.draft(root)))
+        try:
+            s = self.known(s)
+            out = direct({k: x for k, x in s.items() if not own or k not in ("unevaluatedItems", "unevaluatedProperties")}, root, home)
+            for condition, sub, r2, h2, way in self.branches(s, v, path, root, home, via):
+                inner = self.seen(sub, v, path, r2, h2, way, direct, False)
+                out |= inner if condition is None else condition & inner
+            return out
+        finally:
+            self.scope.pop()
+
+    def member_seen(self, s, v: Column, key: Column, path: str, root: dict, home: str, via: tuple, own: bool = False) -> Column:
+        def direct(s: dict, root: dict, home: str) -> Column:
+            if "additionalProperties" in s or "unevaluatedProperties" in s:
+                return F.lit(True)
+            out = key.isin(*s["properties"]) if s.get("properties") else F.lit(False)
+            for pattern in s.get("patternProperties") or {}:
+                out |= self.search(key, pattern)
+            return out
+
+        return self.seen(s, v, path, root, home, via, direct, own)
+
+    def item_seen(self, s, v: Column, i: Column, item: Column, path: str, root: dict, home: str, via: tuple, own: bool = False) -> Column:
+        def direct(s: dict, root: dict, home: str) -> Column:
+            listed = s["items"] if isinstance(s.get("items"), list) else s.get("prefixItems") or []
+            rest = "additionalItems" in s if isinstance(s.get("items"), list) else "items" in s
+            if rest or "unevaluatedItems" in s:
+                return F.lit(True)
+            out = i < len(listed)
+            if "contains" in s and self.scope[-1][2] in (0, 2020):
+                out |= ~self.failed(self.checks(s["contains"], item, f"{path}[]", root, home, via))
+            return out
+
+        return self.seen(s, v, path, root, home, via, direct, own)
+
     def search(self, text: Column, pattern: str) -> Column:
         if error := profile_error(pattern):
             raise SchemaError(f"pattern {pattern!r}: {error}")
-        if not _backtracks(pattern):
-            return text.rlike(re.sub(r"(?<!\\)\$$", r"\\z", pattern))
-        return self.found(text, pattern)
+        plain = None if _backtracks(pattern) else patterns.for_jvm(pattern)
+        return text.rlike(plain) if plain is not None else self.found(text, pattern)
 
     def found(self, text: Column, test: str | None) -> Column:
         if test not in self.tests:
@@ -313,9 +461,18 @@ class _Compiler:
         for key, test in (("minProperties", lambda n: F.size(keys) < n), ("maxProperties", lambda n: F.size(keys) > n)):
             if key in s:
                 out.append((is_object & test(int(s[key])), f"{path}: {key}"))
-        for name, needs in (s.get("dependentRequired") or {}).items():
-            for need in needs:
-                out.append((is_object & jsons.member(v, name).isNotNull() & jsons.member(v, need).isNull(), f"{path}.{need}: required by {name}"))
+        for key in ("dependentRequired", "dependentSchemas", "dependencies"):
+            for name, needs in (s.get(key) or {}).items():
+                there = is_object & jsons.member(v, name).isNotNull()
+                if isinstance(needs, list):
+                    out += [(there & jsons.member(v, need).isNull(), f"{path}.{need}: required by {name}") for need in needs]
+                else:
+                    out += [(there & test, message) for test, message in self.checks(needs, v, path, root, home, via)]
+        rest = s.get("unevaluatedProperties", True)
+        if rest is not True:
+            # a member that no keyword has looked at
+            left = F.filter(members, lambda e: ~self.member_seen(s, v, e["key"], path, root, home, via, own=True))
+            out.append((is_object & F.exists(left, lambda e: self.failed(self.checks(rest, e["value"], path, root, home, via))), f"{path}: unevaluatedProperties"))
         if "propertyNames" in s:
             out.append((is_object & F.exists(keys, lambda k: self.failed(self.checks(s["propertyNames"], F.parse_json(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2)), path, root, home, via))), f"{path}: propertyNames"))
         return [(F.coalesce(test, F.lit(False)), message) for test, message in out]
@@ -384,7 +541,7 @@ def validate(entities: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """
     types = entities.filter("is_schema") if types is None else types
     instances = entities.filter("NOT is_schema")
-    bodies = {r.gts_id: json.loads(r.content) for r in types.filter("gts_id IS NOT NULL").select("gts_id", "content").toLocalIterator()}
+    bodies = {r.gts_id: normal.normalised(json.loads(r.content)) for r in types.filter("gts_id IS NOT NULL").select("gts_id", "content").toLocalIterator()}
     wrong = {r.type_id: f"{r.stage}: {r.error}" for r in schemas.type_report(types).filter("error IS NOT NULL").toLocalIterator()}
     mixed = {r.type_id for r in schemas.mixed_dialects(types).toLocalIterator()}
     known = F.col("schema_id").isin(*bodies) if bodies else F.lit(False)
@@ -415,7 +572,7 @@ def validate(entities: DataFrame, types: DataFrame | None = None) -> DataFrame:
             choice = F.when(F.col("schema_id") == name, verdict(name)).otherwise(choice)
         rows = instances.filter(F.col("schema_id").isin(*some)).select("entity_key", choice.alias("v")).select("entity_key", "v.reason", "v.errors")
         judged = judged.unionByName(rows)
-    if not any(f'"{k}"' in json.dumps(b) for b in bodies.values() for k in schemas.REF_KEYWORDS):
+    if types.filter(F.greatest(*(F.col("content").contains(f'"{k}"') for k in schemas.REF_KEYWORDS))).isEmpty():
         return judged
     text = F.concat("path", F.lit(": "), "keyword", F.lit(" "), "reason")
     refs = schemas.reference_errors(types, instances.unionByName(types.select(*instances.columns))).groupBy("entity_key").agg(F.sort_array(F.collect_set(text)).alias("refs"))
