@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, MapType, Strin
 
 from ..functions import ident, jsons, patterns
 from ..plans.lineage import cut
-from . import scopes
+from . import keywords, scopes
 from .registry import dialect_of
 
 # Bounds of which a larger number is stricter, and those of which a smaller one is.
@@ -34,7 +34,7 @@ NODE = StructType()
 for _name, _kind in (
     ("path", StringType()), ("branch", BooleanType()), ("always", BooleanType()), ("types", _NAMES), ("enums", _NAMES), ("const", StringType()),
     ("bounds", MapType(StringType(), DoubleType())), ("required", _NAMES), ("properties", _NAMES), ("closed", BooleanType()), ("pattern", StringType()), ("format", StringType()),
-    ("ref", StringType()), ("fallback", StringType()), ("operands", MapType(StringType(), StringType())), ("items", BooleanType()), ("error", StringType()),
+    ("ref", StringType()), ("fallback", StringType()), ("operands", MapType(StringType(), StringType())), ("items", BooleanType()), ("shut", BooleanType()), ("opened", BooleanType()), ("error", StringType()),
 ):
     NODE.add(_name, _kind)
 
@@ -63,6 +63,8 @@ def _node(schema, path: str, branch: bool) -> dict:
         "fallback": _text(schema["default"]) if "default" in schema else None,
         "operands": {k: schema[k] for k in REF_KEYWORDS if isinstance(schema.get(k), str)},
         "items": "items" in schema,
+        "shut": schema.get("additionalProperties") is False,
+        "opened": "additionalProperties" in schema,
         "error": f"unsupported $ref: {ref}" if isinstance(ref, str) and not ref.startswith(("gts://", "#")) else None,
     }
 
@@ -143,7 +145,7 @@ def folded(rows: DataFrame, own_types_only: bool = False) -> DataFrame:
     bound = lambda k: (F.max if k in LOWER else F.min)(own("bounds")[k])
     return rows.groupBy("type_id", "path").agg(
         F.bool_and("always").alias("always"), first("types"), first("enums"), first("const"), first("pattern"), first("format"), first("fallback"),
-        names("required"), names("properties"), F.coalesce(F.bool_or("closed"), F.lit(False)).alias("closed"), F.coalesce(F.bool_or("items"), F.lit(False)).alias("items"),
+        names("required"), names("properties"), F.coalesce(F.bool_or("closed"), F.lit(False)).alias("closed"), F.coalesce(F.bool_or("items"), F.lit(False)).alias("items"), F.coalesce(F.bool_or("opened"), F.lit(False)).alias("opened"),
         F.struct(*(bound(k).alias(k) for k in LOWER + UPPER)).alias("bounds"), F.sort_array(F.collect_set("error")).alias("errors"),
     )
 
@@ -226,32 +228,15 @@ def verdicts(report: DataFrame) -> DataFrame:
     return report.select("old", "new", b.alias("is_backward"), f.alias("is_forward"), (b & f).alias("is_full"))
 
 
-def derivation(schemas: DataFrame) -> DataFrame:
-    """type_id, parent, errors of every derived type: it must be a subset of its parent.
-
-    The parent must be stored, of the same dialect and not final; everything the parent demands at a place must be
-    demanded by the type, its references resolved, at least as strictly.
-    """
-    v = jsons.variant(F.col("content"))
-    facts = schemas.select(F.col("entity_key").alias("type_id"), ident.parent_type(F.col("entity_key")).alias("parent"), F.coalesce(F.try_variant_get(v, "$['x-gts-final']", "boolean"), F.lit(False)).alias("final"), jsons.as_string(jsons.member(v, "$schema")).alias("dialect"))
-    pairs = facts.filter("parent IS NOT NULL")
-    above = pairs.select("type_id", "parent", "dialect").join(facts.select(F.col("type_id").alias("parent"), F.col("final").alias("p_final"), F.col("dialect").alias("p_dialect"), F.lit(True).alias("there")), "parent", "left")
-    hop = above.select(
-        "type_id", "parent",
-        F.when(F.col("there").isNull(), F.array(F.lit("$: the parent is missing")))
-        .otherwise(F.filter(F.array(F.when(F.col("p_final"), "$: the parent is final"), F.when(~F.col("dialect").eqNullSafe(F.col("p_dialect")), "$: the dialects differ")), lambda e: e.isNotNull()))
-        .alias("errors"),
-    )
-    rows = folded(resolved(positions(schemas)))
-    p = _paired(pairs.select("type_id", "parent").withColumnsRenamed({"type_id": "child"}), rows, "parent", "child", "left")
-    a, c = F.col("x"), F.col("y")
-    there = c["properties"].isNotNull()
+def _subset(a: Column, c: Column, there: Column | None = None) -> Column:
+    """What a place of a type (``c``) misses to admit no more than that of its parent (``a``); both are structs of folded rows."""
+    there = c["properties"].isNotNull() if there is None else there
     number = lambda text: text.try_cast("double")
     values = F.coalesce(F.when(c["const"].isNotNull(), F.array(c["const"])), c["enums"])
     kinds = F.when(F.array_contains(a["types"], "number"), F.array_union(a["types"], F.array(F.lit("integer")))).otherwise(a["types"])
     inside = lambda k: F.coalesce(F.forall(values, lambda x: number(x) >= a["bounds"][k] if k in LOWER else number(x) <= a["bounds"][k]), F.lit(False))
     looser = lambda k: a["bounds"][k].isNotNull() & (c["bounds"][k].isNull() | (c["bounds"][k] < a["bounds"][k] if k in LOWER else c["bounds"][k] > a["bounds"][k])) & ~inside(k)
-    checks = _problems(
+    return _problems(
         (~there, "it was dropped"),
         (there & (a["always"] == False) & ~c["always"].eqNullSafe(F.lit(False)), "the parent admits nothing"),  # noqa: E712
         (there & (c["always"] == False) & ~a["always"].eqNullSafe(F.lit(False)), "it admits nothing"),  # noqa: E712
@@ -264,14 +249,72 @@ def derivation(schemas: DataFrame) -> DataFrame:
         (there & a["closed"] & (F.size(F.array_except(c["properties"], a["properties"])) > 0), "a closed parent was extended"),
         *((there & looser(k), f"{k} is looser") for k in LOWER + UPPER),
     )
+
+
+def derivation(schemas: DataFrame) -> DataFrame:
+    """type_id, parent, errors of every derived type: it must be a subset of its parent.
+
+    The parent must be stored, of the same dialect and not final; everything the parent demands at a place must be
+    demanded by the type, its references resolved, at least as strictly.
+    """
+    v = jsons.variant(F.col("content"))
+    facts = schemas.select(F.col("entity_key").alias("type_id"), ident.parent_type(F.col("entity_key")).alias("parent"), F.coalesce(F.try_variant_get(v, "$['x-gts-final']", "boolean"), F.lit(False)).alias("final"), jsons.as_string(jsons.member(v, "$schema")).alias("dialect"))
+    pairs = facts.filter("parent IS NOT NULL")
+    above = pairs.select("type_id", "parent", "dialect").join(facts.select(F.col("type_id").alias("parent"), F.col("final").alias("p_final"), F.col("dialect").alias("p_dialect"), F.lit(True).alias("there")), "parent", "left")
+    hop = above.select(
+        "type_id", "parent",
+        F.when(F.col("there").isNull(), F.array(F.lit("$: the parent is missing")))
+        .otherwise(F.filter(F.array(F.when(F.col("p_final"), "$: the parent is final"), F.when(~F.col("dialect").eqNullSafe(F.col("p_dialect")), "$: the dialects differ")), lambda e: e.isNotNull()))
+        .alias("errors"),
+    )
+    written = cut(positions(schemas))
+    rows = folded(resolved(written))
+    p = _paired(pairs.select("type_id", "parent").withColumnsRenamed({"type_id": "child"}), rows, "parent", "child", "left")
+    checks = _subset(F.col("x"), F.col("y"))
     own = rows.filter(F.size("errors") > 0).select(F.col("type_id").alias("child"), F.transform("errors", lambda e: F.concat("path", F.lit(": "), e)).alias("e"))
     related = scopes.relations(pairs.select(F.col("parent").alias("base"), F.col("type_id").alias("derived")), schemas).filter(F.col("relation") != scopes.INCLUDED)
     scoped = related.select(F.col("derived").alias("child"), F.array(F.lit("$: a reference constraint isn't known to be within the parent's")).alias("e"))
-    found = p.select("child", checks.alias("e")).unionByName(own).unionByName(scoped)
+    chain = pairs.select(F.col("type_id").alias("child"), "parent")
+    found = p.select("child", checks.alias("e")).unionByName(own).unionByName(scoped).unionByName(redeclared(chain, rows, folded(written))).unionByName(shut_branches(chain, rows, written))
     summed = found.groupBy(F.col("child").alias("type_id")).agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
     return hop.join(summed, "type_id", "left").select("type_id", "parent", F.concat("errors", F.coalesce("e", F.array().cast("array<string>"))).alias("errors"))
 
 
+def redeclared(pairs: DataFrame, above: DataFrame, written: DataFrame) -> DataFrame:
+    """child, e (errors) of members that a type declares anew, as written: each must by itself be a subset of the parent's.
+
+    A declaration need not repeat the members, required names and closedness that the parent's has at its top; what is
+    below must be whole. ``above``: folded places of parents, resolved; ``written``: folded places as written.
+    """
+    steps = F.regexp_extract_all("path", F.lit(r"\.[^.\[]+|\[\]"), F.lit(0))
+    upper = F.regexp_replace("path", r"(\.[^.\[]+|\[\])\z", "")
+    body = F.struct(*[c for c in above.columns if c not in ("type_id", "path")])
+    places = above.withColumn("steps", steps).filter(F.size("steps") > 0).select(F.col("type_id").alias("parent"), "path", F.size("steps").alias("depth"), F.concat(F.lit("$"), F.col("steps")[0]).alias("top"), upper.alias("upper"), body.alias("x"))
+    own = written.select(F.col("type_id").alias("child"), "path", body.alias("y"))
+    met = pairs.join(places, "parent").join(own.select("child", F.col("path").alias("top")), ["child", "top"])  # declared anew
+    met = met.join(own, ["child", "path"], "left").join(own.select("child", F.col("path").alias("upper"), F.lit(True).alias("held")), ["child", "upper"], "left")
+    x, y = F.col("x"), F.col("y")
+    known = F.when(F.col("y").isNull(), None).otherwise(
+        F.struct(*[
+            F.array_union(y["required"], x["required"]).alias(c) if c == "required" else F.array_union(y["properties"], x["properties"]).alias(c) if c == "properties" else (y["closed"] | (x["closed"] & ~y["opened"])).alias(c) if c == "closed" else y[c].alias(c)
+            for c in above.columns if c not in ("type_id", "path")
+        ])
+    )
+    lent = (F.col("depth") == 2) & ~F.col("path").endswith("[]")  # a member below the top comes from the parent
+    judged = met.filter(y.isNotNull() | (F.col("held") & ~lent)).withColumn("c", F.when(F.col("depth") == 1, known).otherwise(y))
+    errors = judged.select("child", F.transform(_subset(x, F.col("c")), lambda e: F.concat(e, F.lit(", where it is declared anew"))).alias("e"))
+    return errors.filter(F.size("e") > 0)
+
+
+def shut_branches(pairs: DataFrame, above: DataFrame, written: DataFrame) -> DataFrame:
+    """child, e (errors) of a type's branches that admit no further members and don't restate a member of the parent."""
+    held = above.filter(F.size("properties") > 0).select(F.col("type_id").alias("parent"), "path", F.col("properties").alias("p"))
+    shut = written.filter(F.col("shut") & ~F.col("path").contains("[]")).select(F.col("type_id").alias("child"), "path", "properties")
+    met = pairs.join(held, "parent").join(shut, ["child", "path"])
+    lost = F.array_except("p", F.coalesce("properties", F.array().cast("array<string>")))
+    return met.filter(F.size(lost) > 0).select("child", F.array(F.concat("path", F.lit(": a closed branch doesn't restate "), F.array_join(F.array_sort(lost), ", "))).alias("e"))
+
+
 def keyword_errors(schemas: DataFrame) -> DataFrame:
     """type_id and error of misused own keywords: unknown ones, modifiers that aren't boolean, final and abstract together."""
     v = jsons.variant(F.col("content"))
@@ -289,16 +332,42 @@ def keyword_errors(schemas: DataFrame) -> DataFrame:
     )
 
 
+def merge_patched(below, over):
+    """A JSON merge patch: objects merge, null takes a member away, anything else replaces."""
+    if not isinstance(over, dict):
+        return over
+    out = dict(below) if isinstance(below, dict) else {}
+    for key, x in over.items():
+        if x is None:
+            out.pop(key, None)
+        else:
+            out[key] = merge_patched(out.get(key), x)
+    return out
+
+
+@F.pandas_udf(StringType())
+def merged(levels: pd.Series) -> pd.Series:
+    """The texts of an array, each patched by those after it, as one JSON text."""
+    def one(texts) -> str:
+        held: object = {}
+        for text in texts:
+            held = merge_patched(held, jsons._parsed(text))
+        return json.dumps(held, ensure_ascii=False)
+
+    return levels.map(one)
+
+
 def traits(schemas: DataFrame) -> DataFrame:
-    """type_id, trait, value: what holds for each type by its chain, the nearest level first; a null takes a trait away.
+    """type_id, trait, value: what holds for each type by its chain, the levels' objects merged from the root down; a null takes a value away.
 
-    Every level gives its own; the levels of all types meet in one join and one aggregation per trait.
+    Every level gives its own; the levels of all types meet in one join and one aggregation per type.
     """
     v = jsons.variant(F.col("content"))
-    given = schemas.select(F.col("entity_key").alias("level_id"), F.explode(F.try_variant_get(F.try_variant_get(v, "$['x-gts-traits']", "variant"), "$", "map<string,variant>")).alias("trait", "v"))
-    given = given.select("level_id", "trait", F.to_json("v").alias("value"), (jsons.kind(F.col("v")) == "VOID").alias("gone"))
-    won = _levels(schemas).join(given, "level_id").groupBy("type_id", "trait").agg(F.max_by(F.struct("value", "gone"), "level").alias("w"))
-    return won.filter("NOT w.gone").select("type_id", "trait", "w.value")
+    given = schemas.select(F.col("entity_key").alias("level_id"), F.to_json(F.try_variant_get(v, "$['x-gts-traits']", "variant")).alias("value")).filter("value IS NOT NULL")
+    chains = _levels(schemas).join(given, "level_id").groupBy("type_id").agg(F.sort_array(F.collect_list(F.struct("level", "value"))).alias("w"))
+    whole = chains.select("type_id", F.transform("w", lambda x: x["value"]).alias("texts")).select("type_id", merged("texts").alias("m"))
+    every = whole.select("type_id", F.explode(F.try_variant_get(jsons.variant(F.col("m")), "$", "map<string,variant>")).alias("trait", "v"))
+    return every.select("type_id", "trait", F.to_json("v").alias("value"))
 
 
 def _levels(schemas: DataFrame) -> DataFrame:
@@ -314,7 +383,12 @@ def trait_errors(schemas: DataFrame) -> DataFrame:
     and listed values."""
     v = jsons.variant(F.col("content"))
     declared = schemas.select("entity_key", F.to_json(F.try_variant_get(v, "$['x-gts-traits-schema']", "variant")).alias("declaration")).filter("declaration IS NOT NULL")
-    own = positions(declared, "declaration").withColumnRenamed("type_id", "level_id")
+    # declarations refer to types; their rows are told apart by a mark that no identifier has
+    mark = "traits of "
+    named = positions(declared.withColumn("entity_key", F.concat(F.lit(mark), "entity_key")), "declaration")
+    put = resolved(named.unionByName(positions(schemas))).filter(F.col("type_id").startswith(mark))
+    own = put.withColumn("type_id", F.expr(f"substring(type_id, {len(mark) + 1})")).withColumnRenamed("type_id", "level_id").drop("via")
+    lost = own.filter("error IS NOT NULL").select("level_id", F.concat(F.lit("declaration: "), "error").alias("e"))
     rows = folded(_levels(schemas).join(own, "level_id").drop("level_id", "level"))
     top = rows.filter("path = '$'").select("type_id", "required", "closed", "properties", "always")
     per = rows.filter(r"path rlike '^\\$\\.[^.\\[]+\\z'").select("type_id", F.expr("substring(path, 3)").alias("trait"), "types", "const", "enums", "fallback")
@@ -332,7 +406,8 @@ def trait_errors(schemas: DataFrame) -> DataFrame:
     needed = top.join(abstract.filter("NOT abstract"), "type_id").select("type_id", F.explode("required").alias("trait"))
     missing = needed.join(set_, ["type_id", "trait"], "left_anti").join(per.filter("fallback IS NOT NULL"), ["type_id", "trait"], "left_anti").select("type_id", F.concat(F.lit("trait "), "trait", F.lit(": required")).alias("e"))
     judged = top.select("type_id").unionByName(set_.select("type_id")).distinct()
-    return judged.join(each.unionByName(missing), "type_id", "left").groupBy("type_id").agg(F.sort_array(F.collect_set("e")).alias("errors"))
+    broken = _levels(schemas).join(lost, "level_id").select("type_id", "e")
+    return judged.join(each.unionByName(missing).unionByName(broken), "type_id", "left").groupBy("type_id").agg(F.sort_array(F.collect_set("e")).alias("errors"))
 
 
 def reference_errors(schemas: DataFrame, entities: DataFrame) -> DataFrame:
@@ -382,8 +457,8 @@ def mixed_dialects(schemas: DataFrame) -> DataFrame:
 def type_report(schemas: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """type_id, stage, error of every type: the first stage that finds something, and its first error; null if valid.
 
-    Stages, in order: Dialect, Keywords, References (of all types that a type leads to), Patterns, Derivation, Operands,
-    Traits. All types pass all stages at once; each stage is a table of errors.
+    Stages, in order: Dialect, Keywords, References (of all types that a type leads to), Schema (the dialect's own
+    rules), Patterns, Derivation, Operands, Traits. All types pass all stages at once; each stage is a table of errors.
     """
     entities = schemas if entities is None else entities
     v = jsons.variant(F.col("content"))
@@ -391,17 +466,19 @@ def type_report(schemas: DataFrame, entities: DataFrame | None = None) -> DataFr
     dialects = schemas.filter(dialect_of(jsons.as_string(jsons.member(v, "$schema"))).isNull()).select(F.col("entity_key").alias("type_id"), F.lit("unsupported dialect").alias("error"))
     rows = resolved(positions(schemas))
     listed = lambda df: df.select("type_id", F.explode("errors").alias("error"))
+    said = cut(keywords.facts(schemas))
     patterns_ = rows.filter("pattern IS NOT NULL").select("type_id", "path", "pattern").distinct()
     stages = (
         dialects,
-        keyword_errors(schemas).filter("error IS NOT NULL"),
-        rows.filter("error IS NOT NULL").select("type_id", F.concat("path", F.lit(": "), "error").alias("error")),
-        patterns_.withColumn("why", pattern_refusal("pattern")).filter("why IS NOT NULL").select("type_id", F.concat("path", F.lit(": pattern: "), "why").alias("error")),
+        keyword_errors(schemas).filter("error IS NOT NULL").unionByName(keywords.own_errors(said)),
+        rows.filter("error IS NOT NULL").select("type_id", F.concat("path", F.lit(": "), "error").alias("error")).unionByName(keywords.reference_shapes(said)),
+        keywords.dialect_errors(said),
+        patterns_.withColumn("why", pattern_refusal("pattern")).filter("why IS NOT NULL").select("type_id", F.concat("path", F.lit(": pattern: "), "why").alias("error")).unionByName(keywords.pattern_errors(said)),
         listed(derivation(schemas)),
         operand_errors(schemas, entities, stored=False).select("type_id", F.concat("path", F.lit(": "), "keyword", F.lit(" "), "reason").alias("error")),
         listed(trait_errors(schemas)),
     )
-    names = ("Dialect", "Keywords", "References", "Patterns", "Derivation", "Operands", "Traits")
+    names = ("Dialect", "Keywords", "References", "Schema", "Patterns", "Derivation", "Operands", "Traits")
     found = None
     for n, (name, stage) in enumerate(zip(names, stages, strict=True)):
         part = stage.groupBy("type_id").agg(F.min("error").alias("error")).select("type_id", F.struct(F.lit(n).alias("n"), F.lit(name).alias("stage"), "error").alias("e"))

@@ -357,3 +357,12 @@ def scope_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = _schema_rows(_versions(spark, sf_dir, "'gts.acme.sales.catalog.b' || b || '.v1.' || s || '~'", body))
     pairs = schemas.minor_pairs(types.select("gts_id")).select(F.col("old").alias("base"), F.col("new").alias("derived"))
     return scopes.relations(pairs, types)
+
+
+@_register(f"SELECT {_EVENT} AS entity_key, coalesce(user_id >= 5, true) AND coalesce(value <= 100, true) AND (value IS NULL OR user_id IS NOT NULL) AS valid FROM events")
+def validate_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that only branches which hold have looked at: a value beyond its bound leaves its member unevaluated."""
+    schema = {"$schema": "https://json-schema.org/draft/2020-12/schema", "properties": {"id": {}, "event_type": {}}, "unevaluatedProperties": False, "dependentSchemas": {"value": {"required": ["user_id"]}},
+        "anyOf": [{"properties": {"user_id": {"$ref": "#least"}}}, {"properties": {"value": {"maximum": 100}}}], "$defs": {"l": {"$anchor": "least", "minimum": 5}}}
+    e = files.events(spark, sf_dir)
+    return e.select("entity_key", (F.size(evaluate.errors(F.col("content"), schema)) == 0).alias("valid"))
