@@ -44,6 +44,38 @@ def broken(entities: DataFrame, found: DataFrame | None = None) -> DataFrame:
     return row(lost).unionByName(row(unbound.withColumn("reason", F.lit("MissingTypeBinding"))))
 
 
+_NAMES = r"^gts\.((?:[a-z_][a-z0-9_]*\.){0,4})"
+
+
+def _keyed(patterns: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns and ids with the names that they have in common: a pattern's first segment fixes up to four, and an id
+    has a row for each number of names that some pattern fixes (five at most)."""
+    named = patterns.withColumn("names", F.regexp_extract("pattern", _NAMES, 1)).filter(ident.is_pattern(F.col("pattern")))
+    depth = F.size(F.split("names", r"\.")) - 1
+    depths = [r["n"] for r in named.select(depth.alias("n")).distinct().collect()]
+    cuts = F.array(*map(F.lit, depths)).cast("array<int>")
+    own = ids.withColumn("own", F.regexp_extract("id", _NAMES, 1)).filter(ident.is_valid(F.col("id")))
+    spread = own.withColumn("n", F.explode(cuts)).withColumn("names", F.when(F.col("n") == 0, "").otherwise(F.expr("concat(substring_index(own, '.', n), '.')")))
+    return named, spread.drop("own", "n")
+
+
+def selected(patterns: DataFrame, ids: DataFrame) -> DataFrame:
+    """All rows of ``patterns`` (a column pattern) with those of ``ids`` (a column id) that they select.
+
+    An equi-join on the names that a pattern fixes, and the pattern itself as a filter on what meets; the names' number
+    is part of the key, for names end with a dot.
+    """
+    named, spread = _keyed(patterns, ids)
+    return named.join(spread, "names").filter(ident.covers(F.col("pattern"), F.col("id"))).drop("names")
+
+
+def unmatched(patterns: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``patterns`` that select none of the ids; ids are compared once each."""
+    named, spread = _keyed(patterns, ids.select("id").distinct())
+    found = named.alias("p").join(spread.alias("i"), (F.col("p.names") == F.col("i.names")) & ident.covers(F.col("p.pattern"), F.col("i.id")), "left_semi")
+    return patterns.join(found.select("pattern").distinct(), "pattern", "left_anti")
+
+
 def is_consistent(entities: DataFrame) -> bool:
     return broken(entities).isEmpty()
 

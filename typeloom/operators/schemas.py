@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, MapType, Strin
 
 from ..functions import ident, jsons, patterns
 from ..plans.lineage import cut
-from . import keywords, scopes
+from . import keywords, relations, scopes
 from .registry import dialect_of
 
 # Bounds of which a larger number is stricter, and those of which a smaller one is.
@@ -251,11 +251,13 @@ def _subset(a: Column, c: Column, there: Column | None = None) -> Column:
     )
 
 
-def derivation(schemas: DataFrame) -> DataFrame:
+def derivation(schemas: DataFrame, written: DataFrame | None = None, put: DataFrame | None = None) -> DataFrame:
     """type_id, parent, errors of every derived type: it must be a subset of its parent.
 
     The parent must be stored, of the same dialect and not final; everything the parent demands at a place must be
-    demanded by the type, its references resolved, at least as strictly.
+    demanded by the type, its references resolved, at least as strictly; what it declares anew must narrow by itself,
+    its closed branches restate the parent's members, and its reference scopes lie within the parent's. ``written`` and
+    ``put`` are the schemas' positions, and those with references in place, where they are known already.
     """
     v = jsons.variant(F.col("content"))
     facts = schemas.select(F.col("entity_key").alias("type_id"), ident.parent_type(F.col("entity_key")).alias("parent"), F.coalesce(F.try_variant_get(v, "$['x-gts-final']", "boolean"), F.lit(False)).alias("final"), jsons.as_string(jsons.member(v, "$schema")).alias("dialect"))
@@ -267,8 +269,8 @@ def derivation(schemas: DataFrame) -> DataFrame:
         .otherwise(F.filter(F.array(F.when(F.col("p_final"), "$: the parent is final"), F.when(~F.col("dialect").eqNullSafe(F.col("p_dialect")), "$: the dialects differ")), lambda e: e.isNotNull()))
         .alias("errors"),
     )
-    written = cut(positions(schemas))
-    rows = folded(resolved(written))
+    written = cut(positions(schemas)) if written is None else written
+    rows = folded(resolved(written) if put is None else put)
     p = _paired(pairs.select("type_id", "parent").withColumnsRenamed({"type_id": "child"}), rows, "parent", "child", "left")
     checks = _subset(F.col("x"), F.col("y"))
     own = rows.filter(F.size("errors") > 0).select(F.col("type_id").alias("child"), F.transform("errors", lambda e: F.concat("path", F.lit(": "), e)).alias("e"))
@@ -410,8 +412,9 @@ def trait_errors(schemas: DataFrame) -> DataFrame:
     return judged.join(each.unionByName(missing).unionByName(broken), "type_id", "left").groupBy("type_id").agg(F.sort_array(F.collect_set("e")).alias("errors"))
 
 
-def reference_errors(schemas: DataFrame, entities: DataFrame) -> DataFrame:
-    """entity_key, path, keyword, value, reason of strings in instances that break a reference keyword of their type.
+def reference_errors(schemas: DataFrame, entities: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    """entity_key, path, keyword, value, reason of strings in instances that break a reference keyword of their type;
+    with ``valid`` (entity_key of what is valid) also those that name something stored that isn't.
 
     The operands of a type's resolved positions meet the strings of its instances on place and type; what should be
     stored is then looked up by an anti join. ``/$id`` as an operand is the type itself.
@@ -427,13 +430,19 @@ def reference_errors(schemas: DataFrame, entities: DataFrame) -> DataFrame:
     known = entities.select(F.col("entity_key").alias("value")).distinct()
     absent = judged.filter(F.col("reason").isNull() & ~pattern).join(known, "value", "left_anti").withColumn("reason", F.lit("NotStored"))
     keep = ("entity_key", F.col("at").alias("path"), "keyword", "value", "reason")
-    return judged.filter("reason IS NOT NULL").select(*keep).unionByName(absent.select(*keep))
+    out = judged.filter("reason IS NOT NULL").select(*keep).unionByName(absent.select(*keep))
+    if valid is None:
+        return out
+    bad = known.join(valid.select(F.col("entity_key").alias("value")), "value", "left_anti")
+    return out.unionByName(judged.filter(F.col("reason").isNull() & ~pattern).join(bad, "value", "left_semi").withColumn("reason", F.lit("NotValid")).select(*keep))
 
 
 def operand_errors(schemas: DataFrame, entities: DataFrame, stored: bool = True) -> DataFrame:
     """type_id, path, keyword, operand, reason of reference keywords whose operand names nothing: no identifier or
-    pattern, an instance where types are meant, or (``stored``) an identifier that isn't stored. Patterns are never looked up."""
-    rows = positions(schemas).select("type_id", "path", F.explode("operands").alias("keyword", "operand")).filter("operand <> '/$id'")
+    pattern, an instance where types are meant, or (``stored``) an identifier that isn't stored, or a wildcard that
+    selects nothing that is. The operands of pattern keywords are never looked up. All positions of a schema count."""
+    said = keywords.facts(schemas).filter(F.col("keyword").isin(*REF_KEYWORDS))
+    rows = said.select("type_id", F.col("pointer").alias("path"), "keyword", F.coalesce("text", F.lit("")).alias("operand")).filter("operand <> '/$id'")
     plain = ~F.col("operand").endswith("*")
     instance = plain & ~ident.is_type(F.col("operand"))
     judged = rows.withColumn("reason", F.when(~ident.is_pattern(F.col("operand")), "NotAReference").when((F.col("keyword") == "x-gts-type-ref") & instance, "NotAType"))
@@ -441,8 +450,11 @@ def operand_errors(schemas: DataFrame, entities: DataFrame, stored: bool = True)
     if not stored:
         return wrong
     known = entities.select(F.col("entity_key").alias("operand")).distinct()
-    absent = judged.filter(F.col("reason").isNull() & plain).join(known, "operand", "left_anti").withColumn("reason", F.lit("NotStored"))
-    return wrong.unionByName(absent.select(*wrong.columns))
+    asked = judged.filter(F.col("reason").isNull() & (F.col("keyword") != "x-gts-pattern-ref"))
+    absent = asked.filter(plain).join(known, "operand", "left_anti").withColumn("reason", F.lit("NotStored"))
+    wide = relations.unmatched(asked.filter(~plain).withColumnRenamed("operand", "pattern"), known.select(F.col("operand").alias("id")))
+    empty = wide.withColumnRenamed("pattern", "operand").withColumn("reason", F.lit("NoMatch"))
+    return wrong.unionByName(absent.select(*wrong.columns)).unionByName(empty.select(*wrong.columns))
 
 
 def mixed_dialects(schemas: DataFrame) -> DataFrame:
@@ -464,7 +476,8 @@ def type_report(schemas: DataFrame, entities: DataFrame | None = None) -> DataFr
     v = jsons.variant(F.col("content"))
     ids = schemas.select(F.col("entity_key").alias("type_id"))
     dialects = schemas.filter(dialect_of(jsons.as_string(jsons.member(v, "$schema"))).isNull()).select(F.col("entity_key").alias("type_id"), F.lit("unsupported dialect").alias("error"))
-    rows = resolved(positions(schemas))
+    written = cut(positions(schemas))
+    rows = cut(resolved(written))
     listed = lambda df: df.select("type_id", F.explode("errors").alias("error"))
     said = cut(keywords.facts(schemas))
     patterns_ = rows.filter("pattern IS NOT NULL").select("type_id", "path", "pattern").distinct()
@@ -474,7 +487,7 @@ def type_report(schemas: DataFrame, entities: DataFrame | None = None) -> DataFr
         rows.filter("error IS NOT NULL").select("type_id", F.concat("path", F.lit(": "), "error").alias("error")).unionByName(keywords.reference_shapes(said)),
         keywords.dialect_errors(said),
         patterns_.withColumn("why", pattern_refusal("pattern")).filter("why IS NOT NULL").select("type_id", F.concat("path", F.lit(": pattern: "), "why").alias("error")).unionByName(keywords.pattern_errors(said)),
-        listed(derivation(schemas)),
+        listed(derivation(schemas, written, rows)),
         operand_errors(schemas, entities, stored=False).select("type_id", F.concat("path", F.lit(": "), "keyword", F.lit(" "), "reason").alias("error")),
         listed(trait_errors(schemas)),
     )

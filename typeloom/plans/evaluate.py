@@ -531,17 +531,19 @@ def levels_of(instances: DataFrame, types: dict[str, dict]) -> dict[str, int]:
 TOGETHER = 32
 
 
-def validate(entities: DataFrame, types: DataFrame | None = None) -> DataFrame:
+def validate(entities: DataFrame, types: DataFrame | None = None, referred: bool = False) -> DataFrame:
     """entity_key, reason, errors of every instance.
 
     Types are judged first (``schemas.type_report``): an instance of a type that isn't valid isn't either. Schemas become
     part of the plan, so their texts are read on the driver; instances are judged by one scan for each ``TOGETHER``
     types. Values that break a reference keyword come before all other errors. Reasons, in order: NoSchemaId,
     InvalidSchemaId, SchemaNotFound, AbstractType, SchemaInvalid, MixedDialects, InvalidReference, Invalid; null if valid.
+    ``referred``: what is referred to must be valid itself, not only stored (``valid_entities``).
     """
     types = entities.filter("is_schema") if types is None else types
     instances = entities.filter("NOT is_schema")
-    bodies = {r.gts_id: normal.normalised(json.loads(r.content)) for r in types.filter("gts_id IS NOT NULL").select("gts_id", "content").toLocalIterator()}
+    raw = {r.gts_id: json.loads(r.content) for r in types.filter("gts_id IS NOT NULL").select("gts_id", "content").toLocalIterator()}
+    bodies = {name: normal.normalised(body) for name, body in raw.items()}
     wrong = {r.type_id: f"{r.stage}: {r.error}" for r in schemas.type_report(types).filter("error IS NOT NULL").toLocalIterator()}
     mixed = {r.type_id for r in schemas.mixed_dialects(types).toLocalIterator()}
     known = F.col("schema_id").isin(*bodies) if bodies else F.lit(False)
@@ -559,11 +561,18 @@ def validate(entities: DataFrame, types: DataFrame | None = None) -> DataFrame:
         if name in wrong:
             return fixed("SchemaInvalid", wrong[name])
         try:
-            found = errors(F.when(F.col("schema_id") == name, F.col("content")), bodies[name], bodies, name, levels.get(name, UNROLL))
+            mine = F.when(F.col("schema_id") == name, F.col("content"))
+            found = errors(mine, bodies[name], bodies, name, levels.get(name, UNROLL))
+            if bearing:
+                named = references.errors(mine, raw[name], raw, name, levels.get(name, UNROLL))
+                return F.when(F.size(named) > 0, F.struct(F.lit("InvalidReference").alias("reason"), named.alias("errors"))).otherwise(F.struct(F.when(F.size(found) > 0, "Invalid").alias("reason"), found.alias("errors")))
         except SchemaError as e:
             return fixed("SchemaInvalid", str(e))
         return F.struct(F.when(F.size(found) > 0, "Invalid").alias("reason"), found.alias("errors"))
 
+    from . import references  # which compiles by this module
+
+    bearing = any(map(normal.bears, raw.values()))
     names, levels = sorted(bodies), levels_of(instances, bodies)
     for at in range(0, len(names), TOGETHER):
         some = names[at : at + TOGETHER]
@@ -572,12 +581,26 @@ def validate(entities: DataFrame, types: DataFrame | None = None) -> DataFrame:
             choice = F.when(F.col("schema_id") == name, verdict(name)).otherwise(choice)
         rows = instances.filter(F.col("schema_id").isin(*some)).select("entity_key", choice.alias("v")).select("entity_key", "v.reason", "v.errors")
         judged = judged.unionByName(rows)
-    if types.filter(F.greatest(*(F.col("content").contains(f'"{k}"') for k in schemas.REF_KEYWORDS))).isEmpty():
+    if not bearing:
         return judged
+    # what is named must be stored; shapes and scopes were judged above
     text = F.concat("path", F.lit(": "), "keyword", F.lit(" "), "reason")
-    refs = schemas.reference_errors(types, instances.unionByName(types.select(*instances.columns))).groupBy("entity_key").agg(F.sort_array(F.collect_set(text)).alias("refs"))
-    lost = F.col("refs").isNotNull() & (F.col("reason").isNull() | (F.col("reason") == "Invalid"))
-    return judged.join(refs, "entity_key", "left").select("entity_key", F.when(lost, "InvalidReference").otherwise(F.col("reason")).alias("reason"), F.when(lost, F.col("refs")).otherwise(F.col("errors")).alias("errors"))
+    everything = instances.unionByName(types.select(*instances.columns))
+    valid = valid_entities(everything) if referred else None
+    refs = schemas.reference_errors(types, everything, valid).filter(F.col("reason").isin("NotStored", "NotValid"))
+    refs = refs.groupBy("entity_key").agg(F.sort_array(F.collect_set(text)).alias("refs"))
+    lost = F.col("refs").isNotNull() & (F.col("reason").isNull() | F.col("reason").isin("Invalid", "InvalidReference"))
+    every = F.when(F.col("reason") == "InvalidReference", F.concat("errors", "refs")).otherwise(F.col("refs"))
+    return judged.join(refs, "entity_key", "left").select("entity_key", F.when(lost, "InvalidReference").otherwise(F.col("reason")).alias("reason"), F.when(lost, every).otherwise(F.col("errors")).alias("errors"))
+
+
+def valid_entities(entities: DataFrame) -> DataFrame:
+    """entity_key of what a reference may name where it must be valid: types whose derivation and traits hold, and
+    instances that their types admit, references aside."""
+    types = entities.filter("is_schema")
+    broken = schemas.derivation(types).filter(F.size("errors") > 0).select("type_id").unionByName(schemas.trait_errors(types).filter(F.size("errors") > 0).select("type_id"))
+    own = types.select("entity_key").join(broken.select(F.col("type_id").alias("entity_key")), "entity_key", "left_anti")
+    return own.unionByName(validate(entities).filter(F.col("reason").isNull() | (F.col("reason") == "InvalidReference")).select("entity_key")).distinct()
 
 
 def validate_entities(entities: DataFrame) -> DataFrame:

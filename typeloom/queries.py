@@ -366,3 +366,14 @@ def validate_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "anyOf": [{"properties": {"user_id": {"$ref": "#least"}}}, {"properties": {"value": {"maximum": 100}}}], "$defs": {"l": {"$anchor": "least", "minimum": 5}}}
     e = files.events(spark, sf_dir)
     return e.select("entity_key", (F.size(evaluate.errors(F.col("content"), schema)) == 0).alias("valid"))
+
+
+_PICKED = "CASE p_size % 5 WHEN 0 THEN 'gts.acme.*' WHEN 1 THEN 'gts.acme.sales.orders.order.v1.'||(p_partkey%3)||'~*' WHEN 2 THEN 'gts.acme.sales.orders.order.v1~acme.sales._.*' WHEN 3 THEN 'gts.acme.shop.*' ELSE 'gts.acme.sales.orders.order.v1.1~acme.sales._.o'||p_partkey||'.v1' END"
+
+
+@_register(f"""SELECT pattern, count(*) AS selected FROM (SELECT DISTINCT {_PICKED} AS pattern FROM part) JOIN (SELECT {_ORDER} AS id FROM orders)
+ ON pattern = id OR pattern = 'gts.acme.*' OR pattern = 'gts.acme.sales.orders.order.v1~acme.sales._.*' OR (pattern LIKE '%~*' AND starts_with(id, substr(pattern, 1, length(pattern) - 1))) GROUP BY pattern""")
+def pattern_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders each pattern selects: patterns of all breadths in a table, joined by the names that they fix."""
+    p = files.table(spark, sf_dir, "part").select(F.expr(_PICKED).alias("pattern")).distinct()
+    return relations.selected(p, _orders(spark, sf_dir).select("id")).groupBy("pattern").agg(F.count("*").alias("selected"))
