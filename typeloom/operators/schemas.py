@@ -270,14 +270,14 @@ def derivation(schemas: DataFrame, written: DataFrame | None = None, put: DataFr
         .alias("errors"),
     )
     written = cut(positions(schemas)) if written is None else written
-    rows = folded(resolved(written) if put is None else put)
+    rows = cut(folded(resolved(written) if put is None else put))
     p = _paired(pairs.select("type_id", "parent").withColumnsRenamed({"type_id": "child"}), rows, "parent", "child", "left")
     checks = _subset(F.col("x"), F.col("y"))
     own = rows.filter(F.size("errors") > 0).select(F.col("type_id").alias("child"), F.transform("errors", lambda e: F.concat("path", F.lit(": "), e)).alias("e"))
     related = scopes.relations(pairs.select(F.col("parent").alias("base"), F.col("type_id").alias("derived")), schemas).filter(F.col("relation") != scopes.INCLUDED)
     scoped = related.select(F.col("derived").alias("child"), F.array(F.lit("$: a reference constraint isn't known to be within the parent's")).alias("e"))
     chain = pairs.select(F.col("type_id").alias("child"), "parent")
-    found = p.select("child", checks.alias("e")).unionByName(own).unionByName(scoped).unionByName(redeclared(chain, rows, folded(written))).unionByName(shut_branches(chain, rows, written))
+    found = p.select("child", checks.alias("e")).unionByName(own).unionByName(scoped).unionByName(redeclared(chain, rows, cut(folded(written)))).unionByName(shut_branches(chain, rows, written))
     summed = found.groupBy(F.col("child").alias("type_id")).agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
     return hop.join(summed, "type_id", "left").select("type_id", "parent", F.concat("errors", F.coalesce("e", F.array().cast("array<string>"))).alias("errors"))
 
