@@ -1,13 +1,14 @@
 """Identifiers, documents, registry, schemas: the cases of the fixtures, and the queries against DuckDB."""
 
 import json
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from typeloom import queries
-from typeloom.functions import ident, jsons
+from typeloom.functions import ident, jsons, patterns
 from typeloom.operators import registry, relations, schemas
 from typeloom.plans import evaluate, query
 from typeloom.sources import files
@@ -20,28 +21,74 @@ def one(spark, column, **values):
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column).head()[0]
 
 
-@pytest.mark.parametrize(
-    "text, valid",
-    [
-        ("gts.lab.kit.set.item.v1~", True), ("gts.lab.kit.set.item.v1~0f8fad5b-d9cb-469f-a165-70867728950e", True), ("gts.lab.kit.set.item.v-1~", False), ("gts.lab.kit.set.item.v1.-1~", False),
-        ("gts.lab.kit.set.item.v4294967295~", True), ("gts.lab.kit.set.item.v4294967296~", False), ("gts.lab.kit.set.item.v1", False), ("gts.lab.kit.set.item.v01~", False), ("", False), (None, False),
-        ("gts.lab.kit.set.item.v1~\n", False), ("GTS.lab.kit.set.item.v1~", False), ("gts." + "a" * 1020 + ".b.c.d.v1~", False),
-    ],
-)
-def test_valid(spark, text, valid):
-    assert one(spark, ident.is_valid(F.col("t")), t=text) is valid
-
-
-@pytest.mark.parametrize(
-    "text, pattern, old, new",
-    [
-        ("gts.lab.kit.lists.item.v1~own.app.lists.entry.v1.2", "gts.lab.kit.lists.item.v1~own.*", True, True), ("gts.mill.kit.set.item.v0~a.b.c.d.v1", "gts.mill.kit.set.item.v0~*", True, True),
-        ("gts.lab.kit.set.item.v1.5~", "gts.lab.kit.set.item.v1~", True, True), ("gts.mill.kit.set.item.v1~", "gts.mill.*", True, True), ("gts.lab.kit.set.item.v2~", "gts.lab.kit.set.item.v1~", False, False),
-        ("gts.mill.kit.set.item.v0~", "gts.mill.kit.set.item.v0~*", False, True), ("gts.mill.kit.set.item.v1.1~", "gts.mill.kit.set.item.v0~*", False, False),
-    ],
-)
-def test_match(spark, text, pattern, old, new):
-    assert (one(spark, ident.matches_legacy(F.col("t"), pattern), t=text), one(spark, ident.matches(F.col("t"), pattern), t=text)) == (old, new)
+def number_by_hand(text):
+    return text.isascii() and text.isdigit() and (text == "0" or text[0] != "0") and int(text) < 2**32
+
+
+def segment_by_hand(text):
+    *names, version, minor = [*text.split("."), None] if text.count(".") == 4 else text.split(".") if text.count(".") == 5 else ["", "", "", "", "", None]
+    named = all(n and set(n) <= set("abcdefghijklmnopqrstuvwxyz0123456789_") and n[0] not in "0123456789" for n in names)
+    return named and version[:1] == "v" and number_by_hand(version[1:]) and (minor is None or number_by_hand(minor))
+
+
+def valid_by_hand(text):
+    if text is None or len(text) > 1024 or text[:4] != "gts." or "~" not in text:
+        return False
+    *types, last = text[4:].split("~")
+    hexes = last.split("-")
+    tail = [len(h) for h in hexes] == [8, 4, 4, 4, 12] and set("".join(hexes)) <= set("0123456789abcdef")
+    return all(map(segment_by_hand, types)) and (last == "" or tail or segment_by_hand(last))
+
+
+def made_ids(rng, n, minors=("", ".0", ".1", ".7")):
+    """Chains of one to three segments over few names, types and instances."""
+    name = lambda: rng.choice(["a", "b", "_c", "d0"])
+    segment = lambda: f"{name()}.{name()}.{name()}.{name()}.v{rng.choice([0, 1])}{rng.choice(minors)}"
+    tails = ["", "", "0a1b2c3d-0000-1111-2222-333344445555"]
+    return ["gts." + "".join(segment() + "~" for _ in range(rng.randint(1, 2))) + rng.choice([*tails, segment(), segment()]) for _ in range(n)]
+
+
+def test_valid(spark):
+    """Generated identifiers, with single characters changed, and numbers and lengths around their limits, against a parser by hand."""
+    rng = random.Random(1)
+    texts = made_ids(rng, 400)
+    for t in texts[:]:
+        at = rng.randrange(len(t) + 1)
+        texts.append(t[:at] + rng.choice([*"~.v0_-1aG*\n ", ""]) + t[at + rng.randrange(2) :])
+    texts += [f"gts.a.b.c.d.v{k}{m}~" for k in (0, "00", 2**32 - 1, 2**32, 10**12, "-1", "") for m in ("", ".0", ".01", f".{2**32 - 1}", f".{2**32}")]
+    texts += ["gts." + "a" * (1024 - 4 - len(".b.c.d.v1~") + k) + ".b.c.d.v1~" for k in (-1, 0, 1)] + ["", None, "gts.", "gts.~"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ident.is_valid(F.col("t")).alias("v")).collect()
+    assert {r.t: r.v for r in got} == {t: valid_by_hand(t) for t in texts}
+    assert 100 < sum(r.v for r in got) < len(got) - 100
+
+
+def matched_by_hand(text, pattern, older):
+    """By segments: a missing minor version stands for any; of what follows a type, or stands before a wildcard, the text must begin so."""
+    *inner, last = pattern.removeprefix("gts.").split("~")
+    rest = text.removeprefix("gts.")
+    same = lambda p, s: s == p or segment_by_hand(s) and p.count(".") == 4 and s.rpartition(".")[0] == p
+    for p in inner:
+        s, mark, rest = rest.partition("~")
+        if not mark or not same(p, s):
+            return False
+    if last in ("", "*"):
+        return not (older and last == "*" and not rest)
+    if last.endswith("*"):
+        return rest.startswith(last[:-1])
+    return rest == last if older else same(last, rest)
+
+
+def test_match(spark):
+    """Generated patterns against generated identifiers by both matchers."""
+    rng = random.Random(2)
+    ids = sorted(set(made_ids(rng, 150)))
+    patterns = {*rng.sample(ids, 10), *(i.partition("~")[0] + end for i in rng.sample(ids, 10) for end in ("~", "~*"))}
+    patterns |= {i.rsplit(".", rng.randrange(1, 4))[0] + ".*" for i in rng.sample(ids, 30) if "-" not in i and not i.endswith("~")}
+    patterns = sorted(p for p in patterns if ident.is_pattern_text(p))
+    df = spark.createDataFrame([(i,) for i in ids], "t string")
+    for older, matches in ((False, ident.matches), (True, ident.matches_legacy)):
+        for r in df.select("t", F.array(*(matches(F.col("t"), p) for p in patterns)).alias("m")).collect():
+            assert r.m == [matched_by_hand(r.t, p, older) for p in patterns], (r.t, older, [p for p, m in zip(patterns, r.m, strict=True) if m != matched_by_hand(r.t, p, older)])
 
 
 @pytest.mark.parametrize("text, wrong", [("", True), ("gts.a.b.c.d.v1~*[a=1]", True), ("gts.a.b.c.d.v1~[a=1]", True), ("gts.a.*[a=1", True), ("gts.*.b.*", True), ("gts.a.*[a=1,b,=2]", False)])
@@ -132,9 +179,24 @@ def test_combined_schemas(spark):
         evaluate.errors(F.col("t"), {"pattern": "(?=a)b"})
 
 
-@pytest.mark.parametrize("pattern", ["b{999}", "(?:xy{9}){99}", r"\D{900}\W{90}", r"[^\w-]{480}", "^(?:z?){400}z{400}$", r"a\x41\/[-a-c\-]", "x+?|y{2,}?", "(a(b(c)))*"])
-def test_regex_admitted(pattern):
-    assert evaluate.profile_error(pattern) is None
+def test_regex_limits():
+    """Each limit of the profile: what lies at it is admitted, what lies one beyond isn't."""
+    good = lambda p: evaluate.profile_error(p) is None
+    most, deep, product = patterns.MAX_LENGTH, patterns.MAX_NESTING, patterns.MAX_REPEAT
+    assert good("k" * most) and not good("k" * (most + 1))
+    assert good("(" * deep + "k" + ")" * deep) and not good("(" * (deep + 1) + "k" + ")" * (deep + 1))
+    for inner in (1, 2, 5, 25, 100, product):
+        outer = product // inner
+        if outer * (inner + 10) <= most:  # else it is too long when written out
+            assert good(f"(?:k{{{inner}}}){{{outer}}}")
+        assert not good(f"(?:k{{{inner}}}){{{outer + 1}}}")
+    # written out, a group of n characters repeated k times must fit
+    for n in (10, 50, 400):
+        k = (most - 8) // (n + 4)
+        assert good(f"(?:{'k' * n}){{{k}}}") and not good(f"(?:{'k' * n}){{{most // n + 1}}}")
+    for a in "ajz059":
+        for b in "ajz059":
+            assert good(f"[{a}-{b}]") == (a <= b)
 
 
 @pytest.mark.parametrize(
