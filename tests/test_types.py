@@ -349,3 +349,13 @@ def test_patterns_within_items_and_members(spark):
     assert held({"propertyNames": {"pattern": two}}, {"a-b": 1}) and not held({"propertyNames": {"pattern": two}}, {"ab": 1})
     assert held({"items": {"format": "regex"}}, ["a+"]) and not held({"items": {"format": "regex"}}, ["a+", "("])
     assert not held({"pattern": nested}, "a" * 40_000 + "!") and not held({"items": {"pattern": nested}}, ["a" * 40_000 + "!"])
+
+
+def test_edges_of_flat_and_nested(spark):
+    """Flat documents, walked in the JVM, and nested ones give the same edges as a walk of every document."""
+    a, b = "gts.x.r.b.t.v1~x.r._.a.v1", "gts.x.r.b.t.v1~x.r._.b.v1"
+    texts = [f'{{"id":"{a}","to":"{b}","n":5,"none":null}}', f'{{"id":"{a}","to":["{b}",{{"p":"gts.x.*"}}]}}', f'{{"to":"gts://{b}","again":"{b}"}}', f'{{"to":"\\u0067ts{b[3:]}"}}', f'{{"t":"{{ {b}"}}', f'"{b}"', f"{{broken {b}", "", None, '{"v":"gts.x.r.b.t.v01"}', "{}"]
+    rows = spark.createDataFrame([(f"k{i}", False, t) for i, t in enumerate(texts)], "entity_key string, is_schema boolean, content string")
+    walked = rows.select("entity_key", F.explode(jsons.references(jsons.strings(F.col("content")))).alias("r")).select("entity_key", "r.id", "r.source_path")
+    assert sorted(map(tuple, relations.edges(rows).select("source_id", "id", "source_path").collect())) == sorted(map(tuple, walked.collect()))
+    assert {(r.source_id, r.referenced_id, r.reason) for r in relations.broken(rows.withColumn("schema_id", F.lit(None).cast("string"))).collect()} >= {("k0", a, "MissingInstance"), ("k3", b, "MissingInstance")}

@@ -143,19 +143,23 @@ def strings(content: pd.Series) -> pd.Series:
     return content.map(lambda text: list(_walk(_parsed(text))))
 
 
-def flat_strings(content: Column) -> Column:
-    """``strings`` of an object without objects or arrays in it, in the JVM; null for any other document."""
-    flat = content.rlike(r"^\s*\{[^{}\[\]]*\}\s*\z")
-    members = F.from_json(content, "map<string,string>", {"allowSingleQuotes": "false"})
-    found = F.transform(F.filter(F.map_entries(members), lambda e: e["value"].isNotNull()), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
-    return F.when(flat, F.coalesce(found, F.array().cast("array<struct<path:string,value:string>>")))
+def is_flat(content: Column) -> Column:
+    """Whether a text is an object without objects or arrays in it, as far as its brackets show."""
+    return F.coalesce(content.rlike(r"^\s*\{[^{}\[\]]*\}\s*\z"), F.lit(False))
+
+
+def may_refer(content: Column) -> Column:
+    """False where a text holds no identifier or pattern, however it is escaped."""
+    return content.contains("gts.") | content.contains("\\u")
 
 
-def identifier_strings(content: Column) -> Column:
-    """The strings of a document that may be identifiers or patterns: documents that hold none aren't walked, nor are
-    flat ones, which most are."""
-    may = content.contains("gts.") | content.contains("\\u")
-    return F.when(~may, F.array().cast("array<struct<path:string,value:string>>")).otherwise(F.coalesce(flat_strings(content), strings(F.when(may & flat_strings(content).isNull(), content))))
+def flat_strings(content: Column) -> Column:
+    """``strings`` of a flat object that may refer to something, in the JVM; null for any other document."""
+    def members(c: Column) -> Column:
+        found = F.from_json(c, "map<string,string>", {"allowSingleQuotes": "false"})
+        return F.when(may_refer(c) & is_flat(c), F.transform(F.map_entries(found), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))))
+
+    return let(content, members)
 
 
 @F.pandas_udf(StringType())
@@ -201,9 +205,10 @@ def has_keyword(content: Column, name: str) -> Column:
 
 
 def references(found: Column) -> Column:
-    """array<struct(id, source_path)> of the identifiers and patterns among ``strings``, once per id and path."""
-    stripped = F.transform(found, lambda x: F.struct(ident.strip_uri(x["value"]).alias("id"), x["path"].alias("source_path")))
-    return F.array_distinct(F.filter(stripped, lambda x: ident.is_valid_legacy(x["id"]) | ident.is_legacy_pattern(x["id"])))
+    """array<struct(id, source_path, concrete)> of the identifiers and patterns among ``strings``, once per id and path."""
+    likely = F.filter(found, lambda x: x["value"].startswith("gts"))
+    stripped = F.transform(likely, lambda x: let(F.when(x["value"].startswith("gts://"), ident.strip_uri(x["value"])).otherwise(x["value"]), lambda v: F.struct(v.alias("id"), x["path"].alias("source_path"), ident.is_valid_legacy(v).alias("concrete"))))
+    return F.array_distinct(F.filter(stripped, lambda x: x["concrete"] | ident.is_legacy_pattern(x["id"])))
 
 
 def path_steps(path: str) -> list[str]:

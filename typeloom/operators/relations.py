@@ -15,28 +15,40 @@ from ..plans.lineage import cut
 STEPS = 16
 
 
+def _tagged(entities: DataFrame) -> DataFrame:
+    """``edges`` with whether the end is concrete. Only documents with nested members are walked in Python, and those
+    without any identifier in their text nowhere."""
+    content = F.col("content")
+    likely = entities.select(F.col("entity_key").alias("source_id"), F.col("is_schema").alias("source_is_schema"), "content")
+    row = lambda df, strings: df.select("source_id", "source_is_schema", F.explode(jsons.references(strings)).alias("r"))
+    nested = row(likely.filter(~jsons.is_flat(content) & jsons.may_refer(content)), jsons.strings(content))
+    return row(likely, jsons.flat_strings(content)).unionByName(nested).select("source_id", "source_is_schema", "r.*")
+
+
 def edges(entities: DataFrame) -> DataFrame:
     """source_id, source_is_schema, id, source_path: every identifier or pattern in a document, its own id included."""
-    found = entities.select("entity_key", "is_schema", jsons.identifier_strings(F.col("content")).alias("strings"))
-    return found.select(F.col("entity_key").alias("source_id"), F.col("is_schema").alias("source_is_schema"), F.explode(jsons.references(F.col("strings"))).alias("r")).select("source_id", "source_is_schema", "r.*")
+    return _tagged(entities).drop("concrete")
 
 
 def counts(entities: DataFrame) -> DataFrame:
     return entities.agg(F.count("*").alias("entities"), F.count_if("is_schema").alias("schemas"), F.count_if(~F.col("is_schema")).alias("instances"))
 
 
-def broken(entities: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def broken(entities: DataFrame) -> DataFrame:
     """source_id, source_is_schema, referenced_id, source_path, reason of each reference that leads nowhere.
 
     Types must be stored as types, instances under their key; patterns are passed over. An instance whose type is
-    neither stored nor referred to in its text misses its type binding.
+    neither stored nor referred to in its text misses its type binding. Identifiers are made distinct before they meet
+    the stored keys, so one that many refer to is a row; edges are joined with the missing ones alone.
     """
-    found = edges(entities) if found is None else found
-    stored = entities.groupBy(F.col("entity_key").alias("id")).agg(F.bool_or("is_schema").alias("as_type"))
-    concrete = found.filter(ident.is_valid_legacy(F.col("id"))).join(stored, "id", "left")
+    found = _tagged(entities)
     of_type = ident.is_type(F.col("id"))
-    lost = concrete.filter(F.when(of_type, ~F.coalesce("as_type", F.lit(False))).otherwise(F.col("as_type").isNull()))
-    lost = lost.withColumn("reason", F.when(of_type, "MissingSchema").otherwise("MissingInstance"))
+    stored = entities.groupBy(F.col("entity_key").alias("id")).agg(F.bool_or("is_schema").alias("as_type"))
+    # a document is stored under its own key, so its own id leads somewhere
+    others = found.filter(F.col("concrete") & ((F.col("id") != F.col("source_id")) | (of_type & ~F.col("source_is_schema"))))
+    met = others.select("id").distinct().join(stored, "id", "left")
+    missing = met.filter(F.when(of_type, ~F.coalesce("as_type", F.lit(False))).otherwise(F.col("as_type").isNull())).select("id")
+    lost = others.join(missing, "id").withColumn("reason", F.when(of_type, "MissingSchema").otherwise("MissingInstance"))
     bound = entities.filter(~F.col("is_schema") & ident.is_valid_legacy(F.col("schema_id")))
     bound = bound.select(F.col("entity_key").alias("source_id"), F.col("is_schema").alias("source_is_schema"), F.col("schema_id").alias("id"), F.lit("(type binding)").alias("source_path"))
     unbound = bound.join(stored.filter("as_type"), "id", "left_anti").join(found.select("source_id", "id").distinct(), ["source_id", "id"], "left_anti")
