@@ -359,3 +359,20 @@ def test_edges_of_flat_and_nested(spark):
     walked = rows.select("entity_key", F.explode(jsons.references(jsons.strings(F.col("content")))).alias("r")).select("entity_key", "r.id", "r.source_path")
     assert sorted(map(tuple, relations.edges(rows).select("source_id", "id", "source_path").collect())) == sorted(map(tuple, walked.collect()))
     assert {(r.source_id, r.referenced_id, r.reason) for r in relations.broken(rows.withColumn("schema_id", F.lit(None).cast("string"))).collect()} >= {("k0", a, "MissingInstance"), ("k3", b, "MissingInstance")}
+
+
+def test_patterns_joined_with_ids(spark):
+    """The join by paths finds what comparing every pattern with every identifier finds."""
+    draw = random.Random(5)
+    versions = ["v1", "v1.0", "v1.2", "v2", "v12.2"]
+    segment = lambda: f"{draw.choice('av')}.p.{draw.choice(['_', 'v1'])}.t.{draw.choice(versions)}"
+    ids = {"gts." + "~".join([segment() for _ in range(draw.randint(1, 2))] + draw.choice([[""], [segment()]])) for _ in range(60)} | {"gts.a.p._.t.v1~x.y._.z", "no id"}
+    drawn = sorted(ids)
+    cuts = {f"{x[: draw.choice([i for i, c in enumerate(x) if c in '.~']) + 1]}*" for x in drawn if x.startswith("gts.") for _ in range(2)}
+    every = sorted(cuts | set(drawn[::2]) | {"gts.*", "gts.a.p._.t.v*", "gts.a.p._.t.v1.*", "*"})
+    p, i = spark.createDataFrame([(x,) for x in every], "pattern string"), spark.createDataFrame([(x,) for x in drawn], "id string")
+    pairs = p.crossJoin(i).filter(ident.is_valid(F.col("id")) & ident.covers(F.col("pattern"), F.col("id")))
+    wanted = {tuple(r) for r in pairs.collect()}
+    found = [tuple(r) for r in relations.selected(p, i).collect()]
+    assert set(found) == wanted and len(found) == len(wanted) > 100
+    assert {r.pattern for r in relations.unmatched(p, i).collect()} == set(every) - {x for x, _ in wanted}

@@ -223,6 +223,11 @@ def covers(a: Column, b: Column) -> Column:
     ``a`` is cut to what it fixes: a final wildcard fixes the text before it, a type fixes itself and selects all
     below it; a missing minor version stands for any.
     """
+    return F.coalesce(is_pattern(a) & is_pattern(b) & covers_valid(a, b), F.lit(False))
+
+
+def covers_valid(a: Column, b: Column) -> Column:
+    """``covers`` of two columns that are known to be patterns."""
     fixed = lambda c: F.regexp_replace(c, r"\*\z", "")
 
     quoted = F.regexp_replace(fixed(a), r"\.", r"\\.")
@@ -231,4 +236,4 @@ def covers(a: Column, b: Column) -> Column:
     exact = ~open_end
     reached = F.regexp_like(fixed(b), F.concat(F.lit("^"), flexible, F.when(exact, F.lit(r"\z")).otherwise(F.lit(""))))
     selects_many = b.endswith("*") | is_type(b)
-    return F.coalesce(is_pattern(a) & is_pattern(b) & reached & (open_end | ~selects_many), F.lit(False))
+    return reached & (open_end | ~selects_many)

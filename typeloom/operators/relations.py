@@ -5,7 +5,7 @@ Edges are a table; what is broken comes from anti joins on identifiers, so a rel
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ident, jsons
@@ -56,35 +56,38 @@ def broken(entities: DataFrame) -> DataFrame:
     return row(lost).unionByName(row(unbound.withColumn("reason", F.lit("MissingTypeBinding"))))
 
 
-_NAMES = r"^gts\.((?:[a-z_][a-z0-9_]*\.){0,4})"
+def _path(c: Column) -> Column:
+    """What an identifier or a pattern fixes, as names and major versions with dots between them; minor versions, which
+    some patterns leave open, are left out."""
+    plain = F.regexp_replace(c, r"(\.v[0-9]+)\.[0-9]+", "$1")
+    return F.translate(F.regexp_replace(F.regexp_replace(plain, r"(?:(?<=[.])v)?\*\z", ""), r"[.~]\z", ""), "~", ".")
 
 
 def _keyed(patterns: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Patterns and ids with the names that they have in common: a pattern's first segment fixes up to four, and an id
-    has a row for each number of names that some pattern fixes (five at most)."""
-    named = patterns.withColumn("names", F.regexp_extract("pattern", _NAMES, 1)).filter(ident.is_pattern(F.col("pattern")))
-    depth = F.size(F.split("names", r"\.")) - 1
-    depths = [r["n"] for r in named.select(depth.alias("n")).distinct().collect()]
+    """Patterns and ids with the path that they have in common: a pattern's whole path, and of an id the beginnings of
+    as many names as some pattern has (identifiers have at most 1024 characters, which bounds their number)."""
+    depth = lambda c: F.size(F.split(c, r"\."))
+    named = patterns.filter(ident.is_pattern(F.col("pattern"))).withColumn("path", _path(F.col("pattern")))
+    depths = [r["n"] for r in named.select(depth(F.col("path")).alias("n")).distinct().collect()]
     cuts = F.array(*map(F.lit, depths)).cast("array<int>")
-    own = ids.withColumn("own", F.regexp_extract("id", _NAMES, 1)).filter(ident.is_valid(F.col("id")))
-    spread = own.withColumn("n", F.explode(cuts)).withColumn("names", F.when(F.col("n") == 0, "").otherwise(F.expr("concat(substring_index(own, '.', n), '.')")))
+    own = ids.filter(ident.is_valid(F.col("id"))).withColumn("own", _path(F.col("id")))
+    spread = own.withColumn("n", F.explode(F.filter(cuts, lambda n: n <= depth(F.col("own"))))).withColumn("path", F.expr("substring_index(own, '.', n)"))
     return named, spread.drop("own", "n")
 
 
 def selected(patterns: DataFrame, ids: DataFrame) -> DataFrame:
     """All rows of ``patterns`` (a column pattern) with those of ``ids`` (a column id) that they select.
 
-    An equi-join on the names that a pattern fixes, and the pattern itself as a filter on what meets; the names' number
-    is part of the key, for names end with a dot.
+    An equi-join on all names that a pattern fixes; only minor versions are left to a filter on what meets.
     """
     named, spread = _keyed(patterns, ids)
-    return named.join(spread, "names").filter(ident.covers(F.col("pattern"), F.col("id"))).drop("names")
+    return named.join(spread, "path").filter(ident.covers_valid(F.col("pattern"), F.col("id"))).drop("path")
 
 
 def unmatched(patterns: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``patterns`` that select none of the ids; ids are compared once each."""
     named, spread = _keyed(patterns, ids.select("id").distinct())
-    found = named.alias("p").join(spread.alias("i"), (F.col("p.names") == F.col("i.names")) & ident.covers(F.col("p.pattern"), F.col("i.id")), "left_semi")
+    found = named.alias("p").join(spread.alias("i"), (F.col("p.path") == F.col("i.path")) & ident.covers_valid(F.col("p.pattern"), F.col("i.id")), "left_semi")
     return patterns.join(found.select("pattern").distinct(), "pattern", "left_anti")
 
 
