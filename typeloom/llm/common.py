@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import ship
+
 #: Words of the contracts that split on ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,8 +24,9 @@ ARROW_BATCH = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Python workers also look for this package beside it, as they may start in another folder,
-    and get batches of bounded size."""
+    """A table of the folder. The package is sent to the executors, Python workers also look for it where it is here, as
+    they may start in another folder, and get batches of bounded size."""
+    ship(spark)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
