@@ -151,3 +151,75 @@ def test_normal_form_in_validation(spark):
     rows = [json.dumps(schema), json.dumps({"id": name + "own.a.b.c.v1", "r": name, "s": "gts.port.*"})]
     e = registry.entities_of(spark.createDataFrame(list(enumerate(rows)), "seq long, content string"))
     assert [(r.reason, r.errors) for r in evaluate.validate(e).collect()] == [(None, [])]
+
+
+def plain_tree(d, low, high, members):
+    """Whether a document is a tree of objects with an integer ``n`` within the bounds, by recursion."""
+    if not isinstance(d, dict) or not isinstance(d.get("n"), int) or not low <= d["n"] <= high or set(d) - {"n", *members}:
+        return False
+    return all(plain_tree(d[m], low, high, members) for m in members if m in d)
+
+
+def grown(r, depth, spoilt):
+    """A document of two branches, one of them ``depth`` levels deep; ``spoilt``: what stands at its deepest place."""
+    if depth == 0:
+        return {"n": r.randrange(10)} if spoilt is None else spoilt
+    sides = ["left", "right"]
+    r.shuffle(sides)
+    return {"n": r.randrange(10), sides[0]: grown(r, depth - 1, spoilt), **({sides[1]: {"n": 1}} if r.random() < 0.5 else {})}
+
+
+def test_trees_deeper_than_the_plan(spark):
+    """Two and more references to itself and any depth: the plan stays small, and verdicts are those of a recursion."""
+    r = random.Random(4)
+    node = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 0, "maximum": 9}, "left": {"$ref": "#"}, "right": {"$ref": "#"}}, "additionalProperties": False}
+    docs = [grown(r, depth, spoilt) for depth in (0, 1, 4, 5, 9, 30) for spoilt in (None, {"n": 10}, {"n": 1, "x": 1}, 5, {})]
+    cases = [(node, [d for d in docs if plain_tree(d, 0, 9, ("left", "right"))], [d for d in docs if not plain_tree(d, 0, 9, ("left", "right"))])]
+    assert len(cases[0][1]) >= 6 and len(cases[0][2]) >= 20
+    holds(spark, cases)
+
+
+def test_what_is_looked_up_stands_anywhere(spark):
+    """Below the written levels a reference may stand in a negation, an alternative, an item, a name or another definition."""
+    deep = lambda n, leaf, wrap: leaf if n == 0 else wrap(deep(n - 1, leaf, wrap))
+    nots = {"type": "object", "properties": {"not": {"not": {"$ref": "#"}}}, "required": ["k"]}
+    flip = lambda x: {"k": 1, "not": x}
+    either = {"oneOf": [{"type": "integer"}, {"type": "array", "items": {"$ref": "#"}, "minItems": 1}]}
+    two = {"$ref": "#/$defs/a", "$defs": {
+        "a": {"type": "object", "properties": {"b": {"$ref": "#/$defs/b"}, "c": {"$ref": "#/$defs/c"}}, "maxProperties": 1},
+        "b": {"type": "object", "properties": {"a": {"$ref": "#/$defs/a"}, "c": {"$ref": "#/$defs/c"}}, "required": ["v"]},
+        "c": {"anyOf": [{"type": "string", "pattern": "^(a+)+$"}, {"$ref": "#/$defs/a"}, {"$ref": "#/$defs/b"}]},
+    }}
+    turn = lambda x: {"b": {"v": 1, "c": x}}
+    closed = {"allOf": [{"properties": {"v": {}, "next": {"$ref": "#"}}}], "unevaluatedProperties": False}
+    names = {"properties": {"in": {"$ref": "#"}}, "propertyNames": {"maxLength": 3}, "additionalProperties": {"$ref": "#"}}
+    ends = lambda i: ({}, {"k": 1}) if i % 2 else ({"k": 1}, {})
+    item, again, other = (lambda x: [2, x]), (lambda x: {"next": x}), (lambda x: {"in": x, "o": x})
+    depths = (1, 3, 6, 7, 11)
+    every = lambda *pairs: [deep(i, leaf(i) if callable(leaf) else leaf, wrap) for i in depths for leaf, wrap in pairs]
+    holds(spark, [
+        (nots, every((lambda i: ends(i)[0], flip)), every((lambda i: ends(i)[1], flip))),
+        (either, every((1, item)), every(("s", item), ([], lambda x: [x]))),
+        (two, every(("aaa", turn), ({}, turn)), every(("aab", turn), ({"b": {}}, turn), (5, turn))),
+        (closed, every(({"v": 1}, again)), every(({"w": 1}, again))),
+        (names, every(({"abc": {}}, other)), every(({"abcd": {}}, other))),
+    ])
+
+
+def test_many_definitions_that_refer_to_each_other(spark):
+    """A plan that writes all ways out would be endless: 12 definitions, each with a reference to every one."""
+    defs = {f"d{i}": {"type": "object", "properties": {"t": {"const": i}, **{f"m{j}": {"$ref": f"#/$defs/d{j}"} for j in range(12)}}, "required": ["t"]} for i in range(12)}
+    body = {"$ref": "#/$defs/d0", "$defs": defs}
+    good = {"t": 11}
+    for i in (3, 7, 2, 2, 9):
+        good = {"t": i, f"m{11 if good == {'t': 11} else last}": good}
+        last = i
+    good = {"t": 0, f"m{last}": good}
+    bad = json.loads(json.dumps(good).replace('{"t": 11}', '{"t": 10}'))
+    holds(spark, [(body, [good, {"t": 0}], [bad, {"t": 1}, {"t": 0, "m4": {"t": 5}}])])
+
+
+def test_a_reference_to_itself_at_the_same_value():
+    for loop in ({"$ref": "#"}, {"anyOf": [{"type": "null"}, {"$ref": "#"}]}, {"$ref": "#/$defs/a", "$defs": {"a": {"allOf": [{"$ref": "#/$defs/a"}]}}}):
+        with pytest.raises(evaluate.SchemaError):
+            evaluate.errors(F.lit("{}"), loop)

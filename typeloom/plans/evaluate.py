@@ -1,9 +1,10 @@
 """JSON Schemas compiled to Column expressions over variants.
 
 A schema is small and becomes part of the plan; instances by the million are then evaluated in the JVM. Each check is
-a pair (failed, message), so verdicts and messages come from the same expression. Schemas that refer to themselves
-are unrolled as deep as the instances nest, which is counted first. A plan of more than ``MOST_CHECKS`` checks isn't
-made: then what lies deeper is an error of the instance, never passed over.
+a pair (failed, message), so verdicts and messages come from the same expression. A schema that refers to itself is
+written out some levels deep; below, a reference is looked up among the values that break what it leads to. These are
+found by one fold over all values of the document, the deepest first (``_Compiler.broken``), so documents may nest as
+deep as they like, and the plan grows with the schema's length only.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql.types import BooleanType
 from ..functions import ident, jsons, normal, patterns
 from ..operators import registry, schemas
 
-#: Levels of a schema that refers to itself where the instances haven't been counted.
+#: Levels of a schema that refers to itself that are written out, with messages for each place.
 UNROLL = 4
-#: Places of a schema that one plan holds, if it refers to itself.
-MOST_CHECKS = 2000
+#: Places of a schema above which fewer levels are written out.
+MOST_CHECKS = 100
 # JSON kinds by type name; formats as regular expressions.
 KINDS = {"string": ("STRING",), "boolean": ("BOOLEAN",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "object": ("OBJECT",), "array": ("ARRAY",), "null": ("VOID",)}
 FORMATS = {
@@ -129,8 +130,8 @@ def nesting(content: Column) -> Column:
     return F.aggregate(brackets, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda held: held["most"])
 
 
-def refers_to_itself(schema: dict, types: dict[str, dict], name: str = "") -> bool:
-    """Whether a chain of the schema's references comes back to one of them."""
+def refers_to_itself(schema, types: dict[str, dict], name: str = "", root: dict | None = None) -> bool:
+    """Whether a chain of references of a schema (within a document ``root``) comes back to one of them."""
     compiler, done = _Compiler(types), set()
 
     def refs(node) -> set[str]:
@@ -158,11 +159,11 @@ def refers_to_itself(schema: dict, types: dict[str, dict], name: str = "") -> bo
             done.add((home, ref))
         return False
 
-    return returns(schema, schema, name, frozenset())
+    return returns(schema, schema if root is None else root, name, frozenset())
 
 
 class _TooLarge(Exception):
-    """More checks than one plan should hold."""
+    """More checks than a plan should hold while fewer levels would do."""
 
 
 # Dialects by a part of their name; keywords by the dialects that know them, where not all do.
@@ -184,10 +185,25 @@ def identified(root) -> dict[str, dict]:
     return out
 
 
+def _as_value(text: Column) -> Column:
+    """A text as a JSON value."""
+    listed = F.to_json(F.array(text))
+    return F.parse_json(listed.substr(F.lit(2), F.length(listed) - 2))
+
+
 class _Compiler:
     def __init__(self, types: dict[str, dict], levels: int = UNROLL, matched: Column | None = None):
+        """``levels``: how often a reference is written out within itself; 0: not at all, where it leads to a smaller value."""
         self.types, self.levels = types, levels
-        self.made = 0
+        self.made, self.most = 0, None
+        #: What references that aren't written out lead to: (number, schema, root, home, the reference, scope), by all that its meaning depends on.
+        self.units: dict[tuple, tuple] = {}
+        #: The broken ones among smaller values, as texts "number:value"; None where they aren't known.
+        self.lost: Column | None = None
+        #: The value that a unit is applied to, and the references that are open with the values that they were read at.
+        self.at: Column | None = None
+        self.open: list[tuple[tuple, Column]] = []
+        self.cyclic: dict[tuple, bool] = {}
         #: The resources that the place at hand was reached through: (schema, name, draft), outermost first.
         self.scope: list[tuple[dict, str, int]] = []
         #: Patterns for an automaton (None: format regex), and the strings that each of them finds.
@@ -240,7 +256,7 @@ class _Compiler:
     def checks(self, s, v: Column, path: str, root: dict, home: str, via: tuple = ()) -> list[tuple[Column, str]]:
         """(failed, message) of a value that is there."""
         self.made += 1
-        if self.made > MOST_CHECKS and self.levels > UNROLL:
+        if self.most is not None and self.made > self.most and self.levels:
             raise _TooLarge
         if isinstance(s, bool):
             return [] if s else [(F.lit(True), f"{path}: nothing is admitted")]
@@ -273,6 +289,65 @@ class _Compiler:
                 found.append((node, r2, h2, (*via, (home, s[key]) if key == "$ref" else (h2, id(node)))))
         return found
 
+    def is_cut(self, node, v: Column, root: dict, home: str, way: tuple) -> bool:
+        """Whether a reference is looked up, and not written out at this value."""
+        if self.levels:
+            return way.count(way[-1]) > self.levels
+        if v is self.at:
+            return False
+        key = (way[-1], id(node))
+        if key not in self.cyclic:
+            self.cyclic[key] = refers_to_itself(node, self.types, home, root)
+        return self.cyclic[key]
+
+    def looked_up(self, node, v: Column, path: str, root: dict, home: str, ref: tuple) -> tuple[Column, str]:
+        if self.lost is None:
+            return F.lit(True), f"{path}: nested too deeply"
+        # dynamic references depend on the resources passed, by first pass, and on the last run of those that allow it
+        run = len(self.scope)
+        while run and isinstance(self.scope[run - 1][0], dict) and self.scope[run - 1][0].get("$recursiveAnchor") is True:
+            run -= 1
+        passed = tuple(dict.fromkeys((id(r), h) for r, h, _ in self.scope))
+        key = (ref, id(node), passed, id(self.scope[run][0]) if run < len(self.scope) else None, self.scope[-1][1:])
+        number = self.units.setdefault(key, (len(self.units), node, root, home, ref, list(self.scope)))[0]
+        return F.array_contains(self.lost, F.concat(F.lit(f"{number}:"), F.to_json(v))), f"{path}: does not hold"
+
+    def broken_units(self, v: Column, lost: Column) -> Column:
+        """array<string>: ``lost`` and the units that a value breaks; all smaller values that break any are in ``lost``."""
+        was = self.levels, self.at, self.lost, self.scope, self.open
+        tests, done = [], 0
+        try:
+            self.levels, self.at, self.lost = 0, v, lost
+            while done < len(self.units):  # writing a unit out may bring others
+                number, node, root, home, ref, scope = list(self.units.values())[done]
+                self.scope, self.open, done = list(scope), [(ref, v)], done + 1
+                failed = self.failed(self.checks(node, v, "", root, home, (ref,)))
+                tests.append(F.when(failed, F.lit(f"{number}:")))
+        finally:
+            self.levels, self.at, self.lost, self.scope, self.open = was
+        new = F.filter(F.array(*tests), lambda t: t.isNotNull())
+        return jsons.let(new, lambda n: F.when(F.size(n) > 0, F.concat(lost, F.transform(n, lambda t: F.concat(t, F.to_json(v))))).otherwise(lost))
+
+    def broken(self, v: Column, content: Column, levels: int) -> Column:
+        """array<string> of the units that any value of a document breaks, the deepest first; none if it nests too little
+        for a reference to be looked up."""
+        none, nothing = F.array().cast("array<string>"), F.array().cast("array<variant>")
+
+        def within(x: Column) -> Column:
+            members = F.try_variant_get(x, "$", "map<string,variant>")
+            # names are values too: propertyNames may refer to what is looked up
+            return F.coalesce(F.concat(F.map_values(members), F.transform(F.map_keys(members), _as_value)), F.try_variant_get(x, "$", "array<variant>"), nothing)
+
+        def wider(held: Column, _: Column) -> Column:
+            return jsons.let(F.flatten(F.transform(held["last"], within)), lambda found: F.struct(found.alias("last"), F.concat(held["all"], found).alias("all")))
+
+        def fold(deep: Column) -> Column:
+            start = F.struct(F.array(v).alias("last"), F.array(v).alias("all"))
+            values = F.aggregate(F.sequence(F.lit(1), deep), start, wider, lambda held: held["all"])
+            return F.aggregate(F.reverse(values), none, lambda lost, x: self.broken_units(x, lost))
+
+        return jsons.let(nesting(content), lambda deep: F.when(v.isNotNull() & (deep >= max(1, levels)), fold(deep)).otherwise(none))
+
     def own_checks(self, s: dict, v: Column, path: str, root: dict, home: str, via: tuple) -> list[tuple[Column, str]]:
         s = self.known(s)
         out: list[tuple[Column, str]] = []
@@ -285,9 +360,16 @@ class _Compiler:
             out.append((F.coalesce(test, F.lit(False)), f"{path}: {message}"))
 
         for node, r2, h2, way in self.led(s, path, root, home, via):
-            if via.count(way[-1]) >= self.levels:
-                return [(F.lit(True), f"{path}: nested too deeply")]
-            out += self.checks(node, v, path, r2, h2, way)
+            if any(key == way[-1] and at is v for key, at in self.open):
+                raise SchemaError(f"{path}: a reference leads back to itself at the same value")
+            if self.is_cut(node, v, r2, h2, way):
+                out.append(self.looked_up(node, v, path, r2, h2, way[-1]))
+                continue
+            self.open.append((way[-1], v))
+            try:
+                out += self.checks(node, v, path, r2, h2, way)
+            finally:
+                self.open.pop()
         if "type" in s:
             names = [s["type"]] if isinstance(s["type"], str) else s["type"]
             held = F.lit(False)
@@ -357,11 +439,12 @@ class _Compiler:
                 add(~held & fails(s["else"]), "else")
         return out
 
-    def branches(self, s: dict, v: Column, path: str, root: dict, home: str, via: tuple):
-        """The schemas that speak of the same value as ``s``, with when they do: (condition or None, schema, root, home, way)."""
+    def branches(self, s: dict, v: Column, path: str, root: dict, home: str, via: tuple, here: tuple):
+        """The schemas that speak of the same value as ``s``, with when they do: (condition or None, schema, root, home,
+        way). ``here``: the references that were followed at this value."""
         fails = lambda sub: self.failed(self.checks(sub, v, path, root, home, via))
         for node, r2, h2, way in self.led(s, path, root, home, via):
-            if via.count(way[-1]) < self.levels:
+            if way[-1] not in here:
                 yield None, node, r2, h2, way
         for sub in s.get("allOf") or []:
             yield None, sub, root, home, via
@@ -380,7 +463,7 @@ class _Compiler:
                 if not isinstance(sub, list):
                     yield jsons.member(v, name).isNotNull(), sub, root, home, via
 
-    def seen(self, s, v: Column, path: str, root: dict, home: str, via: tuple, direct, own: bool) -> Column:
+    def seen(self, s, v: Column, path: str, root: dict, home: str, via: tuple, direct, own: bool, here: tuple = ()) -> Column:
         """Whether ``direct`` says that a keyword of the schema, or of one that holds for the same value, has looked at a member or item."""
         if not isinstance(s, dict):
             return F.lit(False)
@@ -389,8 +472,8 @@ class _Compiler:
         try:
             s = self.known(s)
             out = direct({k: x for k, x in s.items() if not own or k not in ("unevaluatedItems", "unevaluatedProperties")}, root, home)
-            for condition, sub, r2, h2, way in self.branches(s, v, path, root, home, via):
-                inner = self.seen(sub, v, path, r2, h2, way, direct, False)
+            for condition, sub, r2, h2, way in self.branches(s, v, path, root, home, via, here):
+                inner = self.seen(sub, v, path, r2, h2, way, direct, False, (*here, *way[len(via) :]))
                 out |= inner if condition is None else condition & inner
             return out
         finally:
@@ -474,7 +557,7 @@ class _Compiler:
             left = F.filter(members, lambda e: ~self.member_seen(s, v, e["key"], path, root, home, via, own=True))
             out.append((is_object & F.exists(left, lambda e: self.failed(self.checks(rest, e["value"], path, root, home, via))), f"{path}: unevaluatedProperties"))
         if "propertyNames" in s:
-            out.append((is_object & F.exists(keys, lambda k: self.failed(self.checks(s["propertyNames"], F.parse_json(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2)), path, root, home, via))), f"{path}: propertyNames"))
+            out.append((is_object & F.exists(keys, lambda k: self.failed(self.checks(s["propertyNames"], _as_value(k), path, root, home, via))), f"{path}: propertyNames"))
         return [(F.coalesce(test, F.lit(False)), message) for test, message in out]
 
     @staticmethod
@@ -495,27 +578,47 @@ class _Compiler:
 def errors(content: Column, schema: dict, types: dict[str, dict] | None = None, name: str = "", levels: int = UNROLL) -> Column:
     """array<string> of what a JSON text breaks; empty if it holds. A text that isn't JSON breaks everything.
 
-    ``levels``: how often a reference may stand within itself, one more than the instances nest if nothing valid is to
-    be refused; less where the plan would hold more than ``MOST_CHECKS``.
+    ``levels``: how often a reference is written out within itself, fewer times where the plan would hold more than
+    ``MOST_CHECKS`` places. Below, places that break what a reference leads to are named by one message. Verdicts don't
+    depend on it.
     """
 
-    def found(v: Column, compiler: _Compiler) -> Column:
-        checks = compiler.checks(schema, v, "$", schema, name)
-        broken = F.filter(F.array(F.lit(None).cast("string"), *(F.when(test, message) for test, message in checks)), lambda e: e.isNotNull())
-        return F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(broken)
+    def broken(compiler: _Compiler, v: Column, lost: Column) -> list[Column]:
+        compiler.at, compiler.lost = v, lost
+        return [F.when(test, message) for test, message in compiler.checks(schema, v, "$", schema, name)]
 
-    def judged(matched: Column | None = None) -> tuple[Column, list[str | None]]:
-        compiler = _Compiler(types or {}, levels, matched)
-        return jsons.let(jsons.variant(content), lambda v: found(v, compiler)), compiler.tests  # the text is parsed once
+    def read(levels: int) -> _Compiler:
+        """A compiler that has met all patterns, and all that is looked up."""
+        compiler = _Compiler(types or {}, levels)
+        compiler.most = MOST_CHECKS
+        broken(compiler, F.lit(None).cast("variant"), F.lit(None).cast("array<string>"))
+        compiler.broken_units(F.lit(None).cast("variant"), F.lit(None).cast("array<string>"))
+        return compiler
 
     while True:
         try:
-            plain, tests = judged()
+            known = read(levels)
             break
         except _TooLarge:
-            levels = max(UNROLL, levels * 3 // 4)
+            levels //= 2
+
+    def judged(matched: Column | None = None) -> Column:
+        compiler = _Compiler(types or {}, levels, matched)
+        compiler.units, compiler.tests, compiler.cyclic = known.units, known.tests, known.cyclic
+
+        def found(v: Column, lost: Column) -> Column:
+            texts = F.filter(F.array(F.lit(None).cast("string"), *broken(compiler, v, lost)), lambda e: e.isNotNull())
+            return F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(texts)
+
+        def whole(v: Column) -> Column:
+            if not known.units:
+                return found(v, F.array().cast("array<string>"))
+            return jsons.let(compiler.broken(v, content, levels), lambda lost: found(v, lost))
+
+        return jsons.let(jsons.variant(content), whole)  # the text is parsed once
+
     # functions in Arrow batches can't stand within a lambda: what they find is bound outside
-    return jsons.let(matching(content, tests), lambda m: judged(m)[0]) if tests else plain
+    return jsons.let(matching(content, known.tests), judged) if known.tests else judged()
 
 
 def levels_of(instances: DataFrame, types: dict[str, dict]) -> dict[str, int]:
@@ -562,7 +665,7 @@ def validate(entities: DataFrame, types: DataFrame | None = None, referred: bool
             return fixed("SchemaInvalid", wrong[name])
         try:
             mine = F.when(F.col("schema_id") == name, F.col("content"))
-            found = errors(mine, bodies[name], bodies, name, levels.get(name, UNROLL))
+            found = errors(mine, bodies[name], bodies, name)
             if bearing:
                 named = references.errors(mine, raw[name], raw, name, levels.get(name, UNROLL))
                 return F.when(F.size(named) > 0, F.struct(F.lit("InvalidReference").alias("reason"), named.alias("errors"))).otherwise(F.struct(F.when(F.size(found) > 0, "Invalid").alias("reason"), found.alias("errors")))
@@ -573,7 +676,7 @@ def validate(entities: DataFrame, types: DataFrame | None = None, referred: bool
     from . import references  # which compiles by this module
 
     bearing = any(map(normal.bears, raw.values()))
-    names, levels = sorted(bodies), levels_of(instances, bodies)
+    names, levels = sorted(bodies), levels_of(instances, bodies) if bearing else {}
     for at in range(0, len(names), TOGETHER):
         some = names[at : at + TOGETHER]
         choice = F.lit(None).cast("struct<reason:string,errors:array<string>>")
@@ -679,5 +782,5 @@ def cast_and_validate(instances: DataFrame, target: str, types: dict[str, dict])
         levels = max(UNROLL, (instances.agg(F.max(nesting(F.col("content")))).first()[0] or 0) + 1)
     moved = instances.select("entity_key", ident.are_minor_variants(F.col("schema_id"), F.lit(target)).alias("kin"), cast(F.col("content"), types[target], types, levels).alias("content"))
     tolerant = {k: loose(s) for k, s in types.items()}
-    held = errors(F.col("content"), tolerant[target], tolerant, target, levels)
+    held = errors(F.col("content"), tolerant[target], tolerant, target)
     return moved.select("entity_key", F.when(F.col("kin"), F.col("content")).alias("content"), F.when(F.coalesce(F.col("kin"), F.lit(False)), held).otherwise(F.array(F.lit("NotMinorVariantPair"))).alias("errors"))
