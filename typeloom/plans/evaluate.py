@@ -583,39 +583,37 @@ def errors(content: Column, schema: dict, types: dict[str, dict] | None = None,
     depend on it.
     """
 
-    def broken(compiler: _Compiler, v: Column, lost: Column) -> list[Column]:
+    def found(compiler: _Compiler, v: Column, lost: Column) -> Column:
         compiler.at, compiler.lost = v, lost
-        return [F.when(test, message) for test, message in compiler.checks(schema, v, "$", schema, name)]
-
-    def read(levels: int) -> _Compiler:
-        """A compiler that has met all patterns, and all that is looked up."""
-        compiler = _Compiler(types or {}, levels)
-        compiler.most = MOST_CHECKS
-        broken(compiler, F.lit(None).cast("variant"), F.lit(None).cast("array<string>"))
-        compiler.broken_units(F.lit(None).cast("variant"), F.lit(None).cast("array<string>"))
-        return compiler
+        broken = [F.when(test, message) for test, message in compiler.checks(schema, v, "$", schema, name)]
+        texts = F.filter(F.array(F.lit(None).cast("string"), *broken), lambda e: e.isNotNull())
+        return F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(texts)
 
+    none = F.array().cast("array<string>")
     while True:
+        # all patterns, and all that is looked up, are met first
+        known = _Compiler(types or {}, levels)
+        known.most = MOST_CHECKS
         try:
-            known = read(levels)
+            plain = jsons.let(jsons.variant(content), lambda v: found(known, v, none))  # the text is parsed once
+            if known.units:
+                known.broken_units(F.lit(None).cast("variant"), none)
             break
         except _TooLarge:
             levels //= 2
+    if not known.units and not known.tests:
+        return plain
 
     def judged(matched: Column | None = None) -> Column:
         compiler = _Compiler(types or {}, levels, matched)
         compiler.units, compiler.tests, compiler.cyclic = known.units, known.tests, known.cyclic
 
-        def found(v: Column, lost: Column) -> Column:
-            texts = F.filter(F.array(F.lit(None).cast("string"), *broken(compiler, v, lost)), lambda e: e.isNotNull())
-            return F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(texts)
-
         def whole(v: Column) -> Column:
             if not known.units:
-                return found(v, F.array().cast("array<string>"))
-            return jsons.let(compiler.broken(v, content, levels), lambda lost: found(v, lost))
+                return found(compiler, v, none)
+            return jsons.let(compiler.broken(v, content, levels), lambda lost: found(compiler, v, lost))
 
-        return jsons.let(jsons.variant(content), whole)  # the text is parsed once
+        return jsons.let(jsons.variant(content), whole)
 
     # functions in Arrow batches can't stand within a lambda: what they find is bound outside
     return jsons.let(matching(content, known.tests), judged) if known.tests else judged()
