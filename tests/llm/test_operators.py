@@ -211,6 +211,20 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_license_gate(spark):
+    """Keywords are looked up among the words, by no alternation at every word; only A-Z are lower-cased, and every base phrase passes the gate."""
+    keywords = {k for r in licenses.rules() for k in r[0]}
+    assert all(set(phrase.split()) & keywords for phrase in licenses.BASE)
+    beyond = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    texts = ["do what the fuc\u212a you want to", "do WHAT the Fuck you want to", "M\u0130T license", ";MIT--license\n", "..", beyond, f"mit license {beyond} Mit\0License", "xmit license", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "|".join(sorted(keywords)[:3]) not in plan
+    got = [(r.n_words, [f.label for f in r.found]) for r in found.orderBy("doc_id").collect()]
+    assert got == [(7, []), (7, ["wtfpl"]), (2, []), (2, ["mit"]), (0, []), (1, []), (5, ["mit", "mit"]), (2, []), (0, [])]
+
+
 def written_forms(pattern):
     """Texts that a pattern of a rule matches: every alternative, options all left out or all taken."""
     def forms(tree, full):

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import bound, fresh, swept, table
 
-# Fixed pattern of a word, after A-Z are lower-cased.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Fixed pattern of what stands between words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, after A-Z are lower-cased.
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Fixed base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -206,7 +206,7 @@ def _rule_table() -> Column:
     """The rules as one constant array, read from a JSON text so that the plan stays small."""
     import json
 
-    listed = [{"keywords": [f" {w} " for w in k], "pattern": f"(?<= ){p}(?= )", "label": label, "priority": priority, "sure": sure} for k, p, label, priority, sure in rules()]
+    listed = [{"keywords": k, "pattern": f"(?<= ){p}(?= )", "label": label, "priority": priority, "sure": sure} for k, p, label, priority, sure in rules()]
     return F.from_json(F.lit(json.dumps(listed)), "array<struct<keywords:array<string>,pattern:string,label:string,priority:int,sure:double>>")
 
 
@@ -254,14 +254,16 @@ def unsuppressed(found: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, base and found: arrays of (first, last, label, priority, sure), suppression applied to found."""
-    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # a letter that isn't ASCII stays one, so that only A-Z come to match; of all letters only the Kelvin sign wouldn't
+    lower = F.lower(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\u212a"), F.lit("\u00e9")))
     own = [c for c in docs.columns if c not in ("n_words", "base", "found")]
-    words, joined, listed, every = fresh(docs, "words", "joined", "rules", "every")
-    out = docs.withColumn(words, F.regexp_extract_all(lower, F.lit(WORDS), F.lit(0)))
-    out = out.select(*own, F.size(words).cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias(joined))
+    words, keys, joined, every = fresh(docs, "words", "keys", "joined", "every")
     keywords = sorted({k for r in rules() for k in r[0]})
-    gate = F.col(joined).rlike(f" (?:{'|'.join(keywords)}) ")
     none = F.array().cast(f"array<{_KIND}>")
+    out = docs.withColumn(words, F.array_remove(F.split(lower, GAPS), ""))
+    # the keywords that the text holds; a base phrase holds one too
+    out = out.select(*own, words, F.size(words).cast("long").alias("n_words"), F.array_intersect(words, F.array(*map(F.lit, keywords))).alias(keys))
+    out = out.withColumn(joined, F.when(F.size(keys) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))).drop(words)
 
     def detections(pattern: Column, label: Column, priority: Column, sure: Column) -> Column:
         full = lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), label.alias("label"), priority.alias("priority"), sure.alias("sure"))
@@ -271,9 +273,9 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(F.contains(joined, F.lit(f" {p} ")), detections(F.lit(f"(?<= ){p}(?= )"), F.lit(label), F.lit(100), F.lit(1.0))).otherwise(none)
         for p, label in BASE.items()
     ]
-    active = F.filter(listed, lambda r: F.exists(r["keywords"], lambda k: F.contains(joined, k)) & F.regexp_like(F.col(joined), r["pattern"]))
+    active = F.filter(_rule_table(), lambda r: F.arrays_overlap(r["keywords"], F.col(keys)) & F.regexp_like(F.col(joined), r["pattern"]))
     found = F.flatten(F.transform(active, lambda r: detections(r["pattern"], r["label"], r["priority"], r["sure"])))
-    out = out.withColumn(listed, F.when(gate, _rule_table())).withColumn("base", F.concat(*base)).withColumn(every, F.when(gate, found).otherwise(none))
+    out = out.withColumn("base", F.concat(*base)).withColumn(every, F.when(F.size(keys) > 0, found).otherwise(none))
     return out.select(*own, "n_words", "base", F.when(F.size(every) > 0, unsuppressed(F.col(every))).otherwise(none).alias("found"))
 
 
