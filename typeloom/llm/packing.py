@@ -39,9 +39,9 @@ GROUPS = 32
 #: Pieces of one length are ranked in so many independent buckets, or as many as there are partitions.
 BUCKETS = 64
 #: Chunks whose ids a worker remembers; beyond, half of them are forgotten, so memory stays bounded.
-MEMO = 200_000
+MEMO = 150_000
 #: Bytes of texts that are cut into chunks at once.
-SLICE = 1_000_000
+SLICE = 600_000
 
 
 def vocabulary_path() -> str:
